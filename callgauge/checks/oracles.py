@@ -86,13 +86,13 @@ FROM calls WHERE {RECENT} GROUP BY 1, 2"""
 ORACLES["cost_by_day"] = f"""
 WITH {CALLS}
 SELECT created_at::DATE AS day, provider, model,
-       round(coalesce(sum(total_cost), 0), 6) AS cost_usd, count(*) AS n
+       round(coalesce(sum(total_cost), 0), 9) AS cost_usd, count(*) AS n
 FROM calls WHERE {RECENT} GROUP BY 1, 2, 3"""
 
 ORACLES["session_activity"] = f"""
 WITH {CALLS}
 SELECT session_id, count(*) AS n, min(created_at) AS started_at, max(created_at) AS last_at,
-       round(sum(total_cost), 6) AS cost_usd
+       round(sum(total_cost), 9) AS cost_usd
 FROM calls GROUP BY session_id ORDER BY last_at DESC, session_id LIMIT 50"""
 
 ORACLES["session_calls"] = f"""
@@ -113,13 +113,13 @@ SELECT k.calls, err.n AS errors,
          AS error_rate_pct,
        round(CASE WHEN k.calls + err.n > 0 THEN err.n * 100.0::DOUBLE / (k.calls + err.n) ELSE 0 END,
              6) AS error_rate_all_pct,
-       round(cost.usd, 6) AS cost_usd, k.models_active
+       round(cost.usd, 9) AS cost_usd, k.models_active
 FROM k, err, cost"""
 
 HOURLY = f"""
 SELECT date_trunc('hour', created_at) AS hour, provider, model, status, count(*) AS n,
        sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
-       round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 6) AS total_cost,
+       round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 9) AS total_cost,
        {_quantiles("latency_ms", "latency_ms")}, {_quantiles("ttft_ms", "ttft_ms")}"""
 
 ORACLES["hourly_rollup"] = f"WITH {CALLS} {HOURLY} FROM calls WHERE {RECENT} GROUP BY 1, 2, 3, 4"
@@ -132,7 +132,7 @@ ORACLES["rollup_daily"] = f"""
 WITH {CALLS}
 SELECT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status, count(*) AS n,
        sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
-       round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 6) AS total_cost
+       round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 9) AS total_cost
 FROM calls WHERE {RECENT} GROUP BY 1, 2, 3, 4"""
 
 # --- pricing and admission ---------------------------------------------------------------
@@ -438,7 +438,7 @@ def _mask_cards(text: str) -> str:
     )
     return (
         f"array_to_string(list_transform(string_split_regex({text}, {pattern}), "
-        f"lambda piece, at: piece || coalesce(({masked})[at], '')), '')"
+        f"lambda piece, pos: piece || coalesce(({masked})[pos], '')), '')"
     )
 
 
@@ -686,6 +686,6 @@ ORACLES["stream_rollup"] = f"""
 WITH {CALLS}
 SELECT date_trunc('hour', created_at) AS hour, provider, model, status, count(*) AS n,
        sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
-       round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 6) AS total_cost
+       round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 9) AS total_cost
 FROM calls GROUP BY 1, 2, 3, 4
 HAVING hour + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM calls) - INTERVAL 1 HOUR"""

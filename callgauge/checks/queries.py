@@ -1,7 +1,7 @@
 """One query per operator: ``(spark, sf_dir) -> DataFrame``.
 
 Each query reads its whole input tables. Float results that depend on the order of
-summation are rounded to six places, as the SQL twin does.
+summation are rounded, as the SQL twin does.
 """
 
 from __future__ import annotations
@@ -49,8 +49,9 @@ def query(function: Query) -> Query:
     return function
 
 
-def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Costs have eight decimals of their own, so they are rounded at the ninth."""
+    return df.withColumns({c: F.round(c, 9 if "cost" in c else 6) for c in columns})
 
 
 # --- reports ------------------------------------------------------------------------

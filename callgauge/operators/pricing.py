@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from callgauge.functions.metadata import flag_if
 from callgauge.sources import catalogs
 
+COST_UNITS = 1e8
+
 
 def call_cost(
     input_tokens: Column, output_tokens: Column, input_per_1k: Column, output_per_1k: Column
 ) -> Column:
-    """USD, rounded half up to eight places."""
-    return F.round(
-        input_tokens / F.lit(1000.0) * input_per_1k + output_tokens / F.lit(1000.0) * output_per_1k,
-        8,
-    )
+    """USD, rounded half up to whole units of 1e-8."""
+    cost = input_tokens / F.lit(1000.0) * input_per_1k + output_tokens / F.lit(1000.0) * output_per_1k
+    return F.round(cost * COST_UNITS) / COST_UNITS
 
 
 def with_cost(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
