@@ -419,7 +419,7 @@ def redact_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redact_card_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = redaction.apply_rule(F.col("text"), redaction.CARD_RULE)
+    masked = redaction.apply_rules(F.col("text"), [redaction.CARD_RULE])
     return _documents(spark, sf_dir).select("doc_id", masked.alias("redacted"))
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------------
-ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
-ISO_TIME_AND_OFFSET = r":\d{2}(\.\d+)?(Z|[+-]\d{2}(:?\d{2})?)$"
+ISO_INSTANT = (
+    "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    "([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?$"
+)
 # --- end of fixed values ----------------------------------------------------------
 
 
@@ -33,19 +35,19 @@ def to_utc(instant: Column) -> Column:
     )
 
 
-def parse_instant(text: Column) -> Column:
-    """ISO-8601 date, or date and time with or without offset (none means UTC).
-
-    NULL when the text is not such an instant.
-    """
-    value = F.upper(text)
-    has_time = F.length(value) > 10
-    zoned = (
-        F.when(value.rlike(ISO_TIME_AND_OFFSET), value)
-        .when(has_time, F.concat(value, F.lit("Z")))
-        .otherwise(F.concat(value, F.lit("T00:00:00Z")))
+def instant_sql(text: str) -> str:
+    """SQL that parses an upper-case ISO-8601 date, or date and time with or without
+    offset (none means UTC), to zone-free UTC; NULL when the text is no such instant."""
+    offset = f"substring({text}, 17, 1)"
+    # an offset right after the minutes: Spark wants the seconds written out
+    seconds = f"CASE WHEN {offset} = ':' THEN {text} ELSE left({text}, 16) || ':00' || substring({text}, 17) END"
+    epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    return (
+        f"CASE WHEN NOT {text} RLIKE '{ISO_INSTANT}' THEN NULL "
+        f"WHEN substring({text}, 17) RLIKE '[Z+-]' THEN "
+        f"timestampadd(MICROSECOND, unix_micros(try_to_timestamp({seconds})), {epoch}) "
+        f"ELSE try_cast({text} AS TIMESTAMP_NTZ) END"
     )
-    return F.when(value.rlike(ISO_INSTANT), to_utc(F.try_to_timestamp(zoned)))
 
 
 def elapsed_ms(start: Column, end: Column) -> Column:

@@ -21,8 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.functions.joins import group_join
@@ -35,24 +34,18 @@ FINER_STEPS = 4096
 STANDARD_PROBABILITIES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
-def _scale(value: Column) -> Column:
-    # log1p is monotonic, so larger values never land in an earlier bucket
-    return F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(STEPS))
+# log1p is monotonic, so a larger value never lands in an earlier bucket
+SCALE = f"(signum(value) * log1p(abs(value)) * {STEPS}D)"
 
 
-def _positions(probabilities: Sequence[float], total: Column) -> Column:
-    """The 0-based ranks on both sides of every wanted position."""
-    ranks = []
+def _holds_rank(first: str, probabilities: Sequence[float]) -> str:
+    """Whether the ``n`` values from 0-based rank ``first`` on include one that is
+    needed: a neighbour of the position ``p * (total - 1)`` of some quantile."""
+    tests = []
     for p in probabilities:
-        position = F.lit(float(p)) * (total - 1)
-        ranks += [F.floor(position), F.ceil(position)]
-    return F.array(*ranks)
-
-
-def _holds_wanted(below: Column, count: Column, probabilities, total: Column) -> Column:
-    return F.exists(
-        _positions(probabilities, total), lambda r: (r >= below) & (r < below + count)
-    )
+        for rank in (f"floor({p}D * (total - 1))", f"ceil({p}D * (total - 1))"):
+            tests.append(f"({rank} >= {first} AND {rank} < {first} + n)")
+    return " OR ".join(tests)
 
 
 def exact_quantiles(
@@ -68,39 +61,30 @@ def exact_quantiles(
     group that has none but NULLs gets NULL quantiles and a count of 0, provided
     another measure has values. ``df`` is scanned twice.
     """
-    keys = list(keys)
     wanted = list(probabilities.values())
+    series = [*keys, "measure"]
+    columns = ", ".join(
+        f"named_struct('measure', '{m}', 'value', CAST(`{c}` AS DOUBLE))"
+        for m, c in measures.items()
+    )
     values = (
-        df.select(
-            *keys,
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(m).alias("measure"), F.col(c).cast("double").alias("value"))
-                        for m, c in measures.items()
-                    ]
-                )
-            ),
-        )
-        .where(F.col("value").isNotNull())
-        .withColumn("bucket", F.floor(_scale(F.col("value"))))
+        df.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({columns}))")
+        .where("value IS NOT NULL")
+        .selectExpr("*", f"floor({SCALE}) AS bucket")
     )
-    series = [*keys, "measure"]
 
     # 1 + 2: counts per bucket, and the buckets that hold a wanted rank
-    within = W.partitionBy(*series)
-    preceding = within.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    over_series = f"PARTITION BY {', '.join(f'`{c}`' for c in series)}"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     buckets = (
         values.groupBy(*series, "bucket")
-        .agg(F.count("*").alias("n"))
-        .select(
-            *series,
-            "bucket",
-            "n",
-            F.coalesce(F.sum("n").over(preceding), F.lit(0)).alias("below"),
-            F.sum("n").over(within).alias("total"),
+        .agg(F.expr("count(*) AS n"))
+        .selectExpr(
+            "*",
+            f"coalesce(sum(n) OVER ({over_series} ORDER BY bucket {before}), 0) AS below",
+            f"sum(n) OVER ({over_series}) AS total",
         )
-        .where(_holds_wanted(F.col("below"), F.col("n"), wanted, F.col("total")))
+        .where(_holds_rank("below", wanted))
         .drop("n")
     )
     buckets = broadcast_if_small(buckets, broadcast_rows)
@@ -109,50 +93,44 @@ def exact_quantiles(
     place = [*series, "bucket", "below", "total"]
     found = (
         group_join(values, buckets, [*series, "bucket"])
-        .withColumn("step", F.floor(_scale(F.col("value")) * F.lit(float(FINER_STEPS))))
+        .selectExpr("*", f"floor({SCALE} * {FINER_STEPS}D) AS step")
         .groupBy(*place, "step", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    steps = found.groupBy(*place, "step").agg(F.sum("n").alias("n"))
-    earlier = (
-        W.partitionBy(*series, "bucket").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+        .agg(F.expr("count(*) AS n"))
     )
     steps = (
-        steps.withColumn(
-            "below", F.col("below") + F.coalesce(F.sum("n").over(earlier), F.lit(0))
+        found.groupBy(*place, "step")
+        .agg(F.expr("sum(n) AS n"))
+        .selectExpr(
+            "*",
+            f"below + coalesce(sum(n) OVER ({over_series}, bucket ORDER BY step {before}), 0)"
+            " AS step_below",
         )
-        .where(_holds_wanted(F.col("below"), F.col("n"), wanted, F.col("total")))
-        .select(*series, "step", F.col("below").alias("step_below"))
+        .where(_holds_rank("step_below", wanted))
+        .select(*series, "step", "step_below")
     )
 
     # 4: rank the values of the finest step
-    smaller = W.partitionBy(*series, "step").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    ranked = (
-        group_join(found, steps, [*series, "step"])
-        .withColumn(
-            "first", F.col("step_below") + F.coalesce(F.sum("n").over(smaller), F.lit(0))
-        )
+    ranked = group_join(found, steps, [*series, "step"]).selectExpr(
+        "*",
+        f"step_below + coalesce(sum(n) OVER ({over_series}, step ORDER BY value {before}), 0)"
+        " AS first",
     )
-    return ranked.groupBy(*keys).agg(*_outputs(measures, probabilities))
+    return ranked.groupBy(*keys).agg(*map(F.expr, _outputs(measures, probabilities)))
 
 
-def _outputs(measures: Mapping[str, str], probabilities: Mapping[str, float]) -> list[Column]:
+def _outputs(measures: Mapping[str, str], probabilities: Mapping[str, float]) -> list[str]:
     columns = []
     for m in measures:
-        mine = F.col("measure") == m
-        columns.append(
-            F.coalesce(F.max(F.when(mine, F.col("total"))), F.lit(0)).alias(f"n_{m}")
-        )
+        mine = f"measure = '{m}'"
+        columns.append(f"coalesce(max(total) FILTER (WHERE {mine}), 0) AS `n_{m}`")
         for name, p in probabilities.items():
-            position = F.lit(float(p)) * (F.col("total") - 1)
-
-            def at(rank: Column, mine: Column = mine) -> Column:
-                inside = (rank >= F.col("first")) & (rank < F.col("first") + F.col("n"))
-                return F.max(F.when(mine & inside, F.col("value")))
-
-            low, high = at(F.floor(position)), at(F.ceil(position))
-            share = F.max(F.when(mine, position - F.floor(position)))
-            columns.append((low + share * (high - low)).alias(f"{name}_{m}"))
+            position = f"({p}D * (total - 1))"
+            low, high = (
+                f"max(value) FILTER (WHERE {mine} AND {rank} >= first AND {rank} < first + n)"
+                for rank in (f"floor{position}", f"ceil{position}")
+            )
+            share = f"max({position} - floor{position}) FILTER (WHERE {mine})"
+            columns.append(f"{low} + {share} * ({high} - {low}) AS `{name}_{m}`")
     return columns
 
 

@@ -13,6 +13,10 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Sequence
+from functools import reduce
+from itertools import groupby
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +43,7 @@ RULES = (
     ("IPV4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"),
     ("IPV6", r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}\b", "[IP]"),
 )
+KEY_PREFIXES = ("sk-", "AKIA", "gsk_", "xoxb-")
 CARD_DIGITS = (13, 19)
 ENTITY_TYPES = ("PERSON", "LOCATION", "ORGANIZATION", "DATE_OF_BIRTH")
 # --- end of fixed values ---------------------------------------------------------
@@ -113,21 +118,50 @@ def _replace_cards(text: Column, pattern: str, placeholder: str) -> Column:
     return bind(text, lambda t: F.when(t.rlike(pattern), rebuild(t)).otherwise(t))
 
 
-def apply_rule(text: Column, name: str) -> Column:
-    """Apply a single rule to a text column."""
+def _needs(name: str) -> str:
+    """What every match of a rule contains; most texts lack it and skip the rule."""
+    return {"EMAIL": "an at sign", "API_KEY": "a key prefix", "IPV6": "a colon"}.get(name, "a digit")
+
+
+def _may_match(text: Column, need: str) -> Column:
+    if need == "an at sign":
+        return text.contains("@")
+    if need == "a colon":
+        return text.contains(":")
+    if need == "a key prefix":
+        return reduce(or_, [text.contains(p) for p in KEY_PREFIXES])
+    return text.rlike(_unicode(r"\d"))
+
+
+def _replaced(text: Column, name: str) -> Column:
     pattern, placeholder = next((_unicode(p), ph) for rule, p, ph in RULES if rule == name)
     if name == CARD_RULE:
         return _replace_cards(text, pattern, placeholder)
     return F.regexp_replace(text, pattern, placeholder)
 
 
+def apply_rules(text: Column, names: Sequence[str]) -> Column:
+    """Apply rules in the given order; neighbours with the same need share its test."""
+    for need, group in groupby(names, key=_needs):
+        rules = list(group)
+        text = bind(
+            text,
+            lambda t, need=need, rules=rules: F.when(
+                _may_match(t, need), reduce(_replaced, rules, t)
+            ).otherwise(t),
+        )
+    return text
+
+
 def count_rule(text: Column, name: str) -> Column:
     """How often one rule would replace something in the text."""
     pattern = next(_unicode(p) for rule, p, _ in RULES if rule == name)
     if name == CARD_RULE:
         hits = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), passes_luhn)
-        return F.when(text.rlike(pattern), F.size(hits)).otherwise(F.lit(0))
-    return F.regexp_count(text, F.lit(pattern))
+        found = F.size(hits)
+    else:
+        found = F.regexp_count(text, F.lit(pattern))
+    return F.when(_may_match(text, _needs(name)), found).otherwise(F.lit(0))
 
 
 def redact(text: Column, max_chars: int | None = PREVIEW_CHARS) -> Column:
@@ -137,9 +171,7 @@ def redact(text: Column, max_chars: int | None = PREVIEW_CHARS) -> Column:
     not redacted. ``max_chars=None`` redacts the whole text.
     """
     current = text if max_chars is None else F.substring(text, 1, max_chars)
-    for name, _, _ in RULES:
-        current = apply_rule(current, name)
-    return current
+    return apply_rules(current, [name for name, _, _ in RULES])
 
 
 def replace_spans(text: Column, spans: Column) -> Column:
@@ -176,7 +208,7 @@ def report(df: DataFrame, column: str, max_chars: int | None = None) -> DataFram
         running = running.select(
             *kept,
             count_rule(F.col("text"), name).cast("bigint").alias(f"n_{name}"),
-            apply_rule(F.col("text"), name).alias("text"),
+            apply_rules(F.col("text"), [name]).alias("text"),
         )
     totals = running.agg(
         *[

@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgauge.functions.instants import parse_instant
-from callgauge.functions.metadata import OBJECT
+from callgauge.functions.instants import instant_sql
 from callgauge.functions.text import strip
 from callgauge.schema import (
     MESSAGE_CHARS,
@@ -23,102 +22,123 @@ from callgauge.schema import (
     Field,
 )
 
-NUMERIC_KINDS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 INT_MAX = 2**31 - 1
+NUMERIC = "'^(BIGINT|DECIMAL|DOUBLE|FLOAT)'"
 
 
-def _kind(value: Column) -> Column:
-    """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID, OBJECT or ARRAY; NULL if absent."""
-    described = F.schema_of_variant(value)
-    return F.regexp_extract(described, "^[A-Z]+", 0)
+def _parsed_as(field: Field) -> str:
+    """The type a field is parsed as.
 
-
-def _typed(field: Field, value: Column) -> Column:
-    """The value in its stored type, or NULL when the JSON type does not fit."""
-    kind = _kind(value)
+    A required number of the wrong JSON type becomes NULL and is refused as such. Ids,
+    names from a fixed list and instants are refused by their pattern. Only where a
+    wrong type would go unnoticed - free text, and numbers that may be left out - is
+    the value kept as VARIANT, so that its JSON type can be asked for.
+    """
     if field.kind == "object":
-        return F.when(kind == "OBJECT", F.to_json(value))
+        return "map<string,variant>"
     if field.kind in ("number", "integer"):
-        return F.when(kind.isin(*NUMERIC_KINDS), F.try_variant_get(value, "$", "double"))
-    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+        return "double" if field.required else "variant"
+    return "variant" if field.kind == "text" and not field.choices else "string"
 
 
-def _broken(field: Field, kind: Column, value: Column) -> list[Column]:
-    """One Column per rule: its name where the rule is broken, else NULL."""
+DOCUMENT = ",".join(f"`{f.name}`:{_parsed_as(f)}" for f in RECORD_FIELDS)
+VARIANTS = [f for f in RECORD_FIELDS if _parsed_as(f) == "variant"]
 
-    def rule(name: str, broken: Column) -> Column:
-        return F.when(broken, F.lit(f"{field.name}:{name}"))
 
-    absent = kind.isNull() | (kind == "VOID")
-    rules = []
+def _value_sql(field: Field) -> str:
+    """The value in its stored type, or NULL when the JSON type does not fit."""
+    value, kind = f"_doc.`{field.name}`", f"_kind_{field.name}"
+    if field.kind == "object":
+        return f"to_json({value})"
+    if field.kind == "instant":
+        return f"upper({value})"
+    if field not in VARIANTS:
+        return value
+    if field.kind == "text":
+        return f"CASE WHEN {kind} = 'STRING' THEN try_variant_get({value}, '$', 'string') END"
+    return f"CASE WHEN {kind} RLIKE {NUMERIC} THEN try_variant_get({value}, '$', 'double') END"
+
+
+def _rules(field: Field) -> dict[str, str]:
+    """Rule name -> SQL condition under which the field breaks it."""
+    name, value = field.name, f"_v_{field.name}"
+    rules = {}
     if field.required:
-        rules.append(rule("missing", absent))
-        rules.append(rule("type", ~absent & value.isNull()))
+        rules["type"] = f"array_contains(_keys, '{name}') AND {value} IS NULL"
+    elif field in VARIANTS:
+        rules["type"] = f"_kind_{name} <> 'VOID' AND {value} IS NULL"
     elif field.kind == "object":
-        # metadata may be left out, but an explicit null is not an object
-        rules.append(rule("type", kind.isNotNull() & value.isNull()))
-    else:
-        rules.append(rule("type", ~absent & value.isNull()))
+        # it may be left out, but an explicit null is not an object
+        rules["type"] = f"array_contains(_keys, '{name}') AND {value} IS NULL"
     if field.kind == "uuid":
-        rules.append(rule("uuid", ~value.rlike(UUID_PATTERN)))
+        rules["uuid"] = f"NOT {value} RLIKE '{UUID_PATTERN}'"
     if field.kind == "instant":
-        rules.append(rule("instant", value.isNotNull() & parse_instant(value).isNull()))
+        rules["instant"] = f"{value} IS NOT NULL AND _at_{name} IS NULL"
     if field.kind == "number":
-        rules.append(rule("range", (value < 0) | F.isnan(value)))
+        rules["range"] = f"{value} < 0 OR isnan({value})"
     if field.kind == "integer":
-        rules.append(rule("range", (value < 0) | (value > INT_MAX)))
-        rules.append(rule("fraction", value != F.floor(value)))
+        rules["range"] = f"{value} < 0 OR {value} > {INT_MAX}"
+        rules["fraction"] = f"{value} <> floor({value})"
     if field.choices:
-        rules.append(rule("choice", ~value.isin(*field.choices)))
-    if field.min_chars is not None:
-        rules.append(rule("length", ~F.length(value).between(field.min_chars, field.max_chars)))
-    elif field.max_chars is not None:
-        rules.append(rule("length", F.length(value) > field.max_chars))
+        rules["choice"] = f"{value} NOT IN ({', '.join(repr(c) for c in field.choices)})"
+    if field.max_chars is not None:
+        rules["length"] = f"length({value}) NOT BETWEEN {field.min_chars or 0} AND {field.max_chars}"
     return rules
 
 
-def _final(field: Field, value: Column) -> Column:
+def _record_sql(field: Field) -> str:
+    value = f"_v_{field.name}"
     if field.kind == "integer":
-        return F.when(value <= INT_MAX, value).cast("int")
-    if field.kind == "instant":
-        return parse_instant(value)
-    if field.kind == "object":
-        return F.coalesce(value, F.lit("{}"))
-    return value
+        value = f"CAST(CASE WHEN {value} <= {INT_MAX} THEN {value} END AS INT)"
+    elif field.kind == "instant":
+        value = f"_at_{field.name}"
+    elif field.kind == "object":
+        value = f"coalesce({value}, '{{}}')"
+    return f"'{field.name}', {value}"
 
 
 def check(feed: DataFrame) -> DataFrame:
     """Feed rows plus ``record`` (typed) and ``errors``.
 
-    The payload is parsed once into named VARIANT values, so a wrong JSON type, an
-    unknown key and an absent field can be told apart. Wrapping it in brackets makes
-    the parser see the end of the text, so trailing garbage is refused too.
+    The payload is parsed once, into the record's own schema; its keys are listed to
+    tell unknown and absent ones. Wrapping it in brackets makes the parser see the end
+    of the text, so trailing garbage is refused too.
     """
-    documents = F.from_json(F.concat(F.lit("["), F.col("payload"), F.lit("]")), f"array<{OBJECT}>")
-    parsed = feed.withColumn("_docs", documents).withColumn(
-        "_doc", F.when(F.size("_docs") == 1, F.get("_docs", F.lit(0)))
-    )
-    values = {f.name: F.col("_doc").getItem(f.name) for f in RECORD_FIELDS}
-    named = parsed.select(
-        *feed.columns,
-        F.col("_doc").isNull().alias("_malformed"),
-        F.map_keys("_doc").alias("_keys"),
-        F.struct(*[_kind(values[f.name]).alias(f.name) for f in RECORD_FIELDS]).alias("_kind"),
-        F.struct(*[_typed(f, values[f.name]).alias(f.name) for f in RECORD_FIELDS]).alias("_value"),
-    )
-    names = F.array(*[F.lit(f.name) for f in RECORD_FIELDS])
-    unknown = F.size(F.array_except("_keys", names)) > 0
-    rules = [F.when(unknown, F.lit("record:unknown_key"))]
-    for f in RECORD_FIELDS:
-        rules += _broken(f, F.col("_kind")[f.name], F.col("_value")[f.name])
-    errors = F.when(F.col("_malformed"), F.array(F.lit("payload:malformed"))).otherwise(
-        F.array_compact(F.array(*rules))
+    kept = [f"`{c}`" for c in feed.columns]
+    instants = [f for f in RECORD_FIELDS if f.kind == "instant"]
+    values = [f"{_value_sql(f)} AS _v_{f.name}" for f in RECORD_FIELDS]
+    names = ", ".join(f"'{f.name}'" for f in RECORD_FIELDS)
+    required = ", ".join(f"'{f.name}'" for f in RECORD_FIELDS if f.required)
+    broken = [
+        f"CASE WHEN size(array_except(_keys, array({names}))) > 0 THEN 'record:unknown_key' END",
+        f"transform(array_except(array({required}), _keys), f -> f || ':missing')",
+    ]
+    broken += [
+        f"CASE WHEN {condition} THEN '{f.name}:{rule}' END"
+        for f in RECORD_FIELDS
+        for rule, condition in _rules(f).items()
+    ]
+    record = f"named_struct({', '.join(_record_sql(f) for f in RECORD_FIELDS)})"
+    # concat_ws skips the NULLs of unbroken rules
+    reasons = f"CASE WHEN _doc IS NULL THEN 'payload:malformed' ELSE concat_ws(',', {', '.join(broken)}) END"
+    errors = "CASE WHEN _reasons = '' THEN CAST(array() AS array<string>) ELSE split(_reasons, ',') END"
+    return (
+        feed.selectExpr(
+            *kept, f"from_json('[' || payload || ']', 'array<struct<{DOCUMENT}>>') AS _docs"
+        )
+        .selectExpr(
+            *kept,
+            "CASE WHEN size(_docs) = 1 THEN get(_docs, 0) END AS _doc",
+            "CASE WHEN size(_docs) = 1 THEN json_object_keys(payload) END AS _keys",
+        )
+        .selectExpr("*", *[f"schema_of_variant(_doc.`{f.name}`) AS _kind_{f.name}" for f in VARIANTS])
+        .selectExpr("*", *values)
+        .selectExpr("*", *[f"{instant_sql(f'_v_{f.name}')} AS _at_{f.name}" for f in instants])
+        .selectExpr("*", f"{reasons} AS _reasons")
+        # a one-row generator: filters on ``errors`` stay above it, so the payload is
+        # not parsed again inside the filter
+        .selectExpr(*kept, f"inline(array(named_struct('record', {record}, 'errors', {errors})))")
     )
-    record = F.struct(*[_final(f, F.col("_value")[f.name]).alias(f.name) for f in RECORD_FIELDS])
-    # a one-row generator: filters on ``errors`` stay above it, so the payload is
-    # not parsed again inside the filter
-    checked = F.inline(F.array(F.struct(record.alias("record"), errors.alias("errors"))))
-    return named.select(*feed.columns, checked)
 
 
 def good(checked: DataFrame) -> DataFrame:

@@ -40,43 +40,37 @@ def uuid_of(group: str, number: Column) -> Column:
     )
 
 
-def _interval(**parts: Column) -> Column:
-    return F.make_dt_interval(**{k: v.cast("int") for k, v in parts.items()})
-
-
 def calls_of(events: DataFrame) -> DataFrame:
     """Stored calls, one per event; previews are left NULL."""
-    spark = events.sparkSession
-    catalog = F.broadcast(catalogs.numbered_prices(spark))
-    numbered = events.withColumn("entry", (F.col("event_id") % ENTRIES).cast("int"))
-    outcome = F.when(
-        F.col("event_type") == "error",
-        F.element_at(
-            F.array(F.lit("ERROR"), F.lit("RATE_LIMITED"), F.lit("CANCELLED")),
-            (F.col("event_id") % 3).cast("int") + 1,
-        ),
-    ).otherwise("SUCCESS")
-    tokens_in = F.get_json_object("props", "$.k").cast("int")
-    tokens_out = (F.col("event_id") * 7 % 500).cast("int")
-    cost = call_cost(tokens_in, tokens_out, F.col("input_per_1k"), F.col("output_per_1k"))
-    nothing = F.lit(None).cast("string")
-    return numbered.join(catalog, "entry", "left").select(
-        uuid_of("8000", F.col("event_id")).alias("id"),
-        nothing.alias("message_id"),
-        uuid_of("9000", F.col("user_id")).alias("session_id"),
-        F.coalesce("provider", F.lit(UNLISTED[0])).alias("provider"),
-        F.coalesce("model", F.lit(UNLISTED[1])).alias("model"),
-        outcome.alias("status"),
-        (F.col("value") * 10).alias("latency_ms"),
-        F.when(F.col("event_type") != "view", F.col("value") * 2).alias("ttft_ms"),
-        tokens_in.alias("input_tokens"),
-        tokens_out.alias("output_tokens"),
-        F.coalesce(cost, F.lit(0.0)).alias("total_cost"),
-        nothing.alias("error_stack"),
-        nothing.alias("input_preview"),
-        nothing.alias("output_preview"),
-        F.col("ts").alias("created_at"),
-        F.col("props").alias("metadata"),
+    catalog = F.broadcast(catalogs.numbered_prices(events.sparkSession))
+    tokens = events.selectExpr(
+        "*",
+        f"CAST(event_id % {ENTRIES} AS INT) AS entry",
+        "CAST(get_json_object(props, '$.k') AS INT) AS input_tokens",
+        "CAST(event_id * 7 % 500 AS INT) AS output_tokens",
+    )
+    priced = tokens.join(catalog, "entry", "left").withColumn(
+        "cost", call_cost(*map(F.col, ("input_tokens", "output_tokens", "input_per_1k", "output_per_1k")))
+    )
+    return priced.selectExpr(
+        "'00000000-0000-4000-8000-' || lpad(event_id, 12, '0') AS id",
+        "CAST(NULL AS STRING) AS message_id",
+        "'00000000-0000-4000-9000-' || lpad(user_id, 12, '0') AS session_id",
+        f"coalesce(provider, '{UNLISTED[0]}') AS provider",
+        f"coalesce(model, '{UNLISTED[1]}') AS model",
+        """CASE WHEN event_type <> 'error' THEN 'SUCCESS'
+                ELSE element_at(array('ERROR', 'RATE_LIMITED', 'CANCELLED'),
+                                CAST(event_id % 3 AS INT) + 1) END AS status""",
+        "value * 10 AS latency_ms",
+        "CASE WHEN event_type <> 'view' THEN value * 2 END AS ttft_ms",
+        "input_tokens",
+        "output_tokens",
+        "coalesce(cost, 0D) AS total_cost",
+        "CAST(NULL AS STRING) AS error_stack",
+        "CAST(NULL AS STRING) AS input_preview",
+        "CAST(NULL AS STRING) AS output_preview",
+        "ts AS created_at",
+        "props AS metadata",
     )
 
 
@@ -109,44 +103,35 @@ def feed_of(events: DataFrame) -> DataFrame:
 
     Every 17th payload is broken, in one of seven ways in turn.
     """
-    made = calls_of(events)
-    number = F.right("id", F.lit(12)).cast("bigint")
-    stamp = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    flaw = F.when(number % BREAK_EVERY == 0, (number / BREAK_EVERY).cast("bigint") % 7)
-    body = F.to_json(
-        F.struct(
-            F.when(flaw == 5, F.lit("not-a-uuid")).otherwise(F.col("id")).alias("log_id"),
-            F.col("session_id"),
-            F.when(flaw == 2, F.lit("made-up")).otherwise(F.col("provider")).alias("provider"),
-            F.col("model"),
-            F.col("status").alias("request_status"),
-            F.when(flaw == 1, F.lit(None).cast("double"))
-            .when(flaw == 3, F.lit(-5.0))
-            .otherwise(F.col("latency_ms"))
-            .alias("latency_ms"),
-            F.col("ttft_ms"),
-            F.col("input_tokens"),
-            F.col("output_tokens"),
-            F.col("total_cost"),
-            F.concat(
-                F.lit("mail user"), number, F.lit("@example.test from 10.0.0.1")
-            ).alias("input_preview"),
-            F.when(flaw == 6, F.lit("yesterday")).otherwise(stamp).alias("timestamp"),
-            F.parse_json("metadata").alias("metadata"),
-            F.when(flaw == 4, F.lit(1)).alias("surprise"),
-        )
+    numbered = calls_of(events).selectExpr("*", "CAST(right(id, 12) AS BIGINT) AS number")
+    flawed = numbered.selectExpr(
+        "*", f"CASE WHEN number % {BREAK_EVERY} = 0 THEN number DIV {BREAK_EVERY} % 7 END AS flaw"
     )
-    payload = F.when(flaw == 0, F.lit("not-json-at-all")).otherwise(body)
-    copies = F.when(number % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    delivered = made.select(
-        number.alias("number"), payload.alias("payload"), "created_at", copies.alias("copies")
+    written = flawed.selectExpr(
+        "number",
+        "created_at",
+        """CASE WHEN flaw = 0 THEN 'not-json-at-all' ELSE to_json(named_struct(
+             'log_id', CASE WHEN flaw = 5 THEN 'not-a-uuid' ELSE id END,
+             'session_id', session_id,
+             'provider', CASE WHEN flaw = 2 THEN 'made-up' ELSE provider END,
+             'model', model,
+             'request_status', status,
+             'latency_ms', CASE WHEN flaw = 3 THEN -5D WHEN flaw = 1 THEN NULL ELSE latency_ms END,
+             'ttft_ms', ttft_ms,
+             'input_tokens', input_tokens,
+             'output_tokens', output_tokens,
+             'total_cost', total_cost,
+             'input_preview', 'mail user' || number || '@example.test from 10.0.0.1',
+             'timestamp', CASE WHEN flaw = 6 THEN 'yesterday' ELSE
+                            date_format(created_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") END,
+             'metadata', parse_json(metadata),
+             'surprise', CASE WHEN flaw = 4 THEN 1 END)) END AS payload""",
+        "CASE WHEN number % 10 = 3 THEN array(0, 1) ELSE array(0) END AS copies",
     )
-    return delivered.withColumn("copy", F.explode("copies")).select(
-        F.concat_ws("-", F.lpad(F.col("number").cast("string"), 12, "0"), "copy").alias(
-            "origin_id"
-        ),
+    return written.withColumn("copy", F.explode("copies")).selectExpr(
+        "lpad(number, 12, '0') || '-' || copy AS origin_id",
         "payload",
-        (F.col("created_at") + _interval(secs=F.col("copy") * 30)).alias("arrived_at"),
+        "created_at + make_dt_interval(0, 0, 0, copy * 30) AS arrived_at",
     )
 
 
