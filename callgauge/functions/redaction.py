@@ -140,16 +140,17 @@ def _replaced(text: Column, name: str) -> Column:
     return F.regexp_replace(text, pattern, placeholder)
 
 
+def _guarded(text: Column, need: str, names: Sequence[str]) -> Column:
+    return bind(
+        text,
+        lambda t: F.when(_may_match(t, need), reduce(_replaced, names, t)).otherwise(t),
+    )
+
+
 def apply_rules(text: Column, names: Sequence[str]) -> Column:
     """Apply rules in the given order; neighbours with the same need share its test."""
     for need, group in groupby(names, key=_needs):
-        rules = list(group)
-        text = bind(
-            text,
-            lambda t, need=need, rules=rules: F.when(
-                _may_match(t, need), reduce(_replaced, rules, t)
-            ).otherwise(t),
-        )
+        text = _guarded(text, need, list(group))
     return text
 
 
