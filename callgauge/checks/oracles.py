@@ -135,6 +135,11 @@ SELECT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status,
        round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 9) AS total_cost
 FROM calls WHERE {RECENT} GROUP BY 1, 2, 3, 4"""
 
+# reports answered from the rollup equal those from the calls
+ORACLES["rollup_throughput"] = ORACLES["throughput"]
+ORACLES["rollup_status_by_hour"] = ORACLES["status_by_hour"]
+ORACLES["rollup_cost_by_day"] = ORACLES["cost_by_day"]
+
 # --- pricing and admission ---------------------------------------------------------------
 
 ORACLES["price_calls"] = f"""

@@ -104,12 +104,31 @@ def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rollup_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = tables.calls(spark, sf_dir)
-    hourly = call_table.since(calls, tables.AS_OF, 24 * DAYS).withColumn(
-        "hour", F.date_trunc("hour", "created_at").cast("timestamp_ntz")
-    )
-    rows = hourly.groupBy(*rollup.KEYS).agg(*rollup.totals())
-    return rounded(rollup.reaggregate(rows, "day"), "total_latency_ms", "total_cost")
+    rows = rollup.reaggregate(_hourly_sums(spark, sf_dir), "day")
+    return rounded(rows, "total_latency_ms", "total_cost")
+
+
+def _hourly_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The additive part of the rollup."""
+    calls = call_table.since(tables.calls(spark, sf_dir), tables.AS_OF, 24 * DAYS)
+    return rollup.sums_by_hour(calls, with_sketches=False)
+
+
+@query
+def rollup_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = rollup.throughput(_hourly_sums(spark, sf_dir), tables.AS_OF, HOURS)
+    return rounded(report, "total_latency_s", "tokens_per_second")
+
+
+@query
+def rollup_status_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.status_by_hour(_hourly_sums(spark, sf_dir), tables.AS_OF, HOURS)
+
+
+@query
+def rollup_cost_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = rollup.cost_by_day(_hourly_sums(spark, sf_dir), tables.AS_OF, DAYS)
+    return rounded(report, "cost_usd")
 
 
 @query

@@ -54,12 +54,14 @@ def exact_quantiles(
     measures: Mapping[str, str],
     probabilities: Mapping[str, float] = STANDARD_PROBABILITIES,
     broadcast_rows: int = BROADCAST_ROWS,
+    null_keys: bool = True,
 ) -> DataFrame:
     """One row per group: ``n_<measure>`` and ``<p>_<measure>`` columns.
 
     ``measures`` maps output names to numeric columns. NULL values are skipped; a
     group that has none but NULLs gets NULL quantiles and a count of 0, provided
-    another measure has values. ``df`` is scanned twice.
+    another measure has values. ``df`` is scanned twice. ``null_keys=False`` promises
+    that no key is NULL, which saves exchanges.
     """
     wanted = list(probabilities.values())
     series = [*keys, "measure"]
@@ -92,7 +94,7 @@ def exact_quantiles(
     # 3: distinct values of those buckets, split into finer steps
     place = [*series, "bucket", "below", "total"]
     found = (
-        group_join(values, buckets, [*series, "bucket"])
+        group_join(values, buckets, [*series, "bucket"], null_keys=null_keys)
         .selectExpr("*", f"floor({SCALE} * {FINER_STEPS}D) AS step")
         .groupBy(*place, "step", "value")
         .agg(F.expr("count(*) AS n"))
@@ -110,7 +112,7 @@ def exact_quantiles(
     )
 
     # 4: rank the values of the finest step
-    ranked = group_join(found, steps, [*series, "step"]).selectExpr(
+    ranked = group_join(found, steps, [*series, "step"], null_keys=null_keys).selectExpr(
         "*",
         f"step_below + coalesce(sum(n) OVER ({over_series}, step ORDER BY value {before}), 0)"
         " AS first",

@@ -196,6 +196,18 @@ def replace_spans(text: Column, spans: Column) -> Column:
     return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, replaced).otherwise(text)
 
 
+def redact_entities(df: DataFrame, key: str, column: str, spans: DataFrame) -> DataFrame:
+    """Apply a table of entity spans (key, start, end, type) to a text column.
+
+    The spans of one text are gathered into its row; texts without spans stay as they
+    are.
+    """
+    known = spans.where(F.col("type").isin(*ENTITY_TYPES))
+    found = known.groupBy(key).agg(F.collect_list(F.struct("start", "end", "type")).alias("_spans"))
+    replaced = replace_spans(F.col(column), F.col("_spans"))
+    return df.join(found, key, "left").withColumn(column, replaced).select(*df.columns)
+
+
 def report(df: DataFrame, column: str, max_chars: int | None = None) -> DataFrame:
     """Per rule: rows with a hit and number of replacements, on the running text.
 

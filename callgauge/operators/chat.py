@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from callgauge.functions.text import non_empty, strip
 from callgauge.schema import AUTO_TITLE_CHARS, LIST_PREVIEW_CHARS
+from callgauge.session import BROADCAST_ROWS
 
 
 def _name_id(name: Column) -> Column:
@@ -127,7 +128,9 @@ def session_list(
     """
     newest_first = [F.col("updated_at").desc(), F.col("id")]
     page = sessions.where(F.col("user_id") == user_id).orderBy(*newest_first).limit(limit)
-    wanted = F.broadcast(page.select(F.col("id").alias("session_id")))
+    wanted = page.select(F.col("id").alias("session_id"))
+    if limit <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     mine = messages.join(wanted, "session_id", "left_semi")
     listed = _listed(page, mine).withColumn("preview", non_empty(F.col("preview")))
     return listed.orderBy(*newest_first)

@@ -33,12 +33,12 @@ def latency(
 ) -> DataFrame:
     """Successful calls per (provider, model): count and p50 / p95 / p99 of the
     latency and of the time to first token (NULL where no call has one)."""
-    quantiles = approximate_quantiles if approx else exact_quantiles
-    measured = quantiles(
-        _succeeded(calls, as_of, hours),
-        MODEL_KEYS,
-        {"latency": "latency_ms", "ttft": "ttft_ms"},
-    )
+    succeeded = _succeeded(calls, as_of, hours)
+    measures = {"latency": "latency_ms", "ttft": "ttft_ms"}
+    if approx:
+        measured = approximate_quantiles(succeeded, MODEL_KEYS, measures)
+    else:
+        measured = exact_quantiles(succeeded, MODEL_KEYS, measures, null_keys=False)
     # every stored call has a latency, so its count is the number of calls
     report = measured.withColumnRenamed("n_latency", "n").drop("n_ttft")
     return report.orderBy(F.col("n").desc(), *MODEL_KEYS)

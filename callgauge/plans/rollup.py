@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from callgauge.functions.instants import truncate, utc_literal
 from callgauge.functions.joins import group_join
 from callgauge.functions.quantiles import STANDARD_PROBABILITIES, exact_quantiles
-from callgauge.sources.calls import MONTH, since
+from callgauge.plans.reports import MAX_DAYS, MAX_HOURS, MODEL_KEYS, SUCCESS
+from callgauge.sources.calls import MONTH, bounded, since
 
 KEYS = ("hour", "provider", "model", "status")
 SUMS = ("n", "input_tokens", "output_tokens", "total_latency_ms", "total_cost")
@@ -41,16 +42,25 @@ def sketches() -> list[Column]:
     ]
 
 
+def _with_hour(calls: DataFrame) -> DataFrame:
+    return calls.withColumn("hour", truncate("hour", F.col("created_at")))
+
+
+def sums_by_hour(calls: DataFrame, with_sketches: bool = True) -> DataFrame:
+    """Everything of the rollup but the exact percentiles, from one scan."""
+    columns = [*totals(), *(sketches() if with_sketches else [])]
+    return _with_hour(calls).groupBy(*KEYS).agg(*columns)
+
+
 def by_hour(calls: DataFrame, with_sketches: bool = True) -> DataFrame:
     """Rollup rows of all given calls."""
-    hourly = calls.withColumn("hour", truncate("hour", F.col("created_at")))
-    sums = hourly.groupBy(*KEYS).agg(*totals(), *(sketches() if with_sketches else []))
-    quantiles = exact_quantiles(
-        hourly, KEYS, {"latency_ms": "latency_ms", "ttft_ms": "ttft_ms"}
-    ).drop("n_latency_ms", "n_ttft_ms")
+    sums = sums_by_hour(calls, with_sketches)
+    measures = {"latency_ms": "latency_ms", "ttft_ms": "ttft_ms"}
+    quantiles = exact_quantiles(_with_hour(calls), KEYS, measures, null_keys=False)
+    quantiles = quantiles.drop("n_latency_ms", "n_ttft_ms")
     quantile_columns = [c for c in quantiles.columns if c not in KEYS]
-    joined = group_join(sums, quantiles, KEYS, "left")
-    sketched = [c for c in SKETCHES if with_sketches]
+    joined = group_join(sums, quantiles, KEYS, "left", null_keys=False)
+    sketched = SKETCHES if with_sketches else ()
     return joined.select(*KEYS, *SUMS, *quantile_columns, *sketched)
 
 
@@ -72,16 +82,20 @@ def reaggregate(rollup: DataFrame, grain: str = "day") -> DataFrame:
         columns += [F.kll_merge_agg_double(c).alias(c) for c in SKETCHES]
     coarse = rollup.groupBy(truncate(grain, F.col("hour")).alias(grain), *KEYS[1:]).agg(*columns)
     estimates = {
-        f"{name}_{measure}_ms": F.when(
-            F.kll_sketch_get_n_double(f"{measure}_sketch") > 0,
-            F.kll_sketch_get_quantile_double(f"{measure}_sketch", F.lit(p)),
-        )
+        f"{name}_{measure}_ms": _sketched(f"{measure}_sketch", p)
         for measure in ("latency", "ttft")
         for name, p in STANDARD_PROBABILITIES.items()
     }
     return coarse.withColumns(estimates) if SKETCHES[0] in coarse.columns else coarse
 
 
+def _sketched(sketch: str, p: float) -> Column:
+    """A percentile from a sketch; NULL when the sketch saw no value."""
+    return F.when(
+        F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(p))
+    )
+
+
 def save(rollup: DataFrame, path: str, as_of: datetime | str) -> None:
     """Store rollup rows by day, replacing exactly the days they cover."""
     (
@@ -111,3 +125,63 @@ def refresh(
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+# --- the reports, answered from the rollup ---------------------------------------------
+#
+# They read a few rows per hour instead of every call. The time bound works on whole
+# hours: an hour counts when it starts at or after the bound, so with ``as_of`` on the
+# hour the answers equal those from the calls.
+
+
+def _since(rollup: DataFrame, as_of: datetime | str, hours: int) -> DataFrame:
+    start = utc_literal(as_of) - F.make_dt_interval(hours=F.lit(hours))
+    recent = rollup.where(F.col("hour") >= start)
+    return recent.where(F.col("day") >= start.cast("date")) if "day" in rollup.columns else recent
+
+
+def latency(rollup: DataFrame, as_of: datetime | str, hours: int = 24) -> DataFrame:
+    """Latency report from merged sketches: counts are exact, percentiles estimates."""
+    recent = _since(rollup, as_of, bounded(hours, 1, MAX_HOURS, "hours"))
+    merged = (
+        recent.where(F.col("status") == SUCCESS)
+        .groupBy(*MODEL_KEYS)
+        .agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c).alias(c) for c in SKETCHES])
+    )
+    report = merged.withColumns(
+        {
+            f"{name}_{measure}": _sketched(f"{measure}_sketch", p)
+            for measure in ("latency", "ttft")
+            for name, p in STANDARD_PROBABILITIES.items()
+        }
+    )
+    return report.drop(*SKETCHES).orderBy(F.col("n").desc(), *MODEL_KEYS)
+
+
+def throughput(rollup: DataFrame, as_of: datetime | str, hours: int = 24) -> DataFrame:
+    recent = _since(rollup, as_of, bounded(hours, 1, MAX_HOURS, "hours"))
+    tokens, seconds = F.sum("output_tokens"), F.sum("total_latency_ms") / F.lit(1000.0)
+    report = (
+        recent.where(F.col("status") == SUCCESS)
+        .groupBy(*MODEL_KEYS)
+        .agg(
+            F.sum("n").alias("n"),
+            tokens.alias("total_output_tokens"),
+            seconds.alias("total_latency_s"),
+            F.when(seconds > 0, tokens / seconds).otherwise(F.lit(0.0)).alias("tokens_per_second"),
+        )
+    )
+    return report.orderBy(F.col("tokens_per_second").desc(), *MODEL_KEYS)
+
+
+def status_by_hour(rollup: DataFrame, as_of: datetime | str, hours: int = 24) -> DataFrame:
+    recent = _since(rollup, as_of, bounded(hours, 1, MAX_HOURS, "hours"))
+    return recent.groupBy("hour", "status").agg(F.sum("n").alias("n")).orderBy("hour", "status")
+
+
+def cost_by_day(rollup: DataFrame, as_of: datetime | str, days: int = 14) -> DataFrame:
+    recent = _since(rollup, as_of, 24 * bounded(days, 1, MAX_DAYS, "days"))
+    report = recent.groupBy(F.col("hour").cast("date").alias("day"), *MODEL_KEYS).agg(
+        F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("cost_usd"), F.sum("n").alias("n")
+    )
+    return report.orderBy("day", F.col("cost_usd").desc(), *MODEL_KEYS)

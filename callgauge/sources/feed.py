@@ -50,7 +50,7 @@ def stream_kafka(
 def from_topic(records: DataFrame) -> DataFrame:
     """Feed rows from the columns a topic delivers."""
     return records.select(
-        F.concat_ws("-", "topic", F.col("partition"), F.col("offset")).alias("origin_id"),
+        F.concat_ws("-", "topic", "partition", "offset").alias("origin_id"),
         F.col("value").cast("string").alias("payload"),
         to_utc(F.col("timestamp")).alias("arrived_at"),
     )

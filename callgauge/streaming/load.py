@@ -31,7 +31,9 @@ def _stored(
     """Rows other batches stored that could collide with this one."""
     try:
         stored = call_table.read(spark, path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None  # nothing has been loaded yet
     stored = stored.where(F.col(BATCH) != batch)
     if "created_at" not in key:

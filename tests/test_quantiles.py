@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from callgauge.functions.quantiles import approximate_quantiles, exact_quantiles
+from callgauge.plans import reports, rollup, tables
 
 GROUPS = {
     "one": [5.0],
@@ -49,3 +50,18 @@ def test_approximate_quantiles_stay_within_their_rank_error(values):
     ordered = sorted(GROUPS["random"])
     rank = np.searchsorted(ordered, got["random"].p95_a)
     assert abs(rank - 0.95 * len(ordered)) <= 2
+
+
+def test_rollup_latency_estimates(spark, sf_dir):
+    """Merged sketches give the exact counts and percentiles close to the exact ones."""
+    calls = tables.calls(spark, sf_dir)
+    hourly = rollup.sums_by_hour(calls)
+    exact = {r.model: r for r in reports.latency(calls, tables.AS_OF, 720).collect()}
+    for r in rollup.latency(hourly, tables.AS_OF, 720).collect():
+        assert r.n > 0
+        if r.model in exact and exact[r.model].provider == r.provider:
+            assert r.n == exact[r.model].n
+            # a small sketch keeps every value, so it returns one of the neighbours
+            assert r.p50_latency == pytest.approx(exact[r.model].p50_latency, rel=0.25)
+    approx = {r.model: r.n for r in reports.latency(calls, tables.AS_OF, 720, approx=True).collect()}
+    assert approx == {m: r.n for m, r in exact.items()}

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callgauge.functions import redaction
+from callgauge.functions.plugins import span_finder
 
 KEYS = [
     "sk-" + "a1B2" * 6,
@@ -126,3 +127,26 @@ def test_tokens_and_secrets(spark):
         redaction.mask_secret(F.col("s")), redaction.mask_secret(F.col("s"), hide_short=True)
     ).collect()
     assert [tuple(r) for r in shown] == [("abcd…ijkl", "abcd…ijkl"), ("", ""), ("abc…abc", "…")]
+
+
+def test_analyzer_plugin(spark):
+    """An analyzer is loaded per task; kinds outside the four are ignored."""
+
+    def load():
+        names = (("PERSON", "Jane|Bob"), ("MISC", "met"))
+        return lambda t: [(m.start(), m.end(), k) for k, p in names for m in re.finditer(p, t)]
+
+    df = spark.createDataFrame([("Jane met Bob",), ("nobody",), (None,)], "text string")
+    find = span_finder(load)
+    rows = df.select(redaction.replace_spans(F.col("text"), find("text"))).collect()
+    assert [r[0] for r in rows] == ["[PERSON] met [PERSON]", "nobody", None]
+
+
+def test_span_table(spark):
+    df = spark.createDataFrame([(1, "Jane met Bob"), (2, "nobody")], "id int, text string")
+    spans = spark.createDataFrame(
+        [(1, 9, 12, "PERSON"), (1, 0, 4, "PERSON"), (1, 5, 8, "MISC")],
+        "id int, start int, end int, type string",
+    )
+    rows = redaction.redact_entities(df, "id", "text", spans).collect()
+    assert {r.id: r.text for r in rows} == {1: "[PERSON] met [PERSON]", 2: "nobody"}

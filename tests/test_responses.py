@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callgauge.functions.outcome import classify
+from callgauge.functions.plugins import token_counter
 from callgauge.operators import assembly, pricing, records, responses
 from callgauge.operators.assembly import BLOCK
 from callgauge.sources import catalogs
@@ -201,3 +202,10 @@ def test_records(spark):
         assert json.loads(row.metadata) == {
             "turns": 3, "cost_estimated": True, "cost_missing": True,
         }
+
+
+def test_tokenizer_plugin(spark):
+    rows = stream("b", [completion("one two"), completion(" three")])
+    df = assembly.assemble(spark.createDataFrame(rows, CHUNKS))
+    words = token_counter(lambda: lambda text: len(text.split()))
+    assert assembly.backfill_usage(df, estimator=words).first().output_tokens == 3

@@ -118,3 +118,21 @@ def test_report_bounds(spark, bad):
     calls = tables.calls(spark, "/root/testdata/sf0.001")
     with pytest.raises(ValueError, match="hours"):
         reports.latency(calls, tables.AS_OF, bad)
+
+
+def test_topic_records_become_feed_rows(spark):
+    """The columns a topic delivers; the connector itself is not part of the image."""
+    record = ("calls", bytearray(b"payload"), 3, 42, datetime(2026, 5, 1, 10))
+    df = spark.createDataFrame(
+        [record], "topic string, value binary, partition int, offset bigint, timestamp timestamp"
+    )
+    row = feeds.from_topic(df).first()
+    assert (row.origin_id, row.payload) == ("calls-3-42", "payload")
+    assert feeds.from_topic(df).schema["arrived_at"].dataType == FEED_SCHEMA["arrived_at"].dataType
+
+
+def test_unreadable_table_is_an_error_not_an_empty_one(spark, tmp_path):
+    """Only a table that does not exist yet counts as empty."""
+    feed = spark.createDataFrame([_row(0, 1)], FEED_SCHEMA)
+    with pytest.raises(Exception, match="scheme"):
+        live.load_batch(feed, 0, "nosuchfs://host/calls", str(tmp_path / "dead"))
