@@ -254,7 +254,7 @@ months AS (SELECT DISTINCT date_trunc('month', created_at)::DATE AS m FROM sprea
 every AS (
   SELECT m FROM months
   UNION
-  SELECT ((SELECT min(m) FROM months) + to_months(i::INTEGER))::DATE FROM range(12) r(i)
+  SELECT ((SELECT min(m) FROM months) + to_months(i::INTEGER))::DATE FROM range(14) r(i)
 )
 SELECT strftime(m, 'calls_%Y_%m') AS name, m AS lower, (m + INTERVAL 1 MONTH)::DATE AS upper
 FROM every"""
@@ -694,3 +694,7 @@ SELECT date_trunc('hour', created_at) AS hour, provider, model, status, count(*)
        round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 9) AS total_cost
 FROM calls GROUP BY 1, 2, 3, 4
 HAVING hour + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM calls) - INTERVAL 1 HOUR"""
+
+ORACLES["stream_preview"] = f"""
+WITH {TURN_REQUESTS}, whole AS ({ORACLES["assemble_messages"]})
+SELECT * REPLACE (left(text, 500) AS text), true AS complete FROM whole"""

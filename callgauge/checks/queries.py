@@ -249,12 +249,8 @@ def _spread_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def month_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = loading.months_touched(_spread_calls(spark, sf_dir))
     first = months.agg(F.min("created_month").alias("first"))
-    # the twelve months from the first one in the data, plus every month the data has
-    forward = first.select(
-        F.explode(F.sequence("first", F.add_months("first", 11), F.expr("interval 1 month"))).alias(
-            "month"
-        )
-    )
+    # fourteen months from the first one in the data, and every month the data has
+    forward = call_table.months_forward(first, "first", 14)
     every = forward.unionAll(months.select("created_month")).distinct()
     return call_table.month_bounds(every)
 
@@ -692,3 +688,13 @@ def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/calls").drop("stop_reason")
 
 
+
+
+@query
+def stream_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls emitted by their terminal event, with the start of their text."""
+    root = scratch_path(spark, "preview")
+    conversations = tables.table_stream(spark, sf_dir, "conversations")
+    live = live_assembly.preview_stream(tables.chunks_of(conversations, "messages"), "messages")
+    live_assembly.write(live, f"{root}/calls", f"{root}/offsets").awaitTermination()
+    return spark.read.parquet(f"{root}/calls")

@@ -50,6 +50,11 @@ def instant_sql(text: str) -> str:
     )
 
 
+def iso(instant: Column) -> Column:
+    """ISO-8601 text of an instant, as feed payloads carry it."""
+    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def elapsed_ms(start: Column, end: Column) -> Column:
     """Milliseconds between two instants, with microsecond precision."""
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1000.0)

@@ -34,8 +34,9 @@ FINER_STEPS = 4096
 STANDARD_PROBABILITIES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
-# log1p is monotonic, so a larger value never lands in an earlier bucket
-SCALE = f"(signum(value) * log1p(abs(value)) * {STEPS}D)"
+# log1p is monotonic, so a larger value never lands in an earlier bucket; NaN is the
+# largest value, as in SQL ordering
+SCALE = f"nanvl(signum(value) * log1p(abs(value)) * {STEPS}D, DOUBLE('Infinity'))"
 
 
 def _holds_rank(first: str, probabilities: Sequence[float]) -> str:

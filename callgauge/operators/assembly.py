@@ -20,6 +20,8 @@ from callgauge.functions.text import estimated_tokens
 from callgauge.operators.responses import parse_chunks
 
 BLOCK = 512
+# 512 ** 3 chunks of a call end in one row; longer calls in one row per so many
+LEVELS = 3
 
 
 def _joined(position: str, text: str, max_chars: int | None) -> Column:
@@ -57,31 +59,48 @@ def assemble(
     ``last_at`` and ``n_chunks``.
 
     With ``max_chars`` every block is cut to that length as well; the first
-    characters of the whole need no more than that from any block, so the result
-    is the same and the rows stay short.
+    characters of the whole need no more than that from any block, so the result is
+    the same. Rows then stay short, and blocks are folded into blocks of blocks until
+    a call of any length ends in a small group. The whole text of a call has to fit
+    into its row in any case, so without ``max_chars`` one level is enough.
     """
-    parsed = parse_chunks(chunks, shape)
-    has_text = F.col("text") != ""
     carried = ("input_tokens", "output_tokens", "stop_reason")
-    blocks = (
-        parsed.withColumn("block", F.floor(F.col("seq") / BLOCK))
-        .groupBy("call_id", "block")
-        .agg(
-            _joined("seq", "text", max_chars).alias("text"),
-            F.sum(F.length("text").cast("bigint")).alias("n_chars"),
-            *[latest(F.col(c), F.col("seq")).alias(c) for c in carried],
-            F.min(F.when(has_text, F.struct("seq", "ts"))).alias("first_text"),
-            F.max("ts").alias("last_at"),
-            F.count("*").alias("n_chunks"),
-        )
+    rows = parse_chunks(chunks, shape).select(
+        "call_id",
+        F.col("seq").alias("position"),
+        "text",
+        F.length("text").cast("bigint").alias("n_chars"),
+        *[
+            F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("value"))).alias(c)
+            for c in carried
+        ],
+        F.when(F.col("text") != "", F.struct("seq", "ts")).alias("first_text"),
+        F.col("ts").alias("last_at"),
+        F.lit(1).cast("bigint").alias("n_chunks"),
     )
-    return blocks.groupBy("call_id").agg(
-        _joined("block", "text", max_chars).alias("text"),
+    folded = [
+        _joined("position", "text", max_chars).alias("text"),
         F.sum("n_chars").alias("n_chars"),
-        *[F.max(c)["value"].alias(c) for c in carried],
-        F.min("first_text")["ts"].alias("first_text_at"),
+        *[F.max(c).alias(c) for c in carried],
+        F.min("first_text").alias("first_text"),
         F.max("last_at").alias("last_at"),
         F.sum("n_chunks").alias("n_chunks"),
+    ]
+    for _ in range(1 if max_chars is None else LEVELS):
+        block = F.floor(F.col("position") / BLOCK).alias("position")
+        rows = rows.groupBy("call_id", block).agg(*folded)
+    return (
+        rows.groupBy("call_id")
+        .agg(*folded)
+        .select(
+            "call_id",
+            "text",
+            "n_chars",
+            *[F.col(c)["value"].alias(c) for c in carried],
+            F.col("first_text")["ts"].alias("first_text_at"),
+            "last_at",
+            "n_chunks",
+        )
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callgauge.functions.instants import month_of
 from callgauge.functions.redaction import redact
 from callgauge.operators import validation
 from callgauge.schema import CALL_COLUMNS, CALLS_SCHEMA, MAX_LOAD_ATTEMPTS, RECORD_FIELDS
@@ -102,4 +103,11 @@ def replay(dead_letters: DataFrame) -> DataFrame:
 
 def months_touched(rows: DataFrame) -> DataFrame:
     """Distinct month partitions of a batch."""
-    return rows.select(F.trunc(F.col("created_at").cast("date"), "month").alias(MONTH)).distinct()
+    return rows.select(month_of(F.col("created_at")).alias(MONTH)).distinct()
+
+
+def instants_touched(rows: DataFrame) -> DataFrame:
+    """Per month partition of a batch: its first and last instant."""
+    return rows.groupBy(month_of(F.col("created_at")).alias(MONTH)).agg(
+        F.min("created_at").alias("first"), F.max("created_at").alias("last")
+    )

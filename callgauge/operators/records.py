@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgauge.functions.instants import elapsed_ms
+from callgauge.functions.instants import elapsed_ms, iso
 from callgauge.functions.metadata import merge_objects
 from callgauge.functions.outcome import classify
 from callgauge.functions.text import estimated_tokens, preview
@@ -96,7 +96,7 @@ def to_payload(records: DataFrame) -> DataFrame:
     fields = [
         F.col(f.name)
         if f.kind not in ("instant", "object")
-        else F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(f.name)
+        else iso(F.col(f.name)).alias(f.name)
         if f.kind == "instant"
         else F.parse_json(f.name).alias(f.name)
         for f in RECORD_FIELDS

@@ -89,12 +89,12 @@ def month_bounds(months: DataFrame, column: str = "month", prefix: str = "calls"
     )
 
 
-def months_forward(spark: SparkSession, start: date | str, count: int) -> DataFrame:
-    """``count`` consecutive month starts, the first one holding ``start``."""
-    first = F.trunc(date_literal(start), "month")
-    return spark.range(count).select(
-        F.add_months(first, F.col("id").cast("int")).cast("date").alias("month")
-    )
+def months_forward(starts: DataFrame, column: str, count: int) -> DataFrame:
+    """For each start date, ``count`` consecutive months from the one holding it."""
+    first = F.trunc(F.col(column), "month")
+    last = F.add_months(first, count - 1)
+    month = F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))
+    return starts.select(month.alias("month"))
 
 
 def in_declared_months(created_at: Column, first: date | str, count: int) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 from functools import reduce
+from operator import or_
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -38,11 +39,15 @@ def _stored(
     stored = stored.where(F.col(BATCH) != batch)
     if "created_at" not in key:
         return stored
-    # equal keys have equal months, so other months need not be read
-    months = loading.months_touched(rows).limit(MONTHS_TO_PRUNE + 1).collect()
-    if len(months) <= MONTHS_TO_PRUNE:
-        stored = stored.where(F.col(MONTH).isin([row[MONTH] for row in months]))
-    return stored
+    # equal keys have equal instants: per month, only the span the batch covers can
+    # collide, and that span reaches the partition filter and the row-group statistics
+    spans = loading.instants_touched(rows).limit(MONTHS_TO_PRUNE + 1).collect()
+    if len(spans) > MONTHS_TO_PRUNE:
+        return stored
+    covered = [
+        (F.col(MONTH) == s[MONTH]) & F.col("created_at").between(s["first"], s["last"]) for s in spans
+    ]
+    return stored.where(reduce(or_, covered, F.lit(False)))
 
 
 def load_batch(

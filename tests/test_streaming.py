@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import json
+from datetime import datetime, timedelta
 
 import pytest
 
 from callgauge.operators import loading, validation
 from callgauge.plans import reports, rollup, tables
-from callgauge.schema import FEED_SCHEMA
+from callgauge.schema import CHUNKS_SCHEMA, FEED_SCHEMA
 from callgauge.sources import calls as call_table
 from callgauge.sources import feed as feeds
+from callgauge.streaming import assembly as live_assembly
 from callgauge.streaming import load as live
 
 from test_validation import payload
@@ -136,3 +138,51 @@ def test_unreadable_table_is_an_error_not_an_empty_one(spark, tmp_path):
     feed = spark.createDataFrame([_row(0, 1)], FEED_SCHEMA)
     with pytest.raises(Exception, match="scheme"):
         live.load_batch(feed, 0, "nosuchfs://host/calls", str(tmp_path / "dead"))
+
+
+def test_preview_stream_with_bounded_state(spark, tmp_path):
+    """Two micro-batches: order does not matter, calls end by their event or by the gap."""
+    source, out, offsets = (str(tmp_path / p) for p in ("chunks", "out", "offsets"))
+    start = datetime(2026, 5, 1, 10)
+
+    def event(call, seq, kind, second, **fields):
+        body = json.dumps({"type": kind, **fields})
+        return (call, seq, start + timedelta(seconds=second), body)
+
+    def words(call, seq, text, second):
+        delta = {"type": "text_delta", "text": text}
+        return event(call, seq, "content_block_delta", second, delta=delta)
+
+    def add(rows):
+        df = spark.createDataFrame(rows, CHUNKS_SCHEMA)
+        df.coalesce(1).write.mode("append").parquet(source)
+
+    def drain():
+        chunks = feeds.stream_files(spark, source, schema=CHUNKS_SCHEMA)
+        live_assembly.write(
+            live_assembly.preview_stream(chunks, "messages", gap_seconds=60, max_chars=6), out, offsets
+        ).awaitTermination()
+        return {r.call_id: r for r in spark.read.parquet(out).collect()}
+
+    usage = {"usage": {"output_tokens": 9}, "delta": {"stop_reason": "end_turn"}}
+    add([
+        words("a", 3, "ghijkl", 3), words("a", 1, "abc", 1),
+        words("open", 1, "never ", 1), words("open", 2, "ended", 2),
+        event("b", 0, "message_start", 0, message={"usage": {"input_tokens": 4}}),
+        words("b", 1, "done", 1), event("b", 2, "message_stop", 2),
+    ])
+    first = drain()
+    assert set(first) == {"b"} and first["b"].complete
+    assert (first["b"].text, first["b"].input_tokens, first["b"].output_tokens) == ("done", 4, None)
+    add([
+        words("a", 2, "def", 2), event("a", 4, "message_delta", 4, **usage),
+        event("a", 5, "message_stop", 5), words("later", 1, "x", 3600),
+    ])
+    got = drain()
+    assert set(got) == {"a", "b", "open"}
+    a = got["a"]
+    assert (a.text, a.n_chars, a.n_chunks, a.output_tokens, a.stop_reason) == (
+        "abcdef", 12, 5, 9, "end_turn",
+    )
+    assert (a.first_text_at, a.last_at) == (start + timedelta(seconds=1), start + timedelta(seconds=5))
+    assert (got["open"].text, got["open"].complete, got["open"].n_chars) == ("never ", False, 11)
