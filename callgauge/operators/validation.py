@@ -30,15 +30,15 @@ def _parsed_as(field: Field) -> str:
     """The type a field is parsed as.
 
     A required number of the wrong JSON type becomes NULL and is refused as such. Ids,
-    names from a fixed list and instants are refused by their pattern. Only where a
-    wrong type would go unnoticed - free text, and numbers that may be left out - is
-    the value kept as VARIANT, so that its JSON type can be asked for.
+    names from a fixed list and instants are refused by their pattern. Free text, and
+    scalars that may be left out, are kept as VARIANT, so that their JSON type can be
+    asked for and an explicit null differs from an absent field.
     """
     if field.kind == "object":
         return "map<string,variant>"
-    if field.kind in ("number", "integer"):
-        return "double" if field.required else "variant"
-    return "variant" if field.kind == "text" and not field.choices else "string"
+    if not field.required or (field.kind == "text" and not field.choices):
+        return "variant"
+    return "double" if field.kind in ("number", "integer") else "string"
 
 
 DOCUMENT = ",".join(f"`{f.name}`:{_parsed_as(f)}" for f in RECORD_FIELDS)
@@ -54,7 +54,7 @@ def _value_sql(field: Field) -> str:
         return f"upper({value})"
     if field not in VARIANTS:
         return value
-    if field.kind == "text":
+    if field.kind in ("text", "uuid"):
         return f"CASE WHEN {kind} = 'STRING' THEN try_variant_get({value}, '$', 'string') END"
     return f"CASE WHEN {kind} RLIKE {NUMERIC} THEN try_variant_get({value}, '$', 'double') END"
 
@@ -64,12 +64,12 @@ def _rules(field: Field) -> dict[str, str]:
     name, value = field.name, f"_v_{field.name}"
     rules = {}
     if field.required:
-        rules["type"] = f"array_contains(_keys, '{name}') AND {value} IS NULL"
+        rules["type"] = f"{value} IS NULL AND array_contains(_keys, '{name}')"
     elif field in VARIANTS:
-        rules["type"] = f"_kind_{name} <> 'VOID' AND {value} IS NULL"
+        rules["type"] = f"{value} IS NULL AND _kind_{name} <> 'VOID'"
     elif field.kind == "object":
         # it may be left out, but an explicit null is not an object
-        rules["type"] = f"array_contains(_keys, '{name}') AND {value} IS NULL"
+        rules["type"] = f"{value} IS NULL AND array_contains(_keys, '{name}')"
     if field.kind == "uuid":
         rules["uuid"] = f"NOT {value} RLIKE '{UUID_PATTERN}'"
     if field.kind == "instant":
@@ -108,10 +108,17 @@ def check(feed: DataFrame) -> DataFrame:
     instants = [f for f in RECORD_FIELDS if f.kind == "instant"]
     values = [f"{_value_sql(f)} AS _v_{f.name}" for f in RECORD_FIELDS]
     names = ", ".join(f"'{f.name}'" for f in RECORD_FIELDS)
-    required = ", ".join(f"'{f.name}'" for f in RECORD_FIELDS if f.required)
+    required = [f.name for f in RECORD_FIELDS if f.required]
+    required_names = ", ".join(f"'{name}'" for name in required)
+    lacking = " OR ".join(f"_v_{name} IS NULL" for name in required)
+    # every known value that is not NULL has a key of its own; with as many keys as
+    # such values there is no other key, and the key lists need not be compared
+    present = " + ".join(f"CAST(_doc.`{f.name}` IS NOT NULL AS INT)" for f in RECORD_FIELDS)
     broken = [
-        f"CASE WHEN size(array_except(_keys, array({names}))) > 0 THEN 'record:unknown_key' END",
-        f"transform(array_except(array({required}), _keys), f -> f || ':missing')",
+        f"CASE WHEN size(_keys) <> _present AND size(array_except(_keys, array({names}))) > 0"
+        " THEN 'record:unknown_key' END",
+        f"CASE WHEN {lacking} THEN transform(array_except(array({required_names}), _keys),"
+        " f -> f || ':missing') END",
     ]
     broken += [
         f"CASE WHEN {condition} THEN '{f.name}:{rule}' END"
@@ -120,7 +127,10 @@ def check(feed: DataFrame) -> DataFrame:
     ]
     record = f"named_struct({', '.join(_record_sql(f) for f in RECORD_FIELDS)})"
     # concat_ws skips the NULLs of unbroken rules
-    reasons = f"CASE WHEN _doc IS NULL THEN 'payload:malformed' ELSE concat_ws(',', {', '.join(broken)}) END"
+    reasons = (
+        "CASE WHEN _malformed THEN 'payload:malformed' "
+        f"ELSE concat_ws(',', {', '.join(broken)}) END"
+    )
     errors = "CASE WHEN _reasons = '' THEN CAST(array() AS array<string>) ELSE split(_reasons, ',') END"
     return (
         feed.selectExpr(
@@ -132,7 +142,8 @@ def check(feed: DataFrame) -> DataFrame:
             "CASE WHEN size(_docs) = 1 THEN json_object_keys(payload) END AS _keys",
         )
         .selectExpr("*", *[f"schema_of_variant(_doc.`{f.name}`) AS _kind_{f.name}" for f in VARIANTS])
-        .selectExpr("*", *values)
+        .selectExpr("*", "_doc IS NULL AS _malformed", f"{present} AS _present", *values)
+        .drop("_doc")
         .selectExpr("*", *[f"{instant_sql(f'_v_{f.name}')} AS _at_{f.name}" for f in instants])
         .selectExpr("*", f"{reasons} AS _reasons")
         # a one-row generator: filters on ``errors`` stay above it, so the payload is
