@@ -9,8 +9,8 @@ the id first) and a bounded vocabulary (``max_features``). Labels that only tell
 clean are refined: toxic documents are graded by how often they use the words that set
 toxic documents of the sample apart, cut at equal shares. Scoring reads whole texts.
 
-Defined results: a null or empty text has no features and takes the grade of the
-thresholds alone; documents without label are only scored; of repeated labels the largest
+Defined results: a text without a word of the vocabulary (null, empty) has severity 0;
+documents without label are only scored; of repeated labels the largest
 counts; without labels of both kinds nothing is rejected and the severity is 0.
 """
 
@@ -67,7 +67,7 @@ def fit_ordinal(
     n_features: int,
     n_grades: int,
     *,
-    steps: int = 300,
+    steps: int = 400,
     rate: float = 0.1,
     decay: float = 1e-4,
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -114,6 +114,8 @@ def predict(model: Model, text: str | None) -> tuple[float, int, bool]:
     found = words(text or "")
     # the vocabulary is short, so the smaller of the two is looked up in the larger
     hits = found.keys() & model.weights.keys()
+    if not hits:
+        return 0.0, 0, False
     eta = sum(model.weights[w] * value(found[w]) for w in sorted(hits))
     above = [float(_sigmoid(np.float64(eta - t))) for t in model.thresholds]
     at_least = [1.0, *above, 0.0]
@@ -195,6 +197,9 @@ def fit(
             "word",
             (lift_toxic > LIFT * lift_clean).alias("telling"),
             ((lift_toxic - lift_clean) ** 2 / both).alias("power"),
+            F.log(
+                ((F.col("t") + 1) / (n_toxic + 1)) / ((F.col("c") + 1) / (n_clean + 1))
+            ).alias("odds"),
         )
         .orderBy(F.desc("power"), "word")
         .limit(max_features)
@@ -215,9 +220,12 @@ def fit(
         toxic = np.where(toxic > 0, 1 + np.searchsorted(cuts, use, side="left"), 0)
     else:
         grades = int(toxic.max()) + 1
+    # features are scaled by the word's log odds, so rare words without a side stay weak
+    odds = np.array([r.odds for r in vocabulary])
     weights, thresholds = fit_ordinal(
-        rows, columns, 1.0 + np.log(counts), toxic, len(index), grades
+        rows, columns, (1.0 + np.log(counts)) * odds[columns], toxic, len(index), grades
     )
+    weights = weights * odds
     return Model(
         {w: float(weights[i]) for w, i in index.items()}, tuple(float(t) for t in thresholds)
     )
