@@ -13,7 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage, survives executors."""
+    """``df`` written to the shared folder and read back: cuts the lineage, survives executors.
+
+    A join with a stored aggregate shuffles both sides for the join alone, which lets adaptive
+    execution split a hot key; straight after its own grouping the aggregate would not move.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callgauge.llm.common import stored
 from callgauge.session import materialize
 
 
@@ -31,8 +32,11 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        # stored, so that the many neighbours of one node can be split in the join
+        below = both.filter("b > a").join(stored(least, "least"), "a")
+        large = (
+            below.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        )
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         edges = materialize(

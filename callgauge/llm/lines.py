@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callgauge.llm.common import stored
 from callgauge.session import BROADCAST_ROWS, materialize
 
 # fixed lists: elements without visible text, and elements that start a new line
@@ -87,6 +88,8 @@ def drop_boilerplate(
     by_host = common.groupBy("host").agg(F.collect_list("line").alias("common"))
     if common.limit(broadcast_lines + 1).count() <= broadcast_lines:  # 32 bytes each
         by_host = F.broadcast(by_host)
+    else:
+        by_host = stored(by_host, "common-lines")
     none = F.array().cast("array<string>")
     kept = F.filter(
         "lines",

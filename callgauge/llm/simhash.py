@@ -295,7 +295,9 @@ def near_duplicates(
     parts = prints.join(grouped, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("part")
     )
-    smallest = parts.groupBy("part").agg(F.min("least").alias("component"))
+    smallest = stored(
+        parts.groupBy("part").agg(F.min("least").alias("component")), "simhash-smallest"
+    )
     named = parts.join(smallest, "part").select("fp", "component")
     return rows.join(named, "fp").select("id", "fp", "component")
 

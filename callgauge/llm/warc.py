@@ -60,11 +60,12 @@ def revisits(rows: DataFrame, min_bytes: int) -> DataFrame:
     shared by any share of the rows never gathers anywhere.
     """
     long_enough = rows.filter(F.col("bytes") >= min_bytes)
-    kept = (
+    kept = stored(
         long_enough.groupBy("digest")
         .agg(F.max("id").alias("refers_to"), F.count("*").alias("n"))
         .filter("n > 1 AND refers_to IS NOT NULL")
-        .drop("n")
+        .drop("n"),
+        "warc-kept",
     )
     return (
         long_enough.join(kept, "digest")
