@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callgauge.llm.common import utf8
+from callgauge.llm.common import stored, utf8
 
 MAX_BITS = 1 << 28  # 32 MB
 BITS_PER_ROW = 16
@@ -153,14 +153,19 @@ def groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS
 ) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col(id_col).alias("id"), text_sha256(text_col).alias("sha"))
+    rows = stored(
+        docs.select(F.col(id_col).alias("id"), text_sha256(text_col).alias("sha")), "digests"
+    )
     tested = rows.withColumn("maybe", maybe_repeated(rows, "sha", max_bits))
     alone = tested.filter("NOT maybe").select(
         "id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )
     doubtful = tested.filter("maybe").select("id", "sha")
-    sizes = doubtful.groupBy("sha").agg(
-        F.max("id").alias("keep_id"), F.count("*").alias("group_size")
+    sizes = stored(
+        doubtful.groupBy("sha").agg(
+            F.max("id").alias("keep_id"), F.count("*").alias("group_size")
+        ),
+        "digest-groups",
     )
     found = alone.unionByName(
         doubtful.join(sizes, "sha").select("id", "sha", "keep_id", "group_size")
@@ -186,7 +191,7 @@ def keep(
     tested = rows.withColumn(maybe, maybe_repeated(rows, sha, max_bits))
     id_of = F.col(held)[id_col]
     doubtful = tested.filter(maybe).select(held, sha)
-    best = doubtful.groupBy(sha).agg(F.max(id_of).alias("__keep"))
+    best = stored(doubtful.groupBy(sha).agg(F.max(id_of).alias("__keep")), "digest-groups")
     # rows that repeat the kept id are equal up to their other columns: one of them stays
     stay = (
         doubtful.join(best, sha)
