@@ -31,7 +31,7 @@ from callgauge.llm.common import utf8
 
 ORDER = 2
 BACKOFF = 0.4
-BLOCK_BYTES = 24 << 20  # text per block; a hash range receives about as much
+BLOCK_BYTES = 8 << 20  # text per block; a hash range receives about as much
 _NONE = np.uint64(0)  # hash of the empty n-gram
 
 
@@ -84,19 +84,18 @@ def _numbers(planes: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(rows).view(kind).ravel()
 
 
-def _slices(found: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each hash range begins in ascending hashes; one more for the end."""
-    width = (1 << 64) // ranges + 1
-    starts = np.array([i * width for i in range(ranges)], dtype=np.uint64)
-    return np.append(np.searchsorted(found, starts), len(found))
+def _slices(found: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(hash range, first, end) of the ranges that ascending hashes fall into."""
+    parts = found // np.uint64((1 << 64) // ranges + 1) if ranges > 1 else found & np.uint64(0)
+    numbers, first = np.unique(parts.astype(np.int64), return_index=True)
+    return list(zip(numbers.tolist(), first.tolist(), [*first[1:].tolist(), len(found)], strict=True))
 
 
 def _request(order: int, ranges: int):
     def run(block: pa.Table) -> pa.Table:
         _, orders = _grams(block["text"].to_pylist(), order)
         found, counts = _asked(orders)
-        ends = _slices(found, ranges)
-        parts = [(i, ends[i], ends[i + 1]) for i in range(ranges) if ends[i] < ends[i + 1]]
+        parts = _slices(found, ranges)
         return pa.table(
             {
                 "part": pa.array([i for i, _, _ in parts], type=pa.int64()),
