@@ -128,6 +128,10 @@ ORACLES["rollup_refresh"] = f"""
 WITH {CALLS} {HOURLY}, TIMESTAMP '2024-01-31' AS refreshed_at
 FROM calls WHERE {RECENT} GROUP BY 1, 2, 3, 4"""
 
+ORACLES["rollup_refresh_removed"] = f"""
+WITH {CALLS} {HOURLY}, TIMESTAMP '2024-01-31' AS refreshed_at
+FROM calls WHERE {RECENT} AND day(created_at) % 3 <> 0 GROUP BY 1, 2, 3, 4"""
+
 ORACLES["rollup_daily"] = f"""
 WITH {CALLS}
 SELECT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status, count(*) AS n,
@@ -236,6 +240,8 @@ FROM good WHERE copy = 1 OR created_at < TIMESTAMP '2024-01-08'"""
 
 ORACLES["stream_load"] = f"WITH {FEED} SELECT {STORED_ROW} FROM good WHERE copy = 0"
 
+ORACLES["stream_load_two"] = ORACLES["stream_load"]
+
 ORACLES["stream_dead"] = f"""
 WITH {FEED}
 SELECT origin_id, errors, 1 AS attempts FROM dead
@@ -662,6 +668,10 @@ ORACLES["context_window"] = f"WITH {_window('coalesce(caps.cap, 20)')} SELECT *
 
 ORACLES["context_window_small"] = f"WITH {_window('2')} SELECT * FROM shown"
 
+ORACLES["context_window_caps"] = f"""
+WITH {_window("CASE t.model WHEN 'gpt-4o-mini' THEN 1 WHEN 'gpt-4o' THEN 2 ELSE 20 END")}
+SELECT * FROM shown"""
+
 ORACLES["last_user_message"] = f"""
 WITH {_window('2')}
 SELECT conv_id, count(*) AS turns, arg_max(text, turn) FILTER (role = 'user') AS last_user_text

@@ -41,6 +41,7 @@ HOURS = 720
 DAYS = 30
 SESSION = "00000000-0000-4000-9000-000000000007"
 CALL = "00000000-0000-4000-8000-000000000042"
+CUSTOM_CAPS = {"gpt-4o-mini": 1, "gpt-4o": 2}
 CHAT_USER = "00000000-0000-4000-c000-000000000003"
 
 
@@ -153,6 +154,19 @@ def rollup_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pricing and admission -----------------------------------------------------------
 
 
+@query
+def rollup_refresh_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rollup after the calls of every third day were removed."""
+    path = scratch_path(spark, "rollup")
+    calls = tables.calls(spark, sf_dir)
+    rollup.refresh(calls, path, tables.AS_OF, DAYS)
+    left = calls.where(F.dayofmonth("created_at") % 3 != 0)
+    rollup.refresh(left, path, tables.AS_OF, DAYS)
+    stored = rollup.read(spark, path).drop(*rollup.SKETCHES, "day")
+    floats = [c for c in stored.columns if c.startswith(("p50", "p95", "p99", "total"))]
+    return rounded(stored, *floats)
+
+
 @query
 def price_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = pricing.flag_missing_cost(pricing.with_cost(tables.calls(spark, sf_dir)))
@@ -600,6 +614,14 @@ def context_window_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.context_window(_turns(spark, sf_dir), cap=2)
 
 
+@query
+def context_window_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With caps below the default for two models; the others keep the default."""
+    caps = spark.createDataFrame(list(CUSTOM_CAPS.items()), "model string, cap int")
+    turns = _turns(spark, sf_dir)
+    return context.context_window(turns, caps=caps, max_cap=max(CUSTOM_CAPS.values()))
+
+
 @query
 def last_user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.last_user_message(context.context_window(_turns(spark, sf_dir), cap=2))
@@ -642,6 +664,20 @@ def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_table.read(spark, f"{root}/calls").select(*CALL_COLUMNS)
 
 
+@query
+def stream_load_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call table after two feeds, each with its own checkpoint, and a replay."""
+    root = scratch_path(spark, "load")
+    for part in range(2):
+        events = tables.table_stream(spark, sf_dir, "events").where(F.col("event_id") % 2 == part)
+        live_load.load_stream(
+            tables.feed_of(events), f"{root}/calls", f"{root}/dead", f"{root}/offsets{part}"
+        ).awaitTermination()
+    again = loading.retryable(spark.read.parquet(f"{root}/dead"))
+    live_load.load_batch(again, 0, f"{root}/calls", f"{root}/dead-again", stream="replay")
+    return call_table.read(spark, f"{root}/calls").select(*CALL_COLUMNS)
+
+
 @query
 def stream_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dead-letter table after the feed was loaded as a stream."""

@@ -28,10 +28,12 @@ def upsert_users(users: DataFrame, seen: DataFrame) -> DataFrame:
     """Insert names seen for the first time, refresh ``last_seen_at`` of the others.
 
     ``seen`` has (username, seen_at), any number of rows per name; names are
-    trimmed. New users get an id derived from their name.
+    trimmed, and blank or missing ones are left out. New users get an id derived from
+    their name.
     """
     arrivals = (
         seen.select(strip(F.col("username")).alias("username"), "seen_at")
+        .where(F.col("username") != "")
         .groupBy("username")
         .agg(F.min("seen_at").alias("_first"), F.max("seen_at").alias("_last"))
     )
@@ -150,8 +152,9 @@ def session_lists(sessions: DataFrame, messages: DataFrame, limit: int = 50) ->
 def session_detail(
     sessions: DataFrame, messages: DataFrame, session_id: str | None = None
 ) -> DataFrame:
-    """Sessions with their messages, oldest first: one row per message.
+    """Sessions with their messages: one row per message.
 
+    Rows are in no order; sort by (``sent_at``, ``message_id``) for oldest first.
     Header columns repeat on each row. A session without messages has one row whose
     message columns are NULL; an empty newest message gives an empty preview here
     and none in the lists. The transcript stays a set of rows, so a very long

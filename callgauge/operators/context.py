@@ -36,7 +36,12 @@ def context_window(
         if caps is not None and max_cap is None:
             raise ValueError("custom caps need max_cap, their largest value")
         capped = with_cap(turns, caps)
-        most = max_cap if caps is not None else max(DEFAULT_TURN_CAP, *TURN_CAPS.values())
+        # models without an entry have the default, whatever the entries say
+        most = max(DEFAULT_TURN_CAP, *([max_cap] if caps is not None else TURN_CAPS.values()))
+        too_low = F.raise_error(F.lit(f"a cap exceeds max_cap, {most}")).cast("int")
+        capped = capped.withColumn(
+            "cap", F.when(F.col("cap") > most, too_low).otherwise(F.col("cap"))
+        )
     is_system = F.col("role") == "system"
     kind = W.partitionBy("conv_id", "is_system").orderBy("distance")
     kept = (

@@ -97,8 +97,12 @@ def retryable(dead_letters: DataFrame, max_attempts: int = MAX_LOAD_ATTEMPTS) ->
 
 
 def replay(dead_letters: DataFrame) -> DataFrame:
-    """Check dead letters again, e.g. after a rule was relaxed; see ``validation.check``."""
-    return validation.check(dead_letters.select("origin_id", "payload", "arrived_at"))
+    """Check dead letters again, e.g. after a rule was relaxed; see ``validation.check``.
+
+    Their attempts go on counting.
+    """
+    kept = [c for c in ("origin_id", "payload", "arrived_at", "attempts") if c in dead_letters.columns]
+    return validation.check(dead_letters.select(*kept))
 
 
 def months_touched(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ KEYS = ("hour", "provider", "model", "status")
 SUMS = ("n", "input_tokens", "output_tokens", "total_latency_ms", "total_cost")
 SKETCHES = ("latency_sketch", "ttft_sketch")
 WINDOW_DAYS = 30
+# estimated percentiles are off by about 1.7 / SKETCH_SIZE of the ranks
+SKETCH_SIZE = 1600
 
 
 def totals() -> list[Column]:
@@ -37,8 +39,8 @@ def totals() -> list[Column]:
 def sketches() -> list[Column]:
     """Mergeable quantile sketches; their size does not grow with the group."""
     return [
-        F.kll_sketch_agg_double("latency_ms").alias("latency_sketch"),
-        F.kll_sketch_agg_double("ttft_ms").alias("ttft_sketch"),
+        F.kll_sketch_agg_double("latency_ms", SKETCH_SIZE).alias("latency_sketch"),
+        F.kll_sketch_agg_double("ttft_ms", SKETCH_SIZE).alias("ttft_sketch"),
     ]
 
 
@@ -96,12 +98,26 @@ def _sketched(sketch: str, p: float) -> Column:
     )
 
 
-def save(rollup: DataFrame, path: str, as_of: datetime | str) -> None:
-    """Store rollup rows by day, replacing exactly the days they cover."""
+def save(
+    rollup: DataFrame, path: str, as_of: datetime | str, first: Column | None = None
+) -> None:
+    """Store rollup rows by day, replacing the days they cover.
+
+    With ``first``, every day from then to ``as_of`` is replaced: one without rows gets a
+    row that counts nothing, which ``read`` leaves out.
+    """
+    rows = rollup.withColumn("refreshed_at", utc_literal(as_of)).withColumn(
+        "day", F.col("hour").cast("date")
+    )
+    if first is not None:
+        span = F.sequence(first.cast("date"), utc_literal(as_of).cast("date"))
+        days = rollup.sparkSession.range(1).select(F.explode(span).alias("day"))
+        empty = days.join(rows.select("day").distinct(), "day", "left_anti")
+        rows = rows.unionByName(
+            empty.withColumn("n", F.lit(0).cast("bigint")), allowMissingColumns=True
+        )
     (
-        rollup.withColumn("refreshed_at", utc_literal(as_of))
-        .withColumn("day", F.col("hour").cast("date"))
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")
         .parquet(path)
@@ -113,18 +129,19 @@ def refresh(
 ) -> None:
     """Recompute the last ``days`` whole days; a full recompute absorbs late calls.
 
-    Every touched day is recomputed from its first hour, so replacing the day loses
-    nothing.
+    Every day of the span is recomputed from its first hour and replaced, also one whose
+    calls are gone.
     """
     start = truncate("day", utc_literal(as_of) - F.make_dt_interval(days=F.lit(days)))
     recent = calls.where(F.col("created_at") >= start)
     if MONTH in calls.columns:
         recent = recent.where(F.col(MONTH) >= F.trunc(start.cast("date"), "month"))
-    save(by_hour(recent), path, as_of)
+    save(by_hour(recent), path, as_of, start)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The stored rollup, without the marks of days that have no calls."""
+    return spark.read.parquet(path).where(F.col("n") > 0)
 
 
 # --- the reports, answered from the rollup ---------------------------------------------

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,11 +14,13 @@ from callgauge.functions.instants import date_literal, month_of, utc_literal
 from callgauge.schema import CALL_COLUMNS, CALLS_SCHEMA
 
 MONTH = "created_month"
+STREAM = "load_stream"
 BATCH = "load_batch"
 STORED_SCHEMA = T.StructType(
     [
         *CALLS_SCHEMA.fields,
         T.StructField(MONTH, T.DateType(), False),
+        T.StructField(STREAM, T.StringType(), False),
         T.StructField(BATCH, T.LongType(), False),
     ]
 )
@@ -30,6 +34,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
+def read_months(spark: SparkSession, path: str, months: list[date]) -> DataFrame | None:
+    """The stored calls of some months, None if there are none.
+
+    Only the directories of these months are listed, so opening them costs the same
+    however many batches other months have taken in.
+    """
+    found = []
+    for month in sorted(months):
+        try:
+            found.append(
+                spark.read.schema(STORED_SCHEMA)
+                .option("basePath", path)
+                .parquet(f"{path.rstrip('/')}/{MONTH}={month.isoformat()}")
+            )
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def since(calls: DataFrame, as_of: datetime | str, hours: int) -> DataFrame:
     """Calls created at or after ``as_of`` minus ``hours``.
 
@@ -59,22 +83,24 @@ def project(calls: DataFrame, *columns: str) -> DataFrame:
     return calls.select(*(columns or ("provider", "model", "latency_ms", "total_cost")))
 
 
-def append(calls: DataFrame, path: str, batch: int) -> None:
-    """Write one load batch.
+def append(calls: DataFrame, path: str, batch: int, stream: str) -> None:
+    """Write one load batch of one stream.
 
-    Every batch owns a directory below each month it touches and replaces only
-    those directories, so a repeated batch leaves the table as if it ran once.
+    Every batch of a stream owns a directory below each month it touches and replaces
+    only those directories, so a repeated batch leaves the table as if it ran once, and
+    batches of the same number from other streams stay.
     Rows are sorted by (provider, model, created_at) inside each file, which keeps
     the row-group statistics narrow for the dashboard filters.
     """
     (
         calls.select(*CALL_COLUMNS, month_of(F.col("created_at")).alias(MONTH))
+        .withColumn(STREAM, F.lit(stream))
         .withColumn(BATCH, F.lit(batch).cast("bigint"))
         .sortWithinPartitions(MONTH, "provider", "model", "created_at")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("parquet.bloom.filter.enabled#id", "true")
-        .partitionBy(MONTH, BATCH)
+        .partitionBy(MONTH, STREAM, BATCH)
         .parquet(path)
     )
 

@@ -2,7 +2,9 @@
 
 Offsets are committed after both tables are written. A batch that is repeated after
 a failure replaces exactly what its first attempt wrote, so every row ends up in the
-call table or the dead-letter table once.
+call table or the dead-letter table once. What a batch wrote is known by its stream and
+its number; a stream is named by the id its checkpoint holds, so several feeds, restarts
+with a new checkpoint, and replays can share the tables.
 """
 
 from __future__ import annotations
@@ -20,34 +22,45 @@ from pyspark.sql.streaming import StreamingQuery
 
 from callgauge.operators import loading, validation
 from callgauge.sources import calls as call_table
-from callgauge.sources.calls import BATCH, MONTH
+from callgauge.sources.calls import BATCH, MONTH, STREAM
 
 # more distinct months than this in one batch: compare with the whole table instead
 MONTHS_TO_PRUNE = 120
 
 
 def _stored(
-    spark: SparkSession, path: str, rows: DataFrame, key: Sequence[str], batch: int
+    spark: SparkSession,
+    path: str,
+    rows: DataFrame,
+    key: Sequence[str],
+    stream: str,
+    batch: int,
 ) -> DataFrame | None:
-    """Rows other batches stored that could collide with this one."""
-    try:
-        stored = call_table.read(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None  # nothing has been loaded yet
-    stored = stored.where(F.col(BATCH) != batch)
-    if "created_at" not in key:
-        return stored
+    """Rows other batches stored that could collide with this one.
+
+    With the instant in the key only the months a batch touches are opened.
+    """
+    own = (F.col(STREAM) == stream) & (F.col(BATCH) == batch)
     # equal keys have equal instants: per month, only the span the batch covers can
     # collide, and that span reaches the partition filter and the row-group statistics
-    spans = loading.instants_touched(rows).limit(MONTHS_TO_PRUNE + 1).collect()
-    if len(spans) > MONTHS_TO_PRUNE:
-        return stored
+    spans = []
+    if "created_at" in key:
+        spans = loading.instants_touched(rows).limit(MONTHS_TO_PRUNE + 1).collect()
+    if "created_at" not in key or len(spans) > MONTHS_TO_PRUNE:
+        try:
+            return call_table.read(spark, path).where(~own)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None  # nothing has been loaded yet
+    months = [s[MONTH] for s in spans if s[MONTH] is not None]
+    stored = call_table.read_months(spark, path, months)
+    if stored is None:
+        return None
     covered = [
         (F.col(MONTH) == s[MONTH]) & F.col("created_at").between(s["first"], s["last"]) for s in spans
     ]
-    return stored.where(reduce(or_, covered, F.lit(False)))
+    return stored.where(~own).where(reduce(or_, covered, F.lit(False)))
 
 
 def load_batch(
@@ -58,9 +71,12 @@ def load_batch(
     key: Sequence[str] = loading.TABLE_KEY,
     first_month: date | str | None = None,
     months: int = 0,
+    stream: str = "direct",
 ) -> None:
     """Validate, redact, de-duplicate and store one batch; the rest become dead letters.
 
+    A batch replaces what ``stream`` stored under the same number; batches that do not
+    come from ``load_stream``, replays above all, name a stream of their own.
     With ``first_month`` and ``months`` only calls of those months are accepted.
     """
     if "attempts" not in feed.columns:
@@ -73,23 +89,24 @@ def load_batch(
         if first_month is not None:
             rows, outside = loading.route(rows, first_month, months)
             refused.append(outside)
-        stored = _stored(feed.sparkSession, calls_path, rows, key, batch)
+        stored = _stored(feed.sparkSession, calls_path, rows, key, stream, batch)
         refused.append(loading.duplicates(rows, stored, key))
-        call_table.append(loading.new_rows(rows, stored, key), calls_path, batch)
+        call_table.append(loading.new_rows(rows, stored, key), calls_path, batch, stream)
         letters = reduce(DataFrame.unionByName, refused)
-        write_dead(letters, dead_path, batch)
+        write_dead(letters, dead_path, batch, stream)
     finally:
         checked.unpersist()
 
 
-def write_dead(letters: DataFrame, path: str, batch: int) -> None:
+def write_dead(letters: DataFrame, path: str, batch: int, stream: str) -> None:
     """Store a batch's dead letters, with one more attempt on their count."""
     (
         letters.withColumn("attempts", F.col("attempts") + 1)
+        .withColumn(STREAM, F.lit(stream))
         .withColumn(BATCH, F.lit(batch).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BATCH)
+        .partitionBy(STREAM, BATCH)
         .parquet(path)
     )
 
@@ -110,12 +127,18 @@ def load_stream(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        load_batch(batch, batch_id, calls_path, dead_path, **options)
+        stream = stream_id(batch.sparkSession, checkpoint)
+        load_batch(batch, batch_id, calls_path, dead_path, stream=stream, **options)
 
     writer = feed.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a started stream keeps in its checkpoint; restarts keep it."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+
+
 def calls_stream(feed: DataFrame) -> DataFrame:
     """Valid, redacted calls of a streaming feed, for further streaming operators."""
     return loading.to_calls(validation.good(validation.check(feed)))

@@ -140,3 +140,26 @@ def test_kpis_with_errors_only(spark):
     assert reports.throughput(calls.replace("ERROR", "SUCCESS").replace(1.0, 0.0), at(60)).first()[
         "tokens_per_second"
     ] == 0.0
+
+
+def test_custom_caps_leave_the_default_to_other_models(spark):
+    turns = spark.createDataFrame(
+        [(c, t, "user", "x", m) for c, m in ((1, "x"), (2, "other")) for t in range(30)],
+        "conv_id long, turn long, role string, text string, model string",
+    )
+    caps = spark.createDataFrame([("x", 5)], "model string, cap int")
+    shown = context.context_window(turns, caps=caps, max_cap=5).groupBy("conv_id").count()
+    assert {r.conv_id: r["count"] for r in shown.collect()} == {1: 5, 2: 20}
+    high = spark.createDataFrame([("x", 25)], "model string, cap int")
+    with pytest.raises(Exception, match="exceeds max_cap"):
+        context.context_window(turns, caps=high, max_cap=5).collect()
+
+
+def test_blank_names_are_no_users(spark):
+    users = spark.createDataFrame([], USERS_SCHEMA)
+    stamp = datetime(2026, 5, 1)
+    seen = spark.createDataFrame(
+        [("  ", stamp), (None, stamp), ("", stamp), (" ann ", stamp)],
+        "username string, seen_at timestamp_ntz",
+    )
+    assert [r.username for r in chat.upsert_users(users, seen).collect()] == ["ann"]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from callgauge.operators import loading, validation
 from callgauge.plans import reports, rollup, tables
@@ -89,7 +90,7 @@ def test_replay_loads_a_corrected_letter(spark, tmp_path):
 def test_time_bound_prunes_months(spark, tmp_path):
     path = str(tmp_path / "calls")
     calls = tables.calls(spark, "/root/testdata/sf0.001")
-    call_table.append(calls, path, 0)
+    call_table.append(calls, path, 0, "test")
     stored = call_table.read(spark, path)
     report = reports.status_by_hour(stored, tables.AS_OF, 24)
     plan = report._jdf.queryExecution().executedPlan().toString()
@@ -186,3 +187,37 @@ def test_preview_stream_with_bounded_state(spark, tmp_path):
     )
     assert (a.first_text_at, a.last_at) == (start + timedelta(seconds=1), start + timedelta(seconds=5))
     assert (got["open"].text, got["open"].complete, got["open"].n_chars) == ("never ", False, 11)
+
+
+def test_two_feeds_and_a_replay_share_the_tables(spark, tmp_path):
+    stored, dead = str(tmp_path / "calls"), str(tmp_path / "dead")
+    for name, rows in (("a", [_row(0, 1), _row(1, 2), _row(2, None)]), ("b", [_row(3, 2), _row(4, 3)])):
+        source = str(tmp_path / name)
+        _write(spark, source, rows)
+        feed = feeds.stream_files(spark, source, max_files=1)
+        live.load_stream(feed, stored, dead, str(tmp_path / f"offsets-{name}")).awaitTermination()
+    assert sorted(r.id for r in call_table.read(spark, stored).collect()) == [
+        _id(i) for i in (1, 2, 3)
+    ]
+    letters = spark.read.parquet(dead)
+    assert {r.origin_id: r.attempts for r in letters.collect()} == {"0002": 1, "0003": 1}
+    again = loading.retryable(letters)
+    live.load_batch(again, 0, stored, str(tmp_path / "dead2"), stream="replay")
+    assert call_table.read(spark, stored).count() == 3
+    assert {r.attempts for r in spark.read.parquet(str(tmp_path / "dead2")).collect()} == {2}
+
+
+def test_only_the_touched_months_are_opened(spark, tmp_path):
+    stored, dead = str(tmp_path / "calls"), str(tmp_path / "dead")
+    for batch, month in enumerate(("03", "04", "05", "06")):
+        rows = spark.createDataFrame([_row(batch, batch, f"2026-{month}-02T00:00:00Z")], FEED_SCHEMA)
+        live.load_batch(rows, batch, stored, dead, stream="s")
+    opened = call_table.read_months(spark, stored, [date(2026, 5, 1), date(2027, 1, 1)])
+    assert len(opened.inputFiles()) == 1
+    assert call_table.read_months(spark, stored, [date(2027, 1, 1)]) is None
+
+
+def test_replay_remembers_attempts(spark):
+    feed = spark.createDataFrame([_row(0, None)], FEED_SCHEMA)
+    checked = validation.check(feed.withColumn("attempts", F.lit(2)))
+    assert loading.replay(validation.dead(checked)).first().attempts == 2
