@@ -19,17 +19,22 @@ piece, if the model has no bytes).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 # piece types of the model format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_CACHE = 1 << 20  # words remembered by a task
+_CACHE = 400_000  # words, and pairs of pieces, that a worker remembers
+_CHUNK = 1 << 22  # characters encoded together
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -61,11 +66,15 @@ class Model:
         self.unknown = self.types.index(UNKNOWN)
         self.bytes = {int(t[3:5], 16): i for i, t in enumerate(self.texts) if self.types[i] == BYTE}
         self.longest = max(map(len, self.ids))
-        self.tails = {t[i:] for t in self.ids for i in range(len(t))}
         self.floor = min(self.scores.values()) - _UNKNOWN_PENALTY
         across = any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
         self.word = re.compile("(?s).+" if across else f"(?s){MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[int, bool] = {}
+
+    @cached_property
+    def tails(self) -> set[str]:
+        """All ends of pieces; a text that is none of them ends no piece."""
+        return {t[i:] for t in self.ids for i in range(len(t))}
 
     def marked(self, text: str) -> str:
         if self.squeeze:
@@ -87,37 +96,51 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def may_follow(self, before: str, piece: str) -> bool:
+    def spelled(self, piece: int) -> str:
+        """The text of a piece, or of a character without one (minus one, minus its code point)."""
+        return self.texts[piece] if piece >= 0 else chr(-1 - piece)
+
+    @staticmethod
+    def pair(before: int | None, piece: int) -> int:
+        """One number for two neighbours; pieces and characters stay below 2**21."""
+        return ((0 if before is None else before + (1 << 22)) << 23) + piece + (1 << 22)
+
+    def may_follow(self, before: int | None, piece: int) -> bool:
         """Does BPE leave the two pieces as they are, side by side (or the second alone)?"""
-        key = (before, piece)
-        found = self.follows.get(key)
-        if found is None:
-            wanted = [before, piece] if before else [piece]
-            found = self.follows[key] = self.merge(before + piece) == wanted
+        if len(self.follows) > _CACHE:
+            self.follows.clear()
+        wanted = [self.spelled(p) for p in (before, piece) if p is not None]
+        found = self.follows[self.pair(before, piece)] = self.merge("".join(wanted)) == wanted
         return found
 
-    def step_bpe(self, word: str, end: int, states: list[str]) -> str:
-        """The last piece of the encoding of word[:end]; states[i] is that of word[:i]."""
-        start = end - 1
-        while start >= 0 and end - start <= self.longest:
-            piece = word[start:end]
-            if end - start > 1 and piece not in self.tails:
+    def step_bpe(self, word: str, end: int, states: list) -> tuple[int | None, int]:
+        """Last piece of the encoding of word[:end] and where it starts."""
+        ids, tails, follows, pair = self.ids, self.tails, self.follows, self.pair
+        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+            text = word[start:end]
+            if text not in tails and end - start > 1:
                 break
-            if (piece in self.ids or end - start == 1) and self.may_follow(states[start], piece):
-                return piece
-            start -= 1
+            piece = ids.get(text)
+            if piece is None:
+                if end - start > 1:
+                    continue
+                piece = -1 - ord(text)
+            last = states[start][0]
+            fits = follows.get(pair(last, piece))
+            if fits or (fits is None and self.may_follow(last, piece)):
+                return piece, start
         raise AssertionError("every prefix has an encoding")
 
-    def step_unigram(self, word: str, end: int, states: list) -> tuple[float, str]:
-        """Score and last piece of the best segmentation of word[:end]."""
-        best = (states[end - 1][0] + self.floor, word[end - 1])
+    def step_unigram(self, word: str, end: int, states: list) -> tuple[int, int, float]:
+        """Last piece of the best segmentation of word[:end], where it starts, the score."""
+        best = (-1 - ord(word[end - 1]), end - 1, states[end - 1][2] + self.floor)
         for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-            piece = word[start:end]
-            if end - start > 1 and piece not in self.tails:
+            text = word[start:end]
+            if end - start > 1 and text not in self.tails:
                 break
-            score = self.scores.get(piece)
-            if score is not None and (total := states[start][0] + score) > best[0]:
-                best = (total, piece)
+            piece = self.ids.get(text)
+            if piece is not None and (total := states[start][2] + self.scores[text]) > best[2]:
+                best = (piece, start, total)
         return best
 
     def words(self, text: str) -> list[str]:
@@ -125,9 +148,8 @@ class Model:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, visited in the depth-first order of their trie."""
-        bpe = self.kind == BPE
-        step = self.step_bpe if bpe else self.step_unigram
-        states: list = ["" if bpe else (0.0, "")]
+        step = self.step_bpe if self.kind == BPE else self.step_unigram
+        states: list = [(None, 0, 0.0)]
         before, out = "", {}
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
@@ -138,24 +160,48 @@ class Model:
                 states.append(step(word, end, states))
             pieces, end = [], len(word)
             while end > 0:
-                piece = states[end] if bpe else states[end][1]
-                pieces.append(piece)
-                end -= len(piece)
-            out[word] = [i for p in reversed(pieces) for i in self.piece_ids(p)]
+                pieces.append(states[end][0])
+                end = states[end][1]
+            pieces.reverse()
+            if min(pieces) < 0:
+                pieces = [i for p in pieces for i in ([p] if p >= 0 else self.bare(chr(-1 - p)))]
+            out[word] = pieces
             before = word
         return out
 
-    def piece_ids(self, piece: str) -> list[int]:
-        found = self.ids.get(piece)
-        if found is not None:
-            return [found]
-        if self.bytes:
-            return [self.bytes[b] for b in piece.encode()]
-        return [self.unknown]
+    def bare(self, char: str) -> list[int]:
+        """Ids of a character without a piece."""
+        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
-    def decode(self, ids: list[int]) -> str:
+    def encode_batch(self, texts: list[str | None], known: dict[str, bytes]) -> list[bytes | None]:
+        """Ids of texts as 32-bit numbers; ``known`` keeps the words of earlier batches."""
+        split = [None if t is None else self.words(t) for t in texts]
+        fresh = {w for ws in split if ws for w in ws if w not in known}
+        if len(known) + len(fresh) > _CACHE:
+            known.clear()
+            fresh = {w for ws in split if ws for w in ws}
+        for word, ids in self.encode_words(fresh).items():
+            known[word] = array("i", ids).tobytes()
+        return [None if ws is None else b"".join(map(known.__getitem__, ws)) for ws in split]
+
+    @cached_property
+    def plain(self) -> tuple[list[str], np.ndarray]:
+        """What each piece reads as on its own, and which need their neighbours."""
+        reads, odd = [], np.zeros(len(self.texts), dtype=bool)
+        for i, (text, kind) in enumerate(zip(self.texts, self.types, strict=True)):
+            value = int(text[3:5], 16) if kind == BYTE else 0
+            odd[i] = kind in (CONTROL, UNKNOWN) or value > 0x7F
+            reads.append(chr(value) if kind == BYTE else text.replace(MARK, " "))
+        return reads, odd
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        reads, odd = self.plain
+        ids = np.asarray(ids, dtype=np.int64)
+        if not odd[ids].any():
+            text = "".join(map(reads.__getitem__, ids.tolist()))
+            return text[1:] if self.prefix and text.startswith(" ") else text
         out, held = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             kind = self.types[i]
             if kind == BYTE:
                 held.append(int(self.texts[i][3:5], 16))
@@ -163,44 +209,72 @@ class Model:
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held = bytearray()
-            if kind not in (CONTROL, UNKNOWN):
-                out.append(self.texts[i])
-            elif kind == UNKNOWN:
+            if kind == UNKNOWN:
                 out.append(" ⁇ ")
+            elif kind != CONTROL:
+                out.append(reads[i])
         out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        text = "".join(out)
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+class Shared:
+    """A model as executors share it: parsed once per worker, with the words seen so far."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.known: dict[str, bytes] = {}
+
+    @cached_property
+    def model(self) -> Model:
+        return Model(self.data)
+
+
+def _chunks(texts: pa.Array) -> Iterator[list[str | None]]:
+    held, size = [], 0
+    for value in texts:
+        text = value.as_py()
+        held.append(text)
+        size += len(text or "")
+        if size >= _CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encoder(spark: SparkSession, model: bytes):
     """A function from a text column to a column of piece ids; every task encodes its own rows."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(Shared(model))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m, known = Model(shared.value), {}
+        here = shared.value
         for batch in batches:
-            words = [None if t is None else m.words(t) for t in batch.to_pylist()]
-            fresh = {w for ws in words if ws for w in ws if w not in known}
-            if len(known) + len(fresh) > _CACHE:
-                known = {}
-                fresh = {w for ws in words if ws for w in ws}
-            known |= m.encode_words(fresh)
-            ids = [None if ws is None else [i for w in ws for i in known[w]] for ws in words]
-            yield pa.array(ids, type=pa.list_(pa.int32()))
+            found = []
+            for texts in _chunks(batch):
+                found += here.model.encode_batch(texts, here.known)
+            missing = np.array([x is None for x in found], dtype=bool)
+            ends = np.cumsum([0, *(len(x or b"") // 4 for x in found)])
+            ids = pa.array(np.frombuffer(b"".join(x or b"" for x in found), dtype=np.int32))
+            yield pa.ListArray.from_arrays(
+                pa.array(ends, type=pa.int32()), ids, mask=pa.array(missing)
+            )
 
     return encode
 
 
 def decoder(spark: SparkSession, model: bytes):
     """A function from a column of piece ids to a text column."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(Shared(model))
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(T.StringType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = Model(shared.value)
+        here = shared.value
         for batch in batches:
-            texts = [None if x is None else m.decode(x) for x in batch.to_pylist()]
+            texts = [
+                here.model.decode(x.values.to_numpy()) if x.is_valid else None for x in batch
+            ]
             yield pa.array(texts, type=pa.string())
 
     return decode
