@@ -72,7 +72,7 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("split", ["64", "300", "134217728"])
+@pytest.mark.parametrize("split", ["150", "134217728"])
 def test_archives_read_back_whatever_the_payload(spark, split):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
