@@ -186,10 +186,19 @@ def transcript(messages: DataFrame, session_id: str) -> DataFrame:
 
 
 def link_calls(calls: DataFrame, sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """Calls with the title of their session and the role of their stored message."""
+    """Calls with the title of their session and the role of their stored message.
+
+    Calls without a message, most of them as a rule, stay out of the join by message: one
+    NULL key would gather them all.
+    """
     titles = sessions.select(F.col("id").alias("session_id"), "user_id", "title")
     stored = messages.select(F.col("id").alias("message_id"), F.col("role").alias("message_role"))
-    return calls.join(titles, "session_id", "left").join(stored, "message_id", "left")
+    titled = calls.join(titles, "session_id", "left")
+    with_message = titled.where(F.col("message_id").isNotNull()).join(stored, "message_id", "left")
+    without = titled.where(F.col("message_id").isNull()).withColumn(
+        "message_role", F.lit(None).cast(stored.schema["message_role"].dataType)
+    )
+    return with_message.unionByName(without)
 
 
 def purge_users(
