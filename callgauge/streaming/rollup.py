@@ -1,6 +1,7 @@
 """The hourly rollup kept up to date by a stream.
 
-An hour is emitted once the watermark has passed its end. State per group is a few
+An hour is emitted once the watermark has passed its end, the last ones of a stream that
+ends by ``closing.mark``. State per group is a few
 sums and two sketches of bounded size, however many calls the hour has; exact
 percentiles come from the batch rollup, whose refresh also absorbs calls later than
 the watermark.
