@@ -139,6 +139,12 @@ SELECT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status,
        round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 9) AS total_cost
 FROM calls WHERE {RECENT} GROUP BY 1, 2, 3, 4"""
 
+ORACLES["rollup_sketch_ranks"] = f"""
+WITH {CALLS}
+SELECT DISTINCT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status,
+       {", ".join(f"true AS {p}_{m}_right" for m in ("latency", "ttft") for p in ("p50", "p95", "p99"))}
+FROM calls WHERE {RECENT}"""
+
 # reports answered from the rollup equal those from the calls
 ORACLES["rollup_throughput"] = ORACLES["throughput"]
 ORACLES["rollup_status_by_hour"] = ORACLES["status_by_hour"]
@@ -168,7 +174,8 @@ requests AS (
   SELECT t.*, coalesce(p.provider, 'openai') AS provider, coalesce(p.model, 'unlisted-model') AS model,
          p.p_in, p.p_out,
          CASE number % 10 WHEN 1 THEN 'CancelledError' WHEN 2 THEN 'RateLimitError'
-              WHEN 3 THEN 'HTTPError' WHEN 4 THEN 'RuntimeError' END AS error_type
+              WHEN 3 THEN 'HTTPError' WHEN 4 THEN 'RuntimeError' WHEN 5 THEN 'AbortError'
+              WHEN 6 THEN 'Error' END AS error_type
   FROM turns t LEFT JOIN prices p ON p.entry = t.number % {len(PRICES) + 1}
 )"""
 
@@ -188,21 +195,41 @@ WITH {CALLS} SELECT provider, model, latency_ms, total_cost FROM calls"""
 
 # --- feed ------------------------------------------------------------------------------
 
+# why each broken payload is refused, in the order in which the ways to break one come up
+REASONS = """
+payload:malformed latency_ms:missing provider:choice latency_ms:range record:unknown_key
+log_id:uuid timestamp:instant log_id:missing session_id:missing provider:missing model:missing
+request_status:missing input_tokens:missing output_tokens:missing total_cost:missing
+timestamp:missing session_id:uuid message_id:uuid message_id:type model:length model:length
+model:type request_status:choice latency_ms:type latency_ms:type ttft_ms:range ttft_ms:type
+input_tokens:range input_tokens:range input_tokens:fraction output_tokens:range
+output_tokens:fraction total_cost:range error_stack:type input_preview:length
+output_preview:length output_preview:type metadata:type metadata:type
+record:unknown_key,latency_ms:range model:missing,provider:choice
+input_preview:type total_cost:type input_tokens:type output_tokens:type log_id:type
+session_id:type provider:type request_status:type timestamp:type
+""".split()
+
 FEED = f"""
 {CALLS},
 feed AS (
   SELECT c.*, copy,
          lpad(event_id::VARCHAR, 12, '0') || '-' || copy AS origin_id,
          created_at + to_seconds(copy * 30) AS arrived_at,
-         CASE WHEN event_id % 17 = 0 THEN (event_id // 17) % 7 END AS flaw,
+         CASE WHEN event_id % 17 = 0 THEN (event_id // 17) % {len(REASONS)} END AS flaw,
+         CASE event_id % 4 WHEN 0 THEN 'mail user' || event_id || '@example.test from 10.0.0.1'
+              WHEN 1 THEN 'Ada Park paid with 4111 1111 1111 1111'
+              WHEN 2 THEN 'key sk-' || md5(event_id::VARCHAR) || ' of 123-45-6789'
+              ELSE 'Ada Park came from 2001:db8:0:0:0:0:2:1' END AS preview,
+         CASE event_id % 4 WHEN 0 THEN 'mail [EMAIL] from [IP]'
+              WHEN 1 THEN 'Ada Park paid with [CREDIT_CARD]'
+              WHEN 2 THEN 'key [API_KEY] of [SSN]'
+              ELSE 'Ada Park came from [IP]' END AS redacted,
          replace(metadata, ' ', '') AS tidy_metadata
   FROM calls c, (VALUES (0), (1)) AS copies(copy)
   WHERE copy = 0 OR event_id % 10 = 3
 ),
-reasons(flaw, errors) AS (VALUES
-  (0, 'payload:malformed'), (1, 'latency_ms:missing'), (2, 'provider:choice'),
-  (3, 'latency_ms:range'), (4, 'record:unknown_key'), (5, 'log_id:uuid'),
-  (6, 'timestamp:instant')),
+reasons(flaw, errors) AS (VALUES {", ".join(f"({i}, {_text(r)})" for i, r in enumerate(REASONS))}),
 good AS (SELECT * FROM feed WHERE flaw IS NULL),
 dead AS (SELECT origin_id, arrived_at, event_id, feed.flaw, errors
          FROM feed JOIN reasons ON feed.flaw = reasons.flaw)"""
@@ -212,7 +239,7 @@ WITH {FEED}
 SELECT origin_id, id AS log_id, session_id, NULL::VARCHAR AS message_id, provider, model,
        status AS request_status, latency_ms, ttft_ms, input_tokens, output_tokens, total_cost,
        NULL::VARCHAR AS error_stack,
-       'mail user' || event_id || '@example.test from 10.0.0.1' AS input_preview,
+       preview AS input_preview,
        NULL::VARCHAR AS output_preview, created_at AS "timestamp", tidy_metadata AS metadata
 FROM good"""
 
@@ -225,7 +252,7 @@ FROM feed"""
 
 STORED_ROW = """id, NULL::VARCHAR AS message_id, session_id, provider, model, status, latency_ms,
        ttft_ms, input_tokens, output_tokens, total_cost, NULL::VARCHAR AS error_stack,
-       'mail [EMAIL] from [IP]' AS input_preview, NULL::VARCHAR AS output_preview, created_at,
+       redacted AS input_preview, NULL::VARCHAR AS output_preview, created_at,
        tidy_metadata AS metadata"""
 
 ORACLES["dedupe_load"] = f"""
@@ -242,6 +269,21 @@ ORACLES["stream_load"] = f"WITH {FEED} SELECT {STORED_ROW} FROM good WHERE copy
 
 ORACLES["stream_load_two"] = ORACLES["stream_load"]
 
+ORACLES["load_with_entities"] = f"""
+WITH {FEED}
+SELECT origin_id, id, replace(redacted, 'Ada Park', '[PERSON]') AS input_preview FROM good"""
+
+ORACLES["replay_attempts"] = f"""
+WITH {FEED}
+SELECT origin_id, errors, 3 AS attempts FROM dead
+UNION ALL SELECT origin_id, 'id:duplicate', 3 FROM good WHERE copy = 1"""
+
+ORACLES["compacted_reload"] = f"""
+WITH {FEED}
+SELECT {STORED_ROW}, CASE WHEN event_id % 3 = 2 THEN 's' ELSE 'compacted' END AS load_stream,
+       CASE WHEN event_id % 3 = 2 THEN 2 ELSE 0 END AS load_batch
+FROM good WHERE copy = 0"""
+
 ORACLES["stream_dead"] = f"""
 WITH {FEED}
 SELECT origin_id, errors, 1 AS attempts FROM dead
@@ -343,11 +385,7 @@ CASE WHEN number % 2 = 0 THEN length(text) END::INTEGER AS output_tokens,
 
 ORACLES["assemble_completion"] = f"WITH {TURN_REQUESTS} SELECT {ASSEMBLED} FROM turns"
 
-ORACLES["stream_assemble"] = f"""
-WITH {TURN_REQUESTS},
-rows AS (SELECT {ASSEMBLED} FROM turns)
-SELECT * FROM rows
-WHERE last_at + INTERVAL 10 MINUTE <= (SELECT max(last_at) FROM rows) - INTERVAL 1 MINUTE"""
+ORACLES["stream_assemble"] = ORACLES["assemble_completion"]
 
 ORACLES["assemble_messages"] = f"""
 WITH {TURN_REQUESTS}
@@ -372,13 +410,15 @@ FROM turns"""
 ORACLES["outcome_python"] = f"""
 WITH {TURN_REQUESTS}
 SELECT call_id, CASE number % 10 WHEN 1 THEN 'CANCELLED' WHEN 2 THEN 'RATE_LIMITED'
-       WHEN 3 THEN 'RATE_LIMITED' WHEN 4 THEN 'ERROR' ELSE 'SUCCESS' END AS status
+       WHEN 3 THEN 'RATE_LIMITED' WHEN 4 THEN 'ERROR' WHEN 5 THEN 'ERROR' WHEN 6 THEN 'ERROR'
+       ELSE 'SUCCESS' END AS status
 FROM turns"""
 
 ORACLES["outcome_web"] = f"""
 WITH {TURN_REQUESTS}
 SELECT call_id, CASE number % 10 WHEN 1 THEN 'ERROR' WHEN 2 THEN 'ERROR'
-       WHEN 3 THEN 'RATE_LIMITED' WHEN 4 THEN 'ERROR' ELSE 'SUCCESS' END AS status
+       WHEN 3 THEN 'RATE_LIMITED' WHEN 4 THEN 'ERROR' WHEN 5 THEN 'CANCELLED'
+       WHEN 6 THEN 'CANCELLED' ELSE 'SUCCESS' END AS status
 FROM turns"""
 
 PROMPT = "'turn ' || turn || ' please'"
@@ -407,7 +447,8 @@ SELECT call_id AS log_id,
        '00000000-0000-4000-a000-' || lpad(conv_id::VARCHAR, 12, '0') AS session_id,
        call_id AS message_id, provider, model,
        CASE number % 10 WHEN 1 THEN 'CANCELLED' WHEN 2 THEN 'RATE_LIMITED'
-            WHEN 3 THEN 'RATE_LIMITED' WHEN 4 THEN 'ERROR' ELSE 'SUCCESS' END AS request_status,
+            WHEN 3 THEN 'RATE_LIMITED' WHEN 4 THEN 'ERROR' WHEN 5 THEN 'ERROR' WHEN 6 THEN 'ERROR'
+            ELSE 'SUCCESS' END AS request_status,
        (length(text) * 1500 + 500) / 1000.0::DOUBLE AS latency_ms,
        (20 * (CASE WHEN number % 2 = 0 THEN 3 ELSE 2 END + {FIRST_WORD}))::DOUBLE AS ttft_ms,
        input_tokens, output_tokens,
@@ -465,12 +506,21 @@ def _redaction_steps(source: str) -> str:
     return ", ".join(steps)
 
 
+SENSITIVE = """
+SELECT doc_id,
+       CASE doc_id % 5 WHEN 1 THEN 'key sk-' || md5(doc_id::VARCHAR) || ' '
+            WHEN 2 THEN 'ssn 1' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '-45-6789 '
+            WHEN 3 THEN 'from 2001:db8:0:0:0:0:2:' || (doc_id % 100) || ' '
+            WHEN 4 THEN 'id AKIA' || upper(left(md5(doc_id::VARCHAR), 16)) || ' '
+            ELSE '' END || text AS text
+FROM documents"""
+
 ORACLES["redact_text"] = f"""
-WITH {_redaction_steps("SELECT doc_id, text FROM documents")}
+WITH {_redaction_steps(SENSITIVE)}
 SELECT doc_id, text AS redacted FROM t{len(RULES)}"""
 
 ORACLES["redact_previews"] = f"""
-WITH {_redaction_steps("SELECT doc_id, left(text, 500) AS text FROM documents")}
+WITH {_redaction_steps(f"SELECT doc_id, left(text, 500) AS text FROM ({SENSITIVE})")}
 SELECT doc_id, text AS redacted FROM t{len(RULES)}"""
 
 ORACLES["redact_card_only"] = f"""
@@ -485,7 +535,7 @@ def _hits(name: str) -> str:
 
 
 ORACLES["redaction_report"] = (
-    f"WITH {_redaction_steps('SELECT doc_id, text FROM documents')} "
+    f"WITH {_redaction_steps(SENSITIVE)} "
     + " UNION ALL ".join(
         f"SELECT {i + 1} AS step, {_text(name)} AS rule, "
         f"count(*) FILTER ({_hits(name)} > 0) AS rows_hit, "
@@ -596,13 +646,30 @@ SELECT s.id, s.user_id, coalesce(s.title, o.title) AS title, s.created_at,
          AS updated_at
 FROM sessions s LEFT JOIN opening o ON o.session_id = s.id AND o.rn = 1"""
 
+ORACLES["append_messages_rows"] = f"""
+WITH {CHAT},
+marked AS (
+  SELECT *, right(id, 12)::BIGINT % 7 = 3 AS robot, right(id, 12)::BIGINT % 5 = 2 AS stray
+  FROM messages
+)
+SELECT id, CASE WHEN stray THEN 'nowhere' ELSE session_id END AS session_id,
+       CASE WHEN robot THEN 'robot' ELSE role END AS role, content, created_at,
+       concat_ws(',', CASE WHEN robot THEN 'role:choice' END,
+                 CASE WHEN stray THEN 'session_id:unknown' END) AS errors
+FROM marked"""
+
 ORACLES["chat_rules"] = f"""
 WITH {CHAT}
 SELECT 'message' AS kind, 'role:choice' AS rule, count(*) AS n
 FROM messages WHERE right(id, 1) = '3' HAVING count(*) > 0
 UNION ALL
+SELECT 'message', 'content:length', count(*) FROM messages WHERE right(id, 1) = '2' HAVING count(*) > 0
+UNION ALL
 SELECT 'user', 'username:blank', count(*) FROM conversations WHERE conv_id % 7 = 0 HAVING count(*) > 0
 UNION ALL
+SELECT 'user', 'username:length', count(*) FROM conversations
+WHERE conv_id % 7 <> 0 AND conv_id % 12 = 1 HAVING count(*) > 0
+UNION ALL
 SELECT 'session', 'title:length', count(*) FROM sessions WHERE right(id, 1) = '3' HAVING count(*) > 0"""
 
 LISTED = f"""
@@ -630,7 +697,9 @@ SELECT * REPLACE (nullif(preview, '') AS preview) FROM ranked WHERE position <=
 
 ORACLES["session_detail"] = f"""
 WITH {LISTED}
-SELECT s.*, m.id AS message_id, m.role, m.content, m.created_at AS sent_at
+SELECT s.*, m.id AS message_id, m.role, m.content, m.created_at AS sent_at,
+       CASE WHEN m.id IS NOT NULL
+            THEN row_number() OVER (PARTITION BY s.id ORDER BY m.created_at, m.id) END AS position
 FROM listed s LEFT JOIN messages m ON m.session_id = s.id"""
 
 ORACLES["transcript"] = f"""
@@ -702,8 +771,7 @@ WITH {CALLS}
 SELECT date_trunc('hour', created_at) AS hour, provider, model, status, count(*) AS n,
        sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
        round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 9) AS total_cost
-FROM calls GROUP BY 1, 2, 3, 4
-HAVING hour + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM calls) - INTERVAL 1 HOUR"""
+FROM calls GROUP BY 1, 2, 3, 4"""
 
 ORACLES["stream_preview"] = f"""
 WITH {TURN_REQUESTS}, whole AS ({ORACLES["assemble_messages"]})

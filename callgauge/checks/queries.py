@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from callgauge.functions import outcome, redaction
 from callgauge.functions.expressions import bind
@@ -31,6 +32,7 @@ from callgauge.sources import calls as call_table
 from callgauge.sources import catalogs
 from callgauge.sources import feed as feeds
 from callgauge.streaming import assembly as live_assembly
+from callgauge.streaming import closing
 from callgauge.streaming import load as live_load
 from callgauge.streaming import rollup as live_rollup
 
@@ -139,6 +141,34 @@ def rollup_daily_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.reaggregate(hourly, "day").drop(*rollup.SKETCHES)
 
 
+@query
+def rollup_sketch_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether daily percentiles from merged sketches are where their rank should be.
+
+    An estimate is right if the share of values below it is at most the wanted one and the
+    share up to it at least that, give or take half a percent.
+    """
+    calls = tables.calls(spark, sf_dir)
+    daily = rollup_daily_sketched(spark, sf_dir)
+    keys = ["day", "provider", "model", "status"]
+    recent = call_table.since(calls, tables.AS_OF, 24 * DAYS)
+    dated = recent.withColumn("day", F.date_trunc("day", "created_at").cast("timestamp_ntz"))
+    both = dated.join(daily, keys)
+
+    def placed(p: float, estimate: Column, value: Column) -> Column:
+        n = F.count(value)
+        below, upto = F.count_if(value < estimate) / n, F.count_if(value <= estimate) / n
+        return F.coalesce((below <= p + 0.005) & (upto >= p - 0.005), n == 0)
+
+    return both.groupBy(*keys).agg(
+        *[
+            placed(p, F.col(f"{name}_{m}_ms"), F.col(f"{m}_ms")).alias(f"{name}_{m}_right")
+            for m in ("latency", "ttft")
+            for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+        ]
+    )
+
+
 @query
 def rollup_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored rollup after two refreshes of the same days."""
@@ -245,6 +275,20 @@ def dedupe_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("origin_id", *CALL_COLUMNS)
 
 
+@query
+def load_with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored previews after the rules and an entity finder, here one that knows a name."""
+
+    def name(text: Column) -> Column:
+        at = F.locate("Ada Park", text)
+        kind = F.lit("PERSON").alias("type")
+        span = F.struct((at - 1).alias("start"), (at + 7).alias("end"), kind)
+        return F.when(at > 0, F.array(span))
+
+    good = validation.good(validation.check(tables.feed(spark, sf_dir)))
+    return loading.to_calls(good, entities=name).select("origin_id", "id", "input_preview")
+
+
 @query
 def dedupe_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tables.calls(spark, sf_dir).where("created_at < timestamp_ntz'2024-01-08'")
@@ -435,15 +479,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over whole texts."""
     whole = redaction.redact(F.col("text"), max_chars=None)
-    return _documents(spark, sf_dir).select("doc_id", whole.alias("redacted"))
+    texts = tables.sensitive_documents(spark, sf_dir)
+    return texts.select("doc_id", whole.alias("redacted"))
 
 
 @query
 def redact_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the loader stores: the preview is cut first and redacted then."""
-    return _documents(spark, sf_dir).select(
-        "doc_id", redaction.redact(F.col("text")).alias("redacted")
-    )
+    texts = tables.sensitive_documents(spark, sf_dir)
+    return texts.select("doc_id", redaction.redact(F.col("text")).alias("redacted"))
 
 
 @query
@@ -474,7 +518,7 @@ def replace_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redaction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redaction.report(_documents(spark, sf_dir), "text")
+    return redaction.report(tables.sensitive_documents(spark, sf_dir), "text")
 
 
 @query
@@ -541,16 +585,37 @@ def append_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.append_messages(created, tables.messages(spark, sf_dir))
 
 
+@query
+def append_messages_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of messages to add, a third of which break a rule."""
+    number = F.right("id", F.lit(12)).cast("bigint")
+    robot = F.when(number % 7 == 3, F.lit("robot")).otherwise(F.col("role"))
+    stray = F.when(number % 5 == 2, F.lit("nowhere")).otherwise(F.col("session_id"))
+    messages = tables.messages(spark, sf_dir).withColumns({"role": robot, "session_id": stray})
+    accepted, refused = chat.accepted_messages(messages, tables.sessions(spark, sf_dir))
+    reasons = F.array_join("errors", ",").alias("errors")
+    return accepted.select(*messages.columns, F.lit("").alias("errors")).unionByName(
+        refused.select(*messages.columns, reasons)
+    )
+
+
 @query
 def chat_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken chat rules per kind of row, on rows made wrong at regular places."""
     odd = F.col("id").substr(36, 1) == "3"
-    messages = tables.messages(spark, sf_dir).withColumn(
-        "role", F.when(odd, F.lit("robot")).otherwise(F.col("role"))
+    long = F.col("id").substr(36, 1) == "2"
+    messages = tables.messages(spark, sf_dir).withColumns(
+        {
+            "role": F.when(odd, F.lit("robot")).otherwise(F.col("role")),
+            "content": F.when(long, F.repeat(F.lit("x"), 200_001)).otherwise(F.col("content")),
+        }
     )
+    name = F.col("username")
     users = _seen_users(spark, sf_dir).withColumn(
         "username",
-        F.when(F.trim("username").startswith("User"), F.lit(" ")).otherwise(F.col("username")),
+        F.when(name.startswith("User"), F.lit(" "))
+        .when(name == "  user1\t", F.repeat(F.lit("u"), 65))
+        .otherwise(name),
     )
     sessions = tables.sessions(spark, sf_dir).withColumn(
         "title", F.when(odd, F.repeat(F.lit("x"), 256)).otherwise(F.col("title"))
@@ -678,6 +743,37 @@ def stream_load_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_table.read(spark, f"{root}/calls").select(*CALL_COLUMNS)
 
 
+@query
+def replay_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of the letters that are dead again after two replays."""
+    root = scratch_path(spark, "replay")
+    live_load.load_batch(tables.feed(spark, sf_dir), 0, f"{root}/calls", f"{root}/dead0")
+    for n in (1, 2):
+        again = loading.retryable(spark.read.parquet(f"{root}/dead{n - 1}"))
+        live_load.load_batch(again, n, f"{root}/calls", f"{root}/dead{n}", stream="replay")
+    dead = spark.read.parquet(f"{root}/dead2")
+    return dead.select("origin_id", F.array_join("errors", ",").alias("errors"), "attempts")
+
+
+@query
+def compacted_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call table after three batches, a copy of it, and the last batch once more."""
+    root = scratch_path(spark, "compact")
+    feed = tables.feed(spark, sf_dir)
+    third = F.left("origin_id", F.lit(12)).cast("bigint") % 3
+
+    def load(batch: int, path: str) -> None:
+        rows = feed.where(third == batch)
+        live_load.load_batch(rows, batch, path, f"{root}/dead", stream="s")
+
+    for batch in range(3):
+        load(batch, f"{root}/calls")
+    call_table.compact(spark, f"{root}/calls", f"{root}/compacted")
+    load(2, f"{root}/compacted")
+    stored = call_table.read(spark, f"{root}/compacted")
+    return stored.select(*CALL_COLUMNS, call_table.STREAM, call_table.BATCH)
+
+
 @query
 def stream_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dead-letter table after the feed was loaded as a stream."""
@@ -704,26 +800,36 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours the watermark has closed once the stream was drained."""
+    """All hours, once the stream was drained and closed."""
     root = scratch_path(spark, "rollup")
-    calls = tables.calls_of(tables.table_stream(spark, sf_dir, "events"))
-    live_rollup.write(
-        live_rollup.rollup_stream(calls), f"{root}/rollup", f"{root}/offsets"
-    ).awaitTermination()
+
+    def drain() -> StructType:
+        calls = tables.calls_of(tables.table_stream(spark, sf_dir, "events"))
+        rows = live_rollup.rollup_stream(closing.with_marks(calls, f"{root}/marks"))
+        live_rollup.write(rows, f"{root}/rollup", f"{root}/offsets").awaitTermination()
+        return calls.schema
+
+    closing.mark(spark, drain(), f"{root}/marks", "created_at")
+    drain()
     stored = spark.read.parquet(f"{root}/rollup").drop("day", *rollup.SKETCHES)
     return rounded(stored, "total_latency_ms", "total_cost")
 
 
 @query
 def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls whose gap the watermark has passed once the stream was drained."""
+    """All calls, once the stream was drained and closed."""
     root = scratch_path(spark, "assembly")
-    conversations = tables.table_stream(spark, sf_dir, "conversations")
-    live = live_assembly.assemble_stream(tables.chunks_of(conversations, "completion"))
-    live_assembly.write(live, f"{root}/calls", f"{root}/offsets").awaitTermination()
-    return spark.read.parquet(f"{root}/calls").drop("stop_reason")
 
+    def drain() -> StructType:
+        conversations = tables.table_stream(spark, sf_dir, "conversations")
+        chunks = tables.chunks_of(conversations, "completion")
+        rows = live_assembly.assemble_stream(closing.with_marks(chunks, f"{root}/marks"))
+        live_assembly.write(rows, f"{root}/calls", f"{root}/offsets").awaitTermination()
+        return chunks.schema
 
+    closing.mark(spark, drain(), f"{root}/marks", "ts")
+    drain()
+    return spark.read.parquet(f"{root}/calls").drop("stop_reason")
 
 
 @query

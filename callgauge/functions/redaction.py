@@ -212,16 +212,17 @@ def report(df: DataFrame, column: str, max_chars: int | None = None) -> DataFram
     """Per rule: rows with a hit and number of replacements, on the running text.
 
     One pass over the data; each task folds its rows into seven counters before
-    anything is exchanged.
+    anything is exchanged. A rule replaces only where it was counted.
     """
     text = F.col(column) if max_chars is None else F.substring(column, 1, max_chars)
     running = df.select(F.coalesce(text, F.lit("")).alias("text"))
     for name, _, _ in RULES:
         kept = [F.col(c) for c in running.columns if c != "text"]
-        running = running.select(
+        found, counted = F.col(f"n_{name}"), count_rule(F.col("text"), name).cast("bigint")
+        running = running.select(*kept, counted.alias(f"n_{name}"), "text").select(
             *kept,
-            count_rule(F.col("text"), name).cast("bigint").alias(f"n_{name}"),
-            apply_rules(F.col("text"), [name]).alias("text"),
+            found,
+            F.when(found > 0, _replaced(F.col("text"), name)).otherwise(F.col("text")).alias("text"),
         )
     totals = running.agg(
         *[

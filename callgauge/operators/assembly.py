@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from callgauge.functions.text import estimated_tokens
 from callgauge.operators.responses import parse_chunks
 
-BLOCK = 512
-# 512 ** 3 chunks of a call end in one row; longer calls in one row per so many
-LEVELS = 3
+# a call of 16 million chunks ends in a group of as many short rows as a block has chunks
+BLOCK = 4096
 
 
 def _joined(position: str, text: str, max_chars: int | None) -> Column:
@@ -49,7 +48,7 @@ def latest(value: Column, seq: Column) -> Column:
 
 
 def assemble(
-    chunks: DataFrame, shape: str = "completion", max_chars: int | None = None
+    chunks: DataFrame, shape: str = "completion", max_chars: int | None = None, levels: int = 1
 ) -> DataFrame:
     """One row per call.
 
@@ -60,9 +59,8 @@ def assemble(
 
     With ``max_chars`` every block is cut to that length as well; the first
     characters of the whole need no more than that from any block, so the result is
-    the same. Rows then stay short, and blocks are folded into blocks of blocks until
-    a call of any length ends in a small group. The whole text of a call has to fit
-    into its row in any case, so without ``max_chars`` one level is enough.
+    the same, and rows stay short. Every level of blocks costs an exchange; more than one
+    is of use only with ``max_chars`` and calls of far more than ``BLOCK ** 2`` chunks.
     """
     carried = ("input_tokens", "output_tokens", "stop_reason")
     rows = parse_chunks(chunks, shape).select(
@@ -86,7 +84,7 @@ def assemble(
         F.max("last_at").alias("last_at"),
         F.sum("n_chunks").alias("n_chunks"),
     ]
-    for _ in range(1 if max_chars is None else LEVELS):
+    for _ in range(levels):
         block = F.floor(F.col("position") / BLOCK).alias("position")
         rows = rows.groupBy("call_id", block).agg(*folded)
     return (

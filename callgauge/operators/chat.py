@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callgauge.functions.joins import group_join
 from callgauge.functions.text import non_empty, strip
+from callgauge.operators import validation
 from callgauge.schema import AUTO_TITLE_CHARS, LIST_PREVIEW_CHARS
 from callgauge.session import BROADCAST_ROWS
 
@@ -71,8 +73,23 @@ def create_sessions(requests: DataFrame) -> DataFrame:
     )
 
 
+def accepted_messages(messages: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused): the messages to store, and those that break a rule.
+
+    Refused ones carry their ``errors``; a message of an unknown session is one of them.
+    """
+    known = sessions.select(F.col("id").alias("session_id"), F.lit(True).alias("_known"))
+    checked = validation.check_messages(messages).join(known, "session_id", "left")
+    unknown = F.when(F.col("_known").isNull(), F.array(F.lit("session_id:unknown")))
+    marked = checked.withColumn(
+        "errors", F.concat("errors", F.coalesce(unknown, F.array().cast("array<string>")))
+    ).select(*messages.columns, "errors")
+    good = F.size("errors") == 0
+    return marked.where(good).drop("errors"), marked.where(~good)
+
+
 def append_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """Sessions after ``messages`` were added.
+    """Sessions after ``messages`` were added; see ``accepted_messages`` for the rows.
 
     ``updated_at`` moves to the newest message; a session without a title takes the
     first 60 characters of its first user message. Contents are cut to that length
@@ -154,8 +171,9 @@ def session_detail(
 ) -> DataFrame:
     """Sessions with their messages: one row per message.
 
-    Rows are in no order; sort by (``sent_at``, ``message_id``) for oldest first.
-    Header columns repeat on each row. A session without messages has one row whose
+    ``position`` counts a session's messages from 1, oldest first. It is the number of
+    messages of earlier days, from a table of counts, plus the place within the day, so a
+    session that holds most messages is numbered by many tasks. Header columns repeat on each row. A session without messages has one row whose
     message columns are NULL; an empty newest message gives an empty preview here
     and none in the lists. The transcript stays a set of rows, so a very long
     session never has to fit into one array. The messages drive the join, which
@@ -165,12 +183,22 @@ def session_detail(
         sessions = sessions.where(F.col("id") == session_id)
         messages = messages.where(F.col("session_id") == session_id)
     headers = _listed(sessions, messages)
-    rows = messages.select(
+    day = ["session_id", "_day"]
+    dated = messages.withColumn("_day", F.to_date("created_at"))
+    before = W.partitionBy("session_id").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    earlier = (
+        dated.groupBy(*day)
+        .agg(F.count("*").alias("_n"))
+        .select(*day, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"))
+    )
+    place = F.row_number().over(W.partitionBy(*day).orderBy("created_at", "id"))
+    rows = group_join(dated.withColumn("_place", place), earlier, day, "inner").select(
         F.col("session_id"),
         F.col("id").alias("message_id"),
         "role",
         "content",
         F.col("created_at").alias("sent_at"),
+        (F.col("_earlier") + F.col("_place")).alias("position"),
     )
     filled = rows.join(headers, rows["session_id"] == headers["id"]).drop("session_id")
     empty = headers.where(F.col("message_count") == 0).select(

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callgauge.functions.instants import month_of
-from callgauge.functions.redaction import redact
+from callgauge.functions.redaction import redact, replace_spans
 from callgauge.operators import validation
 from callgauge.schema import CALL_COLUMNS, CALLS_SCHEMA, MAX_LOAD_ATTEMPTS, RECORD_FIELDS
 from callgauge.sources.calls import MONTH, in_declared_months
@@ -22,9 +22,15 @@ DUPLICATE = "id:duplicate"
 NO_PARTITION = "created_at:no_partition"
 
 
-def to_calls(good: DataFrame, redact_columns: Sequence[str] = PREVIEWS) -> DataFrame:
+def to_calls(
+    good: DataFrame,
+    redact_columns: Sequence[str] = PREVIEWS,
+    entities: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Stored columns in table order, with renames and redacted previews.
 
+    ``entities``, such as ``plugins.span_finder``, returns the entity spans of a text; it
+    sees the previews after the rules and its spans are replaced as well.
     The feed's own columns (``origin_id``, ``payload``, ``arrived_at``) stay in
     front, so a row that is refused later still carries its original payload.
     """
@@ -35,7 +41,12 @@ def to_calls(good: DataFrame, redact_columns: Sequence[str] = PREVIEWS) -> DataF
             value = redact(value)
         columns[field.stored] = value.cast(CALLS_SCHEMA[field.stored].dataType)
     feed = [c for c in good.columns if c not in ("record", "errors")]
-    return good.select(*feed, *[columns[c].alias(c) for c in CALL_COLUMNS])
+    rows = good.select(*feed, *[columns[c].alias(c) for c in CALL_COLUMNS])
+    if entities is None:
+        return rows
+    spans = {f"_spans_{c}": entities(F.col(c)) for c in redact_columns}
+    masked = {c: replace_spans(F.col(c), F.col(f"_spans_{c}")) for c in redact_columns}
+    return rows.withColumns(spans).withColumns(masked).drop(*spans)
 
 
 def first_arrivals(rows: DataFrame, key: Sequence[str] = TABLE_KEY) -> DataFrame:

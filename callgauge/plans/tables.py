@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgauge.operators.pricing import call_cost
+from callgauge.operators.validation import INT_MAX
 from callgauge.schema import CALL_COLUMNS, PRICES
 from callgauge.sources import catalogs
 from callgauge.sources.feed import stream_files
@@ -97,38 +98,120 @@ def calls_with_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BREAK_EVERY = 17
 
+# every way a payload can be wrong: (members to put in, as JSON; members to leave out)
+FLAWS = (
+    ("", ""),  # no JSON at all
+    ("", "latency_ms"),
+    ('"provider":"made-up"', "provider"),
+    ('"latency_ms":-5', "latency_ms"),
+    ('"surprise":1', ""),
+    ('"log_id":"not-a-uuid"', "log_id"),
+    ('"timestamp":"yesterday"', "timestamp"),
+    ("", "log_id"),
+    ("", "session_id"),
+    ("", "provider"),
+    ("", "model"),
+    ("", "request_status"),
+    ("", "input_tokens"),
+    ("", "output_tokens"),
+    ("", "total_cost"),
+    ("", "timestamp"),
+    ('"session_id":"7"', "session_id"),
+    ('"message_id":"none"', ""),
+    ('"message_id":7', ""),
+    ('"model":""', "model"),
+    (f'"model":"{"m" * 101}"', "model"),
+    ('"model":4', "model"),
+    ('"request_status":"MAYBE"', "request_status"),
+    ('"latency_ms":"slow"', "latency_ms"),
+    ('"latency_ms":null', "latency_ms"),
+    ('"ttft_ms":-1', "ttft_ms"),
+    ('"ttft_ms":"soon"', "ttft_ms"),
+    ('"input_tokens":-1', "input_tokens"),
+    ('"input_tokens":2147483648', "input_tokens"),
+    ('"input_tokens":1.5', "input_tokens"),
+    ('"output_tokens":-1', "output_tokens"),
+    ('"output_tokens":0.5', "output_tokens"),
+    ('"total_cost":-0.1', "total_cost"),
+    ('"error_stack":[]', ""),
+    (f'"input_preview":"{"p" * 501}"', "input_preview"),
+    (f'"output_preview":"{"p" * 501}"', ""),
+    ('"output_preview":5', ""),
+    ('"metadata":null', "metadata"),
+    ('"metadata":[1]', "metadata"),
+    ('"surprise":1,"latency_ms":-5', "latency_ms"),
+    ('"provider":"nobody"', "provider|model"),
+    ('"input_preview":5', "input_preview"),
+    ('"total_cost":"free"', "total_cost"),
+    ('"input_tokens":"few"', "input_tokens"),
+    ('"output_tokens":"few"', "output_tokens"),
+    ('"log_id":null', "log_id"),
+    ('"session_id":null', "session_id"),
+    ('"provider":null', "provider"),
+    ('"request_status":null', "request_status"),
+    ('"timestamp":null', "timestamp"),
+)
+# what previews say, in turn; the redaction rules find something in each of them
+PREVIEW_TEXTS = (
+    "'mail user' || number || '@example.test from 10.0.0.1'",
+    "'Ada Park paid with 4111 1111 1111 1111'",
+    "'key sk-' || md5(CAST(number AS STRING)) || ' of 123-45-6789'",
+    "'Ada Park came from 2001:db8:0:0:0:0:2:1'",
+)
+
+
+def _in_turn(number: str, choices: tuple[str, ...]) -> str:
+    whens = " ".join(f"WHEN {i} THEN {choice}" for i, choice in enumerate(choices))
+    return f"CASE {number} % {len(choices)} {whens} END"
+
+
+def _broken(payload: Column, flaw: Column) -> Column:
+    """The payload with one of ``FLAWS``."""
+    added = F.get(F.array(*[F.lit(f"{new}," if new else "") for new, _ in FLAWS]), flaw)
+    value = r'("[^"]*"|\{[^}]*\}|[^,}]*)'
+    names = [f'"({gone})":{value},?' if gone else "^$" for _, gone in FLAWS]
+    left = F.regexp_replace(payload, F.get(F.array(*map(F.lit, names)), flaw), F.lit(""))
+    whole = F.concat(F.lit("{"), added, F.substring(left, 2, INT_MAX))
+    closed = F.replace(whole, F.lit(",}"), F.lit("}"))
+    return F.when(flaw == 0, F.lit("not-json-at-all")).otherwise(closed)
+
 
 def feed_of(events: DataFrame) -> DataFrame:
     """Feed rows: every event once, every tenth of them delivered twice.
 
-    Every 17th payload is broken, in one of seven ways in turn.
+    Every 17th payload is broken, in one of the ways of ``FLAWS`` in turn.
     """
     numbered = calls_of(events).selectExpr("*", "CAST(right(id, 12) AS BIGINT) AS number")
     flawed = numbered.selectExpr(
-        "*", f"CASE WHEN number % {BREAK_EVERY} = 0 THEN number DIV {BREAK_EVERY} % 7 END AS flaw"
+        "*",
+        f"""CASE WHEN number % {BREAK_EVERY} = 0
+                 THEN CAST(number DIV {BREAK_EVERY} % {len(FLAWS)} AS INT) END AS flaw""",
     )
     written = flawed.selectExpr(
         "number",
         "created_at",
-        """CASE WHEN flaw = 0 THEN 'not-json-at-all' ELSE to_json(named_struct(
-             'log_id', CASE WHEN flaw = 5 THEN 'not-a-uuid' ELSE id END,
+        "flaw",
+        f"""to_json(named_struct(
+             'log_id', id,
              'session_id', session_id,
-             'provider', CASE WHEN flaw = 2 THEN 'made-up' ELSE provider END,
+             'provider', provider,
              'model', model,
              'request_status', status,
-             'latency_ms', CASE WHEN flaw = 3 THEN -5D WHEN flaw = 1 THEN NULL ELSE latency_ms END,
+             'latency_ms', latency_ms,
              'ttft_ms', ttft_ms,
              'input_tokens', input_tokens,
              'output_tokens', output_tokens,
              'total_cost', total_cost,
-             'input_preview', 'mail user' || number || '@example.test from 10.0.0.1',
-             'timestamp', CASE WHEN flaw = 6 THEN 'yesterday' ELSE
-                            date_format(created_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") END,
-             'metadata', parse_json(metadata),
-             'surprise', CASE WHEN flaw = 4 THEN 1 END)) END AS payload""",
+             'input_preview', {_in_turn("number", PREVIEW_TEXTS)},
+             'timestamp', date_format(created_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+             'metadata', parse_json(metadata))) AS payload""",
         "CASE WHEN number % 10 = 3 THEN array(0, 1) ELSE array(0) END AS copies",
     )
-    return written.withColumn("copy", F.explode("copies")).selectExpr(
+    payload, flaw = F.col("payload"), F.col("flaw")
+    mixed = written.withColumn(
+        "payload", F.when(flaw.isNull(), payload).otherwise(_broken(payload, flaw))
+    )
+    return mixed.withColumn("copy", F.explode("copies")).selectExpr(
         "lpad(number, 12, '0') || '-' || copy AS origin_id",
         "payload",
         "created_at + make_dt_interval(0, 0, 0, copy * 30) AS arrived_at",
@@ -139,6 +222,22 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_of(table(spark, sf_dir, "events"))
 
 
+# personal data put in front of the documents, in turn; the texts seldom have such
+SENSITIVE = (
+    "''",
+    "'key sk-' || md5(CAST(doc_id AS STRING)) || ' '",
+    "'ssn 1' || lpad(CAST(doc_id % 100 AS STRING), 2, '0') || '-45-6789 '",
+    "'from 2001:db8:0:0:0:0:2:' || CAST(doc_id % 100 AS STRING) || ' '",
+    "'id AKIA' || upper(left(md5(CAST(doc_id AS STRING)), 16)) || ' '",
+)
+
+
+def sensitive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, four in five with a key, a number or an address in front."""
+    prefix = _in_turn("doc_id", SENSITIVE)
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{prefix} || text AS text")
+
+
 # --- the conversation store -----------------------------------------------------------
 
 
@@ -355,12 +454,16 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(fate == 2, F.lit("RateLimitError"))
         .when(fate == 3, F.lit("HTTPError"))
         .when(fate == 4, F.lit("RuntimeError"))
+        .when(fate == 5, F.lit("AbortError"))
+        .when(fate == 6, F.lit("Error"))
     )
     error_message = (
         F.when(fate == 1, F.lit(""))
         .when(fate == 2, F.lit("slow down"))
         .when(fate == 3, F.lit("HTTP 429"))
         .when(fate == 4, F.lit("boom"))
+        .when(fate == 5, F.lit(""))
+        .when(fate == 6, F.lit("The user cancelled it"))
     )
     started = _at(hours=F.col("conv_id"), minutes=F.col("turn"))
     return (

@@ -16,6 +16,8 @@ from callgauge.schema import CALL_COLUMNS, CALLS_SCHEMA
 MONTH = "created_month"
 STREAM = "load_stream"
 BATCH = "load_batch"
+# the stream that settled batches belong to after ``compact``
+COMPACTED = "compacted"
 STORED_SCHEMA = T.StructType(
     [
         *CALLS_SCHEMA.fields,
@@ -105,6 +107,36 @@ def append(calls: DataFrame, path: str, batch: int, stream: str) -> None:
     )
 
 
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Copy the table at ``path`` to the fresh folder ``target`` with few files a month.
+
+    Adaptive execution sizes the files (``advisoryPartitionSizeInBytes``) and splits
+    months that hold much.
+
+    The newest batch of every stream keeps its own directories, because a stream may
+    still repeat it; older ones are settled and become one. Streams then go on with
+    ``target`` under their old checkpoints. The source stays as it is, so a copy that
+    fails is thrown away and made again.
+    """
+    stored = read(spark, path)
+    newest = stored.groupBy(STREAM).agg(F.max(BATCH).alias("_newest"))
+    settled = F.col(BATCH) < F.col("_newest")
+    named = stored.join(newest, STREAM).select(
+        *CALL_COLUMNS,
+        MONTH,
+        F.when(settled, F.lit(COMPACTED)).otherwise(F.col(STREAM)).alias(STREAM),
+        F.when(settled, F.lit(0)).otherwise(F.col(BATCH)).cast("bigint").alias(BATCH),
+    )
+    (
+        named.hint("rebalance", MONTH, STREAM, BATCH)
+        .sortWithinPartitions(MONTH, STREAM, BATCH, "provider", "model", "created_at")
+        .write.mode("errorifexists")
+        .option("parquet.bloom.filter.enabled#id", "true")
+        .partitionBy(MONTH, STREAM, BATCH)
+        .parquet(target)
+    )
+
+
 def month_bounds(months: DataFrame, column: str = "month", prefix: str = "calls") -> DataFrame:
     """(name, lower, upper) of the month partition that holds each date; half-open."""
     lower = F.trunc(F.col(column), "month")

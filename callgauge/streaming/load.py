@@ -9,14 +9,14 @@ with a new checkpoint, and replays can share the tables.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 from functools import reduce
 from operator import or_
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -72,19 +72,21 @@ def load_batch(
     first_month: date | str | None = None,
     months: int = 0,
     stream: str = "direct",
+    entities: Callable[[Column], Column] | None = None,
 ) -> None:
     """Validate, redact, de-duplicate and store one batch; the rest become dead letters.
 
     A batch replaces what ``stream`` stored under the same number; batches that do not
     come from ``load_stream``, replays above all, name a stream of their own.
     With ``first_month`` and ``months`` only calls of those months are accepted.
+    ``entities`` finds entity spans in previews, see ``loading.to_calls``.
     """
     if "attempts" not in feed.columns:
         feed = feed.withColumn("attempts", F.lit(0))
     checked = validation.check(feed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         good, dead = validation.split(checked)
-        rows = loading.to_calls(good)
+        rows = loading.to_calls(good, entities=entities)
         refused = [dead]
         if first_month is not None:
             rows, outside = loading.route(rows, first_month, months)

@@ -65,6 +65,21 @@ def test_session_detail(store):
     assert [r.id for r in chat.transcript(store[1], "s1").collect()] == ["m1", "m2", "m3", "m4"]
 
 
+def test_positions_run_over_days_and_refused_messages(spark):
+    sessions = spark.createDataFrame([("s", "u", None, at(0), at(0))], SESSIONS_SCHEMA)
+    day = [at(0) + timedelta(days=d) for d in (2, 0, 1, 0)]
+    rows = [(f"m{i}", "s", "user", "x", t) for i, t in enumerate(day)]
+    messages = spark.createDataFrame(rows, MESSAGES_SCHEMA)
+    seen = {r.message_id: r.position for r in chat.session_detail(sessions, messages).collect()}
+    assert seen == {"m1": 1, "m3": 2, "m2": 3, "m0": 4}
+    odd = spark.createDataFrame([("a", "s", "robot", "x", at(0)), ("b", "?", "user", "x", at(0))], MESSAGES_SCHEMA)
+    accepted, refused = chat.accepted_messages(messages.unionByName(odd), sessions)
+    assert accepted.count() == 4
+    assert {r.id: r.errors for r in refused.collect()} == {
+        "a": ["role:choice"], "b": ["session_id:unknown"],
+    }
+
+
 def test_append_messages(store):
     rows = {r.id: r for r in chat.append_messages(*store).collect()}
     assert rows["s1"].title == "x" * 60 and rows["s2"].title == "kept"

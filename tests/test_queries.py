@@ -8,6 +8,10 @@ import duckdb
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from callgauge.checks.oracles import REASONS
+from callgauge.operators import validation
+from callgauge.plans import tables
+from callgauge.schema import RECORD_FIELDS
 from check import TABLES, _rows
 
 ORACLES = oracle_sql()
@@ -45,3 +49,17 @@ def test_sketched_percentiles_are_close(spark, sf_dir):
     }
     assert {(r.day, r.provider, r.model, r.status): r.n for r in rows} == exact
     assert all(r.p50_latency_ms <= r.p95_latency_ms <= r.p99_latency_ms for r in rows)
+
+
+def test_sample_feed_breaks_every_rule():
+    rules = {f"{f.name}:{rule}" for f in RECORD_FIELDS for rule in validation._rules(f)}
+    rules |= {f"{f.name}:missing" for f in RECORD_FIELDS if f.required}
+    broken = {reason for reasons in REASONS for reason in reasons.split(",")}
+    assert broken - rules == {"payload:malformed", "record:unknown_key"}
+    assert not rules - broken
+    assert len(REASONS) == len(tables.FLAWS)
+
+
+def test_sample_texts_hit_every_rule(spark, sf_dir):
+    rows = queries()["redaction_report"](spark, sf_dir).collect()
+    assert len(rows) == 7 and all(r.rows_hit > 0 for r in rows)

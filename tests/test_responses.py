@@ -211,13 +211,13 @@ def test_tokenizer_plugin(spark):
     assert assembly.backfill_usage(df, estimator=words).first().output_tokens == 3
 
 
-@pytest.mark.parametrize("max_chars", [1, 7, 40])
-def test_blocks_of_blocks(spark, monkeypatch, max_chars):
+@pytest.mark.parametrize(("max_chars", "levels"), [(1, 1), (7, 2), (40, 4)])
+def test_blocks_of_blocks(spark, monkeypatch, max_chars, levels):
     """With tiny blocks a call passes through every level; the start stays the same."""
     monkeypatch.setattr(assembly, "BLOCK", 2)
     words = ["", "a", "", "bc ", "d", "", "", "efg", " h"] * 5
     rows = stream("x", map(completion, words)) + stream("y", [completion("z", (3, 4))])
-    got = assembled(spark, rows[::-1], max_chars=max_chars)
+    got = assembled(spark, rows[::-1], max_chars=max_chars, levels=levels)
     assert got["x"].text == "".join(words)[:max_chars]
     assert (got["x"].n_chars, got["x"].n_chunks) == (len("".join(words)), len(words))
     assert got["x"].first_text_at == START + timedelta(milliseconds=20)

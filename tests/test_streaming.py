@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from callgauge.functions.plugins import span_finder
 from callgauge.operators import loading, validation
 from callgauge.plans import reports, rollup, tables
 from callgauge.schema import CHUNKS_SCHEMA, FEED_SCHEMA
@@ -217,6 +218,29 @@ def test_only_the_touched_months_are_opened(spark, tmp_path):
     assert call_table.read_months(spark, stored, [date(2027, 1, 1)]) is None
 
 
+def test_compaction_keeps_rows_and_the_newest_batch(spark, tmp_path):
+    stored, target, dead = (str(tmp_path / p) for p in ("calls", "compacted", "dead"))
+    for batch in range(4):
+        rows = spark.createDataFrame([_row(batch, batch)], FEED_SCHEMA)
+        live.load_batch(rows, batch, stored, dead, stream="s")
+    call_table.compact(spark, stored, target)
+    copied = call_table.read(spark, target)
+    assert len(copied.inputFiles()) == 2 < len(call_table.read(spark, stored).inputFiles())
+    # the stream may repeat its newest batch, and nothing is lost or doubled
+    live.load_batch(rows, 3, target, dead, stream="s")
+    after = {(r.id, r.load_stream, r.load_batch) for r in call_table.read(spark, target).collect()}
+    assert after == {(_id(i), "compacted", 0) for i in range(3)} | {(_id(3), "s", 3)}
+
+
+def test_entities_are_replaced_after_the_rules(spark, tmp_path):
+    stored, dead = str(tmp_path / "calls"), str(tmp_path / "dead")
+    find = span_finder(lambda: lambda t: [(0, 7, "PERSON")] if t.startswith("contact") else [])
+    feed = spark.createDataFrame([_row(0, 1)], FEED_SCHEMA)
+    live.load_batch(feed, 0, stored, dead, entities=find)
+    row = call_table.read(spark, stored).first()
+    assert row.input_preview == "[PERSON] me at [EMAIL]" and row.output_preview is None
+
+
 def test_replay_remembers_attempts(spark):
     feed = spark.createDataFrame([_row(0, None)], FEED_SCHEMA)
     checked = validation.check(feed.withColumn("attempts", F.lit(2)))
