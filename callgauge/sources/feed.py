@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 
 from callgauge.functions.instants import to_utc, utc_literal
 from callgauge.schema import BACKLOG_LIMIT, FEED_SCHEMA
@@ -81,3 +84,22 @@ def counters(
         F.coalesce(F.sum("d"), F.lit(0)).alias("dead_len"),
     )
     return totals.withColumn("saturated", F.col("feed_len") >= limit)
+
+
+def lag(progress: StreamingQueryProgress) -> int | None:
+    """Rows a running stream has yet to read, from a progress report of its query.
+
+    Sums, over the partitions of its topics, the newest offset less the one read so far.
+    None when a source does not report its newest offset, as files do not.
+    """
+    waiting = 0
+    for source in json.loads(progress.json)["sources"]:
+        newest, done = source.get("latestOffset"), source.get("endOffset") or {}
+        if not isinstance(newest, dict):
+            return None
+        waiting += sum(
+            offset - done.get(topic, {}).get(part, 0)
+            for topic, parts in newest.items()
+            for part, offset in parts.items()
+        )
+    return waiting

@@ -150,7 +150,9 @@ def without_redelivered(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Drop repeated ids that arrive within ``delay`` of each other (event time).
 
     State is bounded by the delay. Repeats further apart are caught when the row is
-    compared with the stored table.
+    compared with the stored table. A call later than the delay is dropped, repeated or
+    not: this is for consumers that can do without it. ``load_stream`` has no watermark
+    and stores every late call.
     """
     timed = calls.withColumn("created_at", F.col("created_at").cast("timestamp"))
     unique = timed.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import date, datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from callgauge.schema import CHUNKS_SCHEMA, FEED_SCHEMA
 from callgauge.sources import calls as call_table
 from callgauge.sources import feed as feeds
 from callgauge.streaming import assembly as live_assembly
+from callgauge.streaming import closing
 from callgauge.streaming import load as live
 
 from test_validation import payload
@@ -245,3 +247,33 @@ def test_replay_remembers_attempts(spark):
     feed = spark.createDataFrame([_row(0, None)], FEED_SCHEMA)
     checked = validation.check(feed.withColumn("attempts", F.lit(2)))
     assert loading.replay(validation.dead(checked)).first().attempts == 2
+
+
+def test_lag_of_a_running_stream():
+    def report(*sources):
+        return SimpleNamespace(json=json.dumps({"sources": sources}))
+
+    topic = {"latestOffset": {"calls": {"0": 9, "1": 4}}, "endOffset": {"calls": {"0": 7, "1": 4}}}
+    fresh = {"latestOffset": {"more": {"0": 3}}, "endOffset": None}
+    assert feeds.lag(report(topic)) == 2 and feeds.lag(report(topic, fresh)) == 5
+    assert feeds.lag(report(topic, {"latestOffset": None, "endOffset": {"logOffset": 0}})) is None
+
+
+def test_a_mark_closes_the_last_calls(spark, tmp_path):
+    """Two runs without a mark leave the newest call open; the mark brings it out, once."""
+    source, out, marks, offsets = (str(tmp_path / p) for p in ("chunks", "out", "marks", "offsets"))
+    body = json.dumps({"choices": [{"delta": {"content": "hi"}}]})
+
+    def drain():
+        chunks = feeds.stream_files(spark, source, schema=CHUNKS_SCHEMA)
+        rows = live_assembly.assemble_stream(closing.with_marks(chunks, marks))
+        live_assembly.write(rows, out, offsets).awaitTermination()
+        return sorted(r.call_id for r in spark.read.parquet(out).collect())
+
+    for i, call in enumerate("ab"):
+        row = (call, 0, datetime(2026, 5, 1, 10 + i), body)
+        spark.createDataFrame([row], CHUNKS_SCHEMA).write.mode("append").parquet(source)
+        left = drain()
+    assert left == ["a"]
+    closing.mark(spark, CHUNKS_SCHEMA, marks, "ts")
+    assert drain() == ["a", "b"] and drain() == ["a", "b"]
