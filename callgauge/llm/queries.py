@@ -92,9 +92,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-@query
-def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score(table(spark, sf_dir, "documents"))
+def _lm_score(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), order=order)
     return scored.select(
         F.col("id").alias("doc_id"),
         "n_words",
@@ -104,6 +103,16 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm_score(spark, sf_dir, lm.ORDER)  # the order of the SQL twin
+
+
+@query
+def op7_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm_score(spark, sf_dir, 3)
+
+
 @query
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callgauge.llm import lm
+from callgauge.llm.common import table
 
 SCHEMA = "doc_id long, text string"
 
@@ -99,3 +100,15 @@ def test_empty_and_single(spark):
 def test_text_ids(spark):
     df = spark.createDataFrame([("x", "a b"), (None, "a b")], "doc_id string, text string")
     assert {r.id for r in lm.score(df).collect()} == {"x", None}
+
+
+def test_registered_order_3(spark, sf_dir):
+    from callgauge.llm.queries import QUERIES
+
+    docs = table(spark, sf_dir, "documents")
+    wanted = brute([(r.doc_id, r.text) for r in docs.collect()], 3, lm.BACKOFF)
+    found = QUERIES["op7_lm_score_order3"](spark, sf_dir).collect()
+    rows = sorted(((r.doc_id, r.n_words, r.n_backoff, r.log_score) for r in found), key=repr)
+    assert [r[:3] for r in rows] == [r[:3] for r in wanted]
+    for a, b in zip(rows, wanted, strict=True):
+        assert a[3] == pytest.approx(b[3], abs=1e-4)
