@@ -5,7 +5,9 @@ literals, bare configuration values, assignment signs and ``+``. A literal (or a
 concatenation) assigned to a name becomes a constant; a name on the right-hand side stands
 for the constant it holds. Every literal that reaches a target is scored by how sensitive
 the target's name is and how much the value looks like a secret; high scores are added to
-the spans of the base patterns as kind ``literal``.
+the spans of the base patterns as kind ``literal``. What follows a comment sign (``#`` or
+``//``) up to the end of its line is lexed likewise, as a run of its own with constants of
+its own, and its literals get the kind ``comment``.
 
 Defined results: a null or empty text has no spans. Offsets count code points, ends are
 exclusive. Texts are read whole; the lexer only starts on texts that hold a sensitive word
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
-KINDS = ("assign", "access", "hex", "literal")
+KINDS = ("assign", "access", "hex", "literal", "comment")
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
@@ -72,19 +74,19 @@ class Span(NamedTuple):
     value_end: int
 
 
-_TOKEN = re.compile(
-    r"""
-      (?P<comment>(?<![^\s;{}])(?:\#|//)[^\n]*)
-    | (?P<string>(?<!\w)(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''
+_COMMENT = r"(?P<comment>(?<![^\s;{}])(?P<sign>\#|//)[^\n]*)"
+_PARTS = r"""
+      (?P<string>(?<!\w)(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''
         |"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`))
     | (?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)
     | (?P<op>==|!=|<=|>=|=>|:=|\+=|[=:+])
     | (?P<end>[\n;,(){}])
     | (?P<index>[\[\]])
     | (?P<other>[^\s])
-    """,
-    re.VERBOSE | re.DOTALL | re.ASCII,
-)
+    """
+_FLAGS = re.VERBOSE | re.DOTALL | re.ASCII
+_TOKEN = re.compile(f"{_COMMENT} | {_PARTS}", _FLAGS)
+_COMMENTED = re.compile(_PARTS, _FLAGS)
 _BARE = re.compile(r"[^\s,;\"'`(){}\[\]]+")
 _ASSIGNING = ("=", ":", ":=", "=>", "+=")
 
@@ -116,12 +118,8 @@ def value_score(value: str) -> float:
 class _Tokens:
     """Tokens of a text, one look-ahead at a time."""
 
-    def __init__(self, text: str):
-        self.items = [
-            (m.lastgroup, m.start(), m.end())
-            for m in _TOKEN.finditer(text)
-            if m.lastgroup != "comment"
-        ]
+    def __init__(self, text: str, items: list[tuple[str, int, int]]):
+        self.items = items
         self.text = text
 
     def kind(self, i: int) -> str | None:
@@ -131,9 +129,22 @@ class _Tokens:
         return self.text[self.items[i][1] : self.items[i][2]] if i < len(self.items) else ""
 
 
-def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
+def lexed(text: str) -> tuple[_Tokens, _Tokens]:
+    """The tokens outside comments, and those inside, without the comment signs."""
+    code, comments = [], []
+    for m in _TOKEN.finditer(text):
+        if m.lastgroup != "comment":
+            code.append((m.lastgroup, m.start(), m.end()))
+            continue
+        inside = _COMMENTED.finditer(text, m.end("sign"), m.end())
+        comments += [(c.lastgroup, c.start(), c.end()) for c in inside]
+        comments.append(("end", m.end(), m.end()))
+    return _Tokens(text, code), _Tokens(text, comments)
+
+
+def pairs(tokens: _Tokens) -> list[tuple[str, str, list[tuple[int, int]]]]:
     """(target name, value, places of the literals that make the value) per assignment."""
-    tokens = _Tokens(text)
+    text = tokens.text
     constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     found = []
     i = 0
@@ -212,14 +223,15 @@ def find(text: str | None) -> list[Span]:
     spans += [Span("access", *m.span(), *m.span()) for m in _ACCESS.finditer(text)]
     spans += [Span("hex", *m.span(), *m.span()) for m in _HEX.finditer(text)]
     if _HINT.search(text):
-        literals = {
-            place
-            for target, value, places in pairs(text)
-            if name_score(target) * value_score(value) >= THRESHOLD
-            for place in places
-            if place[0] < place[1]
-        }
-        spans += [Span("literal", a, b, a, b) for a, b in literals]
+        for kind, tokens in zip(KINDS[3:], lexed(text), strict=True):
+            literals = {
+                place
+                for target, value, places in pairs(tokens)
+                if name_score(target) * value_score(value) >= THRESHOLD
+                for place in places
+                if place[0] < place[1]
+            }
+            spans += [Span(kind, a, b, a, b) for a, b in literals]
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
