@@ -4,8 +4,10 @@ One weight vector over sparse word features is shared by all thresholds between
 P(grade <= k) = sigmoid(threshold_k - w.x). The prediction is the expected severity, the sum
 over k of P(grade >= k); a document is rejected if it more likely has a grade above 0.
 
-The model is fitted on a bounded sample of labelled documents (``max_rows``, lowest hash of
-the id first) and a bounded vocabulary (``max_features``). Labels that only tell toxic from
+The model is fitted on a bounded sample of labelled documents (``max_rows``, toxic and
+clean by their shares but a tenth of either at least where there are enough, lowest hash of
+the id first) and a bounded vocabulary (``max_features``). Its rows count by their side's share
+of all labelled documents, so the thresholds are those of the whole. Labels that only tell toxic from
 clean are refined: toxic documents are graded by how often they use the words that set
 toxic documents of the sample apart, cut at equal shares. Scoring reads whole texts.
 
@@ -31,6 +33,7 @@ from callgauge.llm.common import stored
 
 MAX_ROWS = 8_000
 MAX_FEATURES = 2_048
+LEAST_SHARE = 0.1  # of the fitted rows that the rarer side gets if it has them
 GRADES = 3
 MIN_DOCS = 3
 LIFT = 4.0  # how much more frequent in toxic documents a telling word is
@@ -70,10 +73,15 @@ def fit_ordinal(
     steps: int = 400,
     rate: float = 0.1,
     decay: float = 1e-4,
+    shares_of: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by full-batch Adam on sparse features (row, column, value)."""
+    """Weights and thresholds by full-batch Adam on sparse features (row, column, value).
+
+    ``shares_of`` is how much each row counts, 1 on average.
+    """
     n = len(grades)
-    shares = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n
+    counted = np.ones(n) if shares_of is None else shares_of
+    shares = np.cumsum(np.bincount(grades, weights=counted, minlength=n_grades))[:-1] / n
     start = np.log(np.clip(shares, 1e-3, 1 - 1e-3) / (1 - np.clip(shares, 1e-3, 1 - 1e-3)))
     gaps = np.log(np.maximum(np.diff(start), 1e-2))
     params = np.concatenate([np.zeros(n_features), start[:1], gaps])
@@ -85,7 +93,8 @@ def fit_ordinal(
         upper, lower = _sigmoid(edges[grades + 1] - eta), _sigmoid(edges[grades] - eta)
         upper, lower = np.where(grades == n_grades - 1, 1.0, upper), np.where(grades == 0, 0.0, lower)
         share = np.maximum(upper - lower, 1e-9)
-        slope_up, slope_low = upper * (1 - upper) / share, lower * (1 - lower) / share
+        slope_up = counted * upper * (1 - upper) / share
+        slope_low = counted * lower * (1 - lower) / share
         by_row = (slope_up - slope_low) / n
         grad_w = np.bincount(columns, weights=values * by_row[rows], minlength=n_features)
         per_edge = np.bincount(grades + 1, weights=-slope_up, minlength=n_grades + 1)
@@ -134,23 +143,48 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(0),
                 pa.array([list(c) for c in counts], type=pa.list_(pa.string())),
                 pa.array([list(c.values()) for c in counts], type=pa.list_(pa.int32())),
+                batch.column(2),
             ],
-            names=["toxic", "words", "counts"],
+            names=["toxic", "words", "counts", "counted"],
         )
 
 
 def sample_labels(
-    labels: DataFrame, *, id_col: str, label_col: str, max_rows: int = MAX_ROWS
+    labels: DataFrame,
+    *,
+    id_col: str,
+    label_col: str,
+    max_rows: int = MAX_ROWS,
+    docs: DataFrame | None = None,
 ) -> DataFrame:
-    """(id, toxic) of the labelled rows that the model is fitted on, at most ``max_rows``."""
-    return (
+    """(id, toxic, counted) of the labelled rows that the model is fitted on.
+
+    At most ``max_rows``, of the labels that meet a document of ``docs``; ``counted`` is how
+    many labelled rows of its side a row stands for.
+    """
+    met = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
         .filter("id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(max_rows)
     )
+    if docs is not None:
+        met = met.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
+    met = stored(met, "toxicity-labels")
+    sides = [F.col("toxic") != 0, F.col("toxic") == 0]
+    of = met.agg(*(F.count_if(side).alias(f"n{i}") for i, side in enumerate(sides))).first()
+    least = int(max_rows * LEAST_SHARE)
+    toxic = max(round(max_rows * of["n0"] / max(sum(of), 1)), least)
+    toxic = min(toxic, of["n0"], max_rows - min(least, of["n1"]))
+    taken = [toxic, min(of["n1"], max_rows - toxic)]
+    chosen = [
+        met.filter(side)
+        .orderBy(F.xxhash64("id"), "id")
+        .limit(take)
+        .withColumn("counted", F.lit(n / max(take, 1)))
+        for side, n, take in zip(sides, of, taken, strict=True)
+    ]
+    return chosen[0].unionByName(chosen[1])
 
 
 def fit(
@@ -168,14 +202,18 @@ def fit(
 
     Labels above 1 are taken as grades; 0/1 labels are refined to ``grades`` grades.
     """
-    chosen = sample_labels(labels, id_col=id_col, label_col=label_col, max_rows=max_rows)
+    chosen = sample_labels(
+        labels, id_col=id_col, label_col=label_col, max_rows=max_rows, docs=docs
+    )
     texts = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .join(F.broadcast(chosen), "id")  # max_rows rows of two numbers
-        .select("toxic", "text")
+        .join(F.broadcast(chosen), "id")  # max_rows rows of three numbers
+        .select("toxic", "text", "counted")
     )
     sample = stored(
-        texts.mapInArrow(_counted, "toxic int, words array<string>, counts array<int>"),
+        texts.mapInArrow(
+            _counted, "toxic int, words array<string>, counts array<int>, counted double"
+        ),
         "toxicity-sample",
     )
     kinds = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -222,8 +260,15 @@ def fit(
         grades = int(toxic.max()) + 1
     # features are scaled by the word's log odds, so rare words without a side stay weak
     odds = np.array([r.odds for r in vocabulary])
+    counted = np.array([r.counted for r in data])
     weights, thresholds = fit_ordinal(
-        rows, columns, (1.0 + np.log(counts)) * odds[columns], toxic, len(index), grades
+        rows,
+        columns,
+        (1.0 + np.log(counts)) * odds[columns],
+        toxic,
+        len(index),
+        grades,
+        shares_of=counted / counted.mean(),
     )
     weights = weights * odds
     return Model(
@@ -253,11 +298,13 @@ def _features(sample: DataFrame, index: dict[str, int]) -> list:
                     batch.column(0),
                     pa.array(at, type=pa.list_(pa.int32())),
                     pa.array(n, type=pa.list_(pa.int32())),
+                    batch.column(3),
                 ],
-                names=["toxic", "at", "n"],
+                names=["toxic", "at", "n", "counted"],
             )
 
-    found = sample.mapInArrow(run, "toxic int, at array<int>, n array<int>").collect()
+    schema = "toxic int, at array<int>, n array<int>, counted double"
+    found = sample.mapInArrow(run, schema).collect()
     return sorted(found, key=lambda r: (r.toxic, r.at, r.n))
 
 

@@ -82,3 +82,22 @@ def test_given_grades_are_used(spark):
     score = toxicity.scorer(spark, toxicity.fit(docs, labels))
     rows = docs.select("doc_id", score("text").alias("s")).select("doc_id", "s.*").collect()
     assert all(r.grade == r.doc_id % 3 for r in rows)
+
+
+def test_rare_toxic_and_labels_without_documents(spark):
+    docs = spark.createDataFrame(
+        [(i, "you idiot moron" if i % 100 == 0 else "a calm text") for i in range(2000)],
+        "doc_id long, text string",
+    )
+    labels = spark.createDataFrame(
+        [(i, int(i % 100 == 0)) for i in range(2000)] + [(i, i % 2) for i in range(5000, 9000)],
+        "doc_id long, toxic int",
+    )
+    used = toxicity.sample_labels(
+        labels, id_col="doc_id", label_col="toxic", max_rows=100, docs=docs
+    ).collect()
+    assert sorted(r.toxic for r in used) == [0] * 90 + [1] * 10
+    assert sum(r.counted for r in used) == pytest.approx(2000)
+    score = toxicity.scorer(spark, toxicity.fit(docs, labels, max_rows=100))
+    found = docs.select("doc_id", score("text")["rejected"].alias("r")).collect()
+    assert all(r.r == (r.doc_id % 100 == 0) for r in found)
