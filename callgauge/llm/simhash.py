@@ -286,6 +286,18 @@ def near_duplicates(
     distance: int = MAX_DISTANCE,
 ) -> DataFrame:
     """One row per document: id, fp, component (the smallest id that links reach)."""
+    rows, parts = _parts(docs, id_col, text_col, shingle, distance)
+    smallest = stored(
+        parts.groupBy("part").agg(F.min("least").alias("component")), "simhash-smallest"
+    )
+    named = parts.join(smallest, "part").select("fp", "component")
+    return rows.join(named, "fp").select("id", "fp", "component")
+
+
+def _parts(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int
+) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every document; (fp, least, part): its smallest id, and its group's name."""
     rows = stored(
         docs.select(F.col(id_col).alias("id"), fingerprint(text_col, shingle).alias("fp")),
         "simhash",
@@ -295,11 +307,7 @@ def near_duplicates(
     parts = prints.join(grouped, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("part")
     )
-    smallest = stored(
-        parts.groupBy("part").agg(F.min("least").alias("component")), "simhash-smallest"
-    )
-    named = parts.join(smallest, "part").select("fp", "component")
-    return rows.join(named, "fp").select("id", "fp", "component")
+    return rows, parts
 
 
 def keep(
@@ -310,11 +318,38 @@ def keep(
     shingle: int = SHINGLE,
     distance: int = MAX_DISTANCE,
 ) -> DataFrame:
-    """The row with the smallest id of each group, with all its columns."""
-    found = near_duplicates(
-        docs, id_col=id_col, text_col=text_col, shingle=shingle, distance=distance
+    """The row with the smallest id of each group, with all its columns.
+
+    A group without ids keeps its smallest fingerprint. Where that id or its absence occurs
+    in several rows, the smallest digest of those with the fingerprint stays; only rows that
+    repeat both id and text stay together.
+    """
+    rows, parts = _parts(docs, id_col, text_col, shingle, distance)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
+    stay = stored(
+        parts.groupBy("part")
+        .agg(first)
+        .select(F.col("first.least").alias("__id"), F.col("first.fp").alias("__fp")),
+        "simhash-stay",
+    )
+    repeated = stored(
+        rows.groupBy(F.col("id").alias("__id"))
+        .agg(F.count("*").alias("n"))
+        .filter("n > 1 OR __id IS NULL")
+        .select("__id"),
+        "simhash-repeated",
+    )
+    same_id = F.col(id_col).eqNullSafe(F.col("__id"))
+    if repeated.isEmpty():
+        return docs.join(stay, same_id, "left_semi")
+    plain = stay.join(repeated, "__id", "left_anti").filter("__id IS NOT NULL")
+    doubtful = docs.join(repeated, same_id, "left_semi").withColumns(
+        {"__mark": fingerprint(text_col, shingle), "__sha": F.sha2(utf8(text_col), 256)}
     )
-    stay = found.filter(F.col("id").eqNullSafe(F.col("component"))).select(
-        F.col("id").alias("__id")
+    doubtful = stored(
+        doubtful.join(stay, same_id & (F.col("__mark") == F.col("__fp")), "left_semi"),
+        "simhash-doubtful",
     )
-    return docs.join(stay.distinct(), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    least = doubtful.groupBy("__mark").agg(F.min("__sha").alias("__sha"))
+    kept = doubtful.join(stored(least, "simhash-least"), ["__mark", "__sha"], "left_semi")
+    return docs.join(plain, same_id, "left_semi").unionByName(kept.select(docs.columns))

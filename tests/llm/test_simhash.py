@@ -180,3 +180,30 @@ def test_no_documents(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).collect() == []
     assert simhash.keep(df).collect() == []
+
+
+def test_keep_of_missing_and_repeated_ids(spark):
+    rng = random.Random(9)
+
+    def copies(n):
+        base = [f"z{rng.randrange(10**6)}" for _ in range(600)]
+        out = []
+        for i in range(n):
+            text = list(base)
+            text[0] = f"edit{i}"
+            out.append(" ".join(text))
+        return out
+
+    a, b, c, d, e = copies(3), copies(3), copies(3), copies(1), copies(2)
+    rows = [(None, d[0]), (None, a[0]), (None, a[1]), (1, a[2])]  # alone; near copies of 1
+    rows += [(2, b[0]), (5, b[1]), (5, c[0]), (6, c[1]), (6, b[2])]  # 5 is the smallest of c only
+    rows += [(None, t) for t in e] + [(20, c[2])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = [(r.doc_id, r.text) for r in simhash.keep(df).collect()]
+    label = groups({signed(plain_simhash(t)) for _, t in rows}, simhash.MAX_DISTANCE)
+    part = [label[signed(plain_simhash(t))] for _, t in rows]
+    assert len(kept) == len(set(part)) < len(rows)
+    for p in set(part):
+        ids = [i for (i, _), q in zip(rows, part, strict=True) if q == p]
+        least = min((i for i in ids if i is not None), default=None)
+        assert [i for i, t in kept if label[signed(plain_simhash(t))] == p] == [least]
