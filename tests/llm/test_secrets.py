@@ -133,3 +133,8 @@ def test_query_digest(spark, sf_dir):
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert r.n_hex == sum(k == "hex" for k, _, _ in spans)
+
+
+def test_long_targets_are_constants():
+    name = ".".join(["part"] * 60)
+    assert literals(f'{name} = "q9w8e7r6t5"\nclient.password = {name}') == ["q9w8e7r6t5"]
