@@ -8,7 +8,7 @@ counted rows allow, and else joined by host, where adaptive execution splits a h
 
 Defined results: a null or empty text has no lines and stays an empty text; a null host is
 a site of its own; repeated rows are separate pages; hosts with fewer than ``min_pages``
-pages keep all lines.
+pages keep all lines, and lines on fewer than ``min_seen`` pages of a host stay.
 """
 
 from __future__ import annotations
@@ -66,6 +66,7 @@ def drop_boilerplate(
     lines: Column,
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    min_seen: int = 1,
     broadcast_lines: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row per page: id, host, n_lines, n_dropped, and the text of the lines that stay."""
@@ -82,7 +83,7 @@ def drop_boilerplate(
     )
     common = materialize(
         counts.join(totals, "host")
-        .filter(F.col("n") > F.col("pages") * F.lit(max_ratio))
+        .filter((F.col("n") > F.col("pages") * F.lit(max_ratio)) & (F.col("n") >= min_seen))
         .select("host", "line")
     )
     by_host = common.groupBy("host").agg(F.collect_list("line").alias("common"))

@@ -49,14 +49,27 @@ def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_dedup(spark: SparkSession, sf_dir: str, **least: int) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return lines.drop_boilerplate(
-        pages, id_col="page_id", host=lines.host_of("url"), lines=lines.html_lines("html")
+        pages,
+        id_col="page_id",
+        host=lines.host_of("url"),
+        lines=lines.html_lines("html"),
+        **least,
     ).withColumnRenamed("id", "page_id")
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_dedup(spark, sf_dir)  # the guard of the SQL twin: MIN_PAGES
+
+
+@query
+def op2_line_dedup_small_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_dedup(spark, sf_dir, min_pages=2, min_seen=2)
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

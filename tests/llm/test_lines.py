@@ -90,3 +90,19 @@ def test_plan_has_no_python(spark, sf_dir):
 
     plan = op2_line_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_small_hosts_are_cleaned(spark, tmp_path):
+    from callgauge.llm.queries import QUERIES
+
+    def pages(host, n):
+        return [(f"http://{host}/{i}", f"<p>text {i}<footer>all</footer>") for i in range(n)]
+
+    rows = [p for n in (1, 2, 3, 4, 5) for p in pages(f"h{n}", n)]
+    rows = [(i, u, h) for i, (u, h) in enumerate(rows)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(
+        str(tmp_path / "pages.parquet")
+    )
+    found = QUERIES["op2_line_dedup_small_hosts"](spark, str(tmp_path)).collect()
+    dropped = {(r.host, r.n_dropped, "text" in r.text) for r in found}
+    assert dropped == {("h1", 0, True), *((f"h{n}", 1, True) for n in (2, 3, 4, 5))}
