@@ -5,6 +5,9 @@ many as their number asks for, and every shard is packed on its own: largest pie
 into the open bin, of whichever size, that it leaves the least room in. A piece that fits
 nowhere opens the bin size with the least cost per token that the shard can still put into
 it, so large bins are opened while there is enough to fill them and smaller ones at the end.
+Where every size divides the next, that volume is what remains, since a larger bin then holds
+whatever several smaller ones would; else it is what the largest remaining pieces that fit
+would fill, and the cost that of the size the bin would shrink to.
 Finally each bin shrinks to the least permitted size that holds its contents.
 
 Only lengths are shuffled. Defined results: a null or empty text is one row of length 0
@@ -14,7 +17,8 @@ without a bin; repeated rows are separate documents, told apart by ``copy``.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,24 @@ def words(text: str | Column) -> Column:
     return F.regexp_count(F.coalesce(column, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def _cheapest(
+    sizes: list[int], need: int, kinds: list[int], left_of: Counter, bin_cost: float
+) -> int:
+    """The size of least cost per token if the largest remaining pieces that fit fill it."""
+
+    def cost(size: int) -> tuple[float, int]:
+        room, at = size, bisect_left(kinds, need) + 1
+        while at and room:
+            at = bisect_right(kinds, room, 0, at) - 1
+            if at < 0:
+                break
+            room -= kinds[at] * min(left_of[kinds[at]], room // kinds[at])
+        filled = size - room
+        return (bin_cost + min(s for s in sizes if s >= filled)) / filled, size
+
+    return min(sizes, key=cost)
+
+
 def pack_shard(
     lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, bin_cost: float = BIN_COST
 ) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -43,6 +65,10 @@ def pack_shard(
     by_room: dict[int, list[int]] = {}
     used: list[int] = []
     volume = int(lengths.sum())
+    ladder = sorted(sizes)
+    nested = all(b % a == 0 for a, b in zip(ladder, ladder[1:], strict=False))
+    left_of = Counter(lengths.tolist())  # pieces without a bin yet, by length
+    kinds = sorted(left_of)
     for i in order:
         need = int(lengths[i])
         at = bisect_left(rooms, need)
@@ -53,15 +79,19 @@ def pack_shard(
                 del by_room[room]
                 rooms.pop(at)
         else:
-            room = min(
-                (s for s in sizes if s >= need),
-                key=lambda s: ((bin_cost + s) / min(s, volume), s),
-            )
+            wanted = [s for s in sizes if s >= need]
+            if nested:
+                room = min(wanted, key=lambda s: ((bin_cost + s) / min(s, volume), s))
+            else:
+                room = _cheapest(wanted, need, kinds, left_of, bin_cost)
             b = len(used)
             used.append(0)
         bins[i], offsets[i] = b, used[b]
         used[b] += need
         volume -= need
+        left_of[need] -= 1
+        if not left_of[need]:
+            kinds.pop()  # the largest that remained
         if room > need:
             left = room - need
             if left not in by_room:

@@ -93,3 +93,36 @@ def test_odd_rows(spark):
 def test_words_are_split_at_ascii_space(spark):
     df = spark.createDataFrame([("a\x0bb c d\te",)], "text string")
     assert df.select(packing.words("text")).first()[0] == 4
+
+
+@pytest.mark.parametrize(("piece", "size"), [(333, 1000), (334, 1500)])
+def test_sizes_that_are_no_multiples_are_opened_by_what_fits(piece, size):
+    lengths = np.full(300, piece, dtype=np.int64)
+    bins, _, shrunk = packing.pack_shard(lengths, (1000, 1500), 16.0)
+    assert set(shrunk) == {size}
+    assert np.bincount(bins, weights=lengths).max() <= size
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_multiples_hold_every_piece(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 1501, size=2000).astype(np.int64)
+    bins, offsets, shrunk = packing.pack_shard(lengths, (400, 1000, 1500), 16.0)
+    used = np.bincount(bins, weights=lengths).astype(np.int64)
+    assert all(u <= s for u, s in zip(used, shrunk, strict=True))
+    end = dict.fromkeys(range(len(shrunk)), 0)
+    for b, o, n in sorted(zip(bins.tolist(), offsets.tolist(), lengths.tolist(), strict=True)):
+        assert o == end[b]
+        end[b] += n
+
+
+def test_registered_pieces(spark, sf_dir):
+    from callgauge.llm.queries import QUERIES
+
+    counts = QUERIES["op9_sentencepiece"](spark, sf_dir).collect()
+    wanted = {r.doc_id: max(r.n_pieces or 0, 0) for r in counts}
+    placed = defaultdict(int)
+    for r in QUERIES["op5_best_fit_packing_pieces"](spark, sf_dir).collect():
+        placed[r.doc_id] += r.length
+        assert r.bin_size is None or r.offset + r.length <= r.bin_size
+    assert placed == wanted
