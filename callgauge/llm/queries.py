@@ -22,7 +22,7 @@ from callgauge.llm import (
     toxicity,
     warc,
 )
-from callgauge.llm.common import table
+from callgauge.llm.common import stored, table
 from callgauge.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, length=packing.words("text")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op5_best_fit_packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # as op9
+    docs = table(spark, sf_dir, "documents")
+    encode = pieces.encoder(spark, pieces.read_model(spark, MODEL_PATH))
+    sized = stored(
+        docs.select("doc_id", F.coalesce(F.size(encode("text")), F.lit(0)).alias("n")),
+        "piece-counts",
+    )
+    length = F.greatest(F.col("n"), F.lit(0))  # the size of null may be -1
+    return packing.pack(sized, length=length).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
