@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgauge.llm import (
+    alignment,
     exact,
     lines,
     lm,
+    merkle,
     packing,
     pieces,
     secrets,
+    shards,
     simhash,
     topk,
     toxicity,
@@ -29,6 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 MODEL_PATH = "file:///opt/tokenizers/piece_bpe_32k.model"
+BYTES_PATH = "file:///opt/tokenizers/byte_bpe_50k.json"
 
 
 def query(function: Query) -> Query:
@@ -168,3 +172,46 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", *shards.sizes("text"))
+    placed = shards.assign(docs, order_by=("doc_id", "size", "text_crc32"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(picked, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = merkle.manifest(docs, changed={"n_chars": tampered})
+    again = merkle.folded(F.col("current"), F.col("path"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        "proof_sha256",
+        again.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found, _ = alignment.align(
+        docs,
+        alignment.ByteBpe(pieces.read_model(spark, BYTES_PATH)),
+        alignment.PieceModel(pieces.read_model(spark, MODEL_PATH)),
+    )
+    return found.withColumnRenamed("id", "doc_id")
