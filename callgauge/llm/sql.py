@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callgauge.llm import lines, lm
+from callgauge.llm import lines, lm, shards
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -17,6 +17,48 @@ _LETTERS = " || ".join(
 _UNSEEN = "|".join([*(rf"<{e}\b.*?</{e}>" for e in lines.UNSEEN), "<!--.*?-->"])
 _BLOCKS = "|".join(lines.BLOCKS)
 
+
+
+def _crc_table() -> list[int]:
+    found = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 * (value & 1))
+        found.append(value)
+    return found
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes."""
+    data = f"regexp_extract_all(hex(encode({text})), '..')"
+    numbers = f"list_transform({data}, lambda x: ('0x' || x)::BIGINT)"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {numbers}),
+        lambda c, b: xor(c >> 8, {_crc_table()}[1 + (xor(c, b) & 255)]::BIGINT)), 4294967295)"""
+
+
+def _feistel(rows: str) -> str:
+    """One pass of the network over (start, v, n): (start, v, n)."""
+    half = f"""SELECT start, n, bits // 2 AS a, bits - bits // 2 AS b,
+        v >> (bits - bits // 2) AS l, v & ((1::BIGINT << (bits - bits // 2)) - 1) AS r
+        FROM (SELECT *, greatest(2, length(bin(n - 1))) AS bits FROM ({rows}))"""
+    mask = shards.MASK
+    for key in shards.round_keys(shards.SEED):
+        half = f"""SELECT start, n, b AS a, a AS b, r AS l,
+            (l + xor(z, z >> 15)) & ((1::BIGINT << a) - 1) AS r FROM (
+            SELECT *, (xor(y, y >> 12) * {shards.MIX_B}) & {mask} AS z FROM (
+            SELECT *, (xor(x, x >> 15) * {shards.MIX_A}) & {mask} AS y FROM (
+            SELECT *, (r + {key}) & {mask} AS x FROM ({half}))))"""
+    return f"SELECT start, (l << b) | r AS v, n FROM ({half})"
+
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column} END"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
 ORACLES = {
     "op1_warc_chain": f"""
         WITH p AS (
@@ -118,4 +160,79 @@ ORACLES = {
         SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score
         FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 20""",
+    "op11_feistel_shards": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
+                {_crc32("coalesce(text, '')")} AS text_crc32
+            FROM documents
+        ), numbers AS (
+            SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS start,
+                count(*) OVER () AS n
+            FROM d
+        ), walk AS (
+            {_feistel("SELECT start, start AS v, n FROM numbers")}
+            UNION ALL
+            {_feistel("SELECT * FROM walk WHERE v >= n")}
+        )
+        SELECT doc_id, size, text_crc32, 'rows' AS law, (v % {shards.SHARDS})::INT AS shard,
+            v // {shards.SHARDS} AS slot, NULL::INT AS grown_shard
+        FROM numbers JOIN (SELECT start, v FROM walk WHERE v < n) USING (start)""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+                CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf("(n_chars + 1)")}
+                    ELSE {_leaf("n_chars")} END AS now
+            FROM documents
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                count(*) OVER (PARTITION BY lang) AS n
+            FROM d
+        ), lower_nodes AS (
+            SELECT 0 AS lvl, lang, pos, n, leaf AS h FROM leaves
+            UNION ALL
+            SELECT lvl + 1, lang, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+            FROM lower_nodes WHERE n > 1 GROUP BY lvl, lang, pos // 2, n
+        ), subroots AS (
+            SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos,
+                count(*) OVER () AS n
+            FROM lower_nodes WHERE n = 1
+        ), upper_nodes AS (
+            SELECT 0 AS lvl, pos, n, subroot AS h FROM subroots
+            UNION ALL
+            SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+            FROM upper_nodes WHERE n > 1 GROUP BY lvl, pos // 2, n
+        ), sides AS (
+            SELECT l.lang, l.pos, x.lvl, (l.pos >> x.lvl) % 2 AS slot, coalesce(x2.h, '') AS sibling
+            FROM leaves l
+            JOIN lower_nodes x ON x.lang IS NOT DISTINCT FROM l.lang AND x.n > 1
+                AND x.pos = l.pos >> x.lvl
+            LEFT JOIN lower_nodes x2 ON x2.lang IS NOT DISTINCT FROM x.lang AND x2.lvl = x.lvl
+                AND x2.pos = xor(x.pos, 1)
+            UNION ALL
+            SELECT l.lang, l.pos, 100 + x.lvl, x.pos % 2, coalesce(x2.h, '')
+            FROM leaves l
+            JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+            JOIN upper_nodes x ON x.n > 1 AND x.pos = s.pos >> x.lvl
+            LEFT JOIN upper_nodes x2 ON x2.lvl = x.lvl AND x2.pos = xor(x.pos, 1)
+        ), path AS (
+            SELECT lang, pos, list(slot ORDER BY lvl) AS slots, list(sibling ORDER BY lvl) AS siblings
+            FROM sides GROUP BY lang, pos
+        ), fold AS (
+            SELECT 0 AS i, l.lang, l.pos, coalesce(p.slots, []) AS slots,
+                coalesce(p.siblings, []) AS siblings, l.now AS h
+            FROM leaves l LEFT JOIN path p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos
+            UNION ALL
+            SELECT i + 1, lang, pos, slots, siblings,
+                sha256(CASE WHEN slots[i + 1] = 1 THEN siblings[i + 1] || h ELSE h || siblings[i + 1] END)
+            FROM fold WHERE i < len(slots)
+        ), top AS (
+            SELECT h AS root FROM upper_nodes WHERE n = 1
+        )
+        SELECT l.doc_id, l.leaf, s.subroot, root,
+            sha256(coalesce(array_to_string(f.siblings, ''), '')) AS proof_sha256,
+            f.h AS folded_root, f.h = root AS verified
+        FROM leaves l
+        JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+        JOIN fold f ON f.lang IS NOT DISTINCT FROM l.lang AND f.pos = l.pos AND f.i = len(f.slots)
+        CROSS JOIN top""",
 }
