@@ -8,12 +8,15 @@ payloads. A task turns each occurrence into a candidate, the offset of the recor
 of its successor, and follows the candidates of its own file block to the place where the
 chain leaves the block. Pointer jumping over those block exits, from offset 0 of each file,
 finds the true entry of every block; candidates that no chain reaches are payload bytes and
-are dropped. Payloads that hold the magic line are put together again from their pieces.
+are dropped. Payloads that hold the magic line are put together again from their pieces, which
+a second read finds by their SHA-256: where pieces begin and end doesn't depend on how a read
+is split, and a record that doesn't get all its pieces back is an error.
 
 Defined results: a null payload is empty; a null id is written without a number and read
 back as null; rows that repeat the largest id of their payload are all responses; an
 archive that does not start with a record has no records, and a chain that breaks ends at
-the last sound record.
+the last sound record. A payload of any length is hashed in one task, whose memory grows
+with it.
 """
 
 from __future__ import annotations
@@ -171,11 +174,12 @@ _SEGMENT = pa.schema(
         ("bytes", pa.int64()),
         ("digest", pa.string()),
         ("whole", pa.bool_()),
+        ("key", pa.binary()),
     ]
 )
 _SEGMENT_SQL = (
     "file string, block long, rel long, size long, span long, exit long, type string, "
-    "name string, refers string, declared string, bytes long, digest string, whole boolean"
+    "name string, refers string, declared string, bytes long, digest string, whole boolean, key binary"
 )
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)")
 
@@ -223,13 +227,13 @@ def _parse(segment: bytes) -> dict:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]):
-    """(file, block, offset in the block, bytes) of the segments of the task's blocks, in order."""
+    """(file, block, offset in the block, bytes, key) of the segments of the task's blocks."""
     at, rel = None, 0
     for batch in batches:
-        for file, block, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for file, block, value, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if at != (file, block):
                 at, rel = (file, block), 0
-            yield file, block, rel, value
+            yield file, block, rel, value, key
             rel += len(value) + _MARK
 
 
@@ -247,11 +251,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 exits[row["rel"] - _MARK] = row["exit"]
         return pa.RecordBatch.from_pylist(rows, schema=_SEGMENT)
 
-    for file, block, rel, value in _walk(batches):
+    for file, block, rel, value, key in _walk(batches):
         if rows and (rows[-1]["file"], rows[-1]["block"]) != (file, block):
             yield close()
             rows = []
-        row = {"file": file, "block": block, "rel": rel, "size": len(value)}
+        row = {"file": file, "block": block, "rel": rel, "size": len(value), "key": key}
         if block > 0 or rel > 0:  # what precedes the first magic line is no record
             row |= _parse(value)
         rows.append(row)
@@ -259,18 +263,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-_PIECE = pa.schema(
-    [("file", pa.string()), ("block", pa.int64()), ("rel", pa.int64()), ("value", pa.binary())]
-)
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = _PIECE.names
-    for row in _walk(batches):
-        yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=_PIECE)
-
-
-def _segments(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between magic lines; ``key`` names the bytes."""
     return (
         spark.read.option("lineSep", MAGIC)
         .text(path)
@@ -279,6 +273,7 @@ def _segments(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.col("_metadata.file_block_start").alias("block"),
             F.col("value").cast("binary").alias("value"),
         )
+        .withColumn("key", F.unhex(F.sha2("value", 256)))
     )
 
 
@@ -345,7 +340,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     broken = true.filter("NOT whole")
     records = true.filter("whole")
     if not broken.isEmpty():
-        records = records.unionByName(_reassembled(spark, broken, placed).select(*kept))
+        records = records.unionByName(_reassembled(spark, path, broken, placed).select(*kept))
     return records.select(
         "file",
         F.col("at").alias("offset"),
@@ -365,13 +360,15 @@ def _follow_block(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _reassembled(spark: SparkSession, broken: DataFrame, placed: DataFrame) -> DataFrame:
+def _reassembled(
+    spark: SparkSession, path: str, broken: DataFrame, placed: DataFrame
+) -> DataFrame:
     """The records whose payload holds the magic line, from the segments they cover.
 
-    Only files with such records are read again. Pieces meet their record on a grid of
-    offsets, so no file gathers in one task; one record does, as its digest needs.
+    Segments meet their record on a grid of offsets, so no file gathers in one task; one
+    record does, as its digest needs. Their bytes are read again and found by key, so that
+    the second read may be split in any way.
     """
-    files = [r.file for r in broken.select("file").distinct().collect()]  # one per input file
     cells = broken.select(
         "file",
         F.col("at").alias("record"),
@@ -382,32 +379,55 @@ def _reassembled(spark: SparkSession, broken: DataFrame, placed: DataFrame) -> D
             )
         ).alias("cell"),
     )
-    parts = placed.select(
-        "file", "block", "rel", "at", F.floor(F.col("at") / _CELL).alias("cell")
-    ).join(cells, ["file", "cell"])
-    parts = parts.filter("at >= record AND at < end").select("file", "block", "rel", "at", "record")
-    content = _segments(spark, files).mapInArrow(
-        _pieces, "file string, block long, rel long, value binary"
+    covered = placed.select("file", "at", "key", F.floor(F.col("at") / _CELL).alias("cell"))
+    parts = stored(
+        covered.join(cells, ["file", "cell"])
+        .filter("at >= record AND at < end")
+        .select("file", "record", "at", "key"),
+        "warc-parts",
+    )
+    wanted = broadcast_if_small(parts.select("key").distinct())
+    # equal keys are equal bytes
+    content = (
+        _segments(spark, path)
+        .select("key", "value")
+        .join(wanted, "key")
+        .groupBy("key")
+        .agg(F.first("value").alias("value"))
     )
-    whole = (
-        parts.join(content, ["file", "block", "rel"])
+    joined = stored(
+        parts.join(stored(content, "warc-content"), "key")
         .groupBy("file", "record")
-        .applyInPandas(_join_pieces, "file string, at long, bytes long, digest string")
+        .applyInPandas(
+            _join_pieces, "file string, at long, pieces long, bytes long, digest string"
+        ),
+        "warc-joined",
     )
-    return broken.drop("bytes", "digest").join(whole, ["file", "at"])
+    got = joined.agg(F.count("*").alias("n"), F.sum("pieces").alias("pieces")).first()
+    if (got["n"], got["pieces"]) != (broken.count(), parts.count()):
+        raise RuntimeError("the archives have changed between two reads")
+    sound = joined.filter("digest IS NOT NULL").drop("pieces")
+    return broken.drop("bytes", "digest").join(sound, ["file", "at"])
 
 
 def _join_pieces(rows: pd.DataFrame) -> pd.DataFrame:
+    """Bytes and digest of one record; neither if its end isn't sound."""
     data = MAGIC.encode().join(rows.sort_values("at")["value"])
     head, _, rest = data.partition(_BLANK)
     fields = _fields(head) or {}
     length = int(fields[b"content-length"])
-    if rest[length : length + len(_BLANK)] != _BLANK:
-        return pd.DataFrame({"file": [], "at": [], "bytes": [], "digest": []})
-    size, digest = _payload(fields, rest[:length])
+    size = digest = None
+    if rest[length : length + len(_BLANK)] == _BLANK:
+        size, digest = _payload(fields, rest[:length])
     first = rows.iloc[0]
     return pd.DataFrame(
-        {"file": [first["file"]], "at": [first["record"]], "bytes": [size], "digest": [digest]}
+        {
+            "file": [first["file"]],
+            "at": [first["record"]],
+            "pieces": [len(rows)],
+            "bytes": pd.array([size], dtype="Int64"),
+            "digest": [digest],
+        }
     )
 
 

@@ -129,3 +129,70 @@ def test_base32_matches_the_library(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = [r[0] for r in df.select(warc.base32_sha1(F.col("v").cast("binary"))).collect()]
     assert got == [base64.b32encode(hashlib.sha1(v.encode()).digest()).decode() for v in values]
+
+
+def large_archives(spark, path, files=8, pages=60, size=100_000, magic=()):
+    """``files`` archives of some 6 MB; pages in ``magic`` hold the magic line twice."""
+    block = "<p>text of a page</p>\n" * (size // 22)
+    html = F.concat(F.col("page_id").cast("string"), F.lit(block))
+    nested_ = F.concat(html, F.lit("WARC/1.0\r\n"), html, F.lit(nested("x")))
+    rows = spark.range(0, files * pages, 1, files).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url")
+    )
+    rows = rows.withColumn("html", F.when(F.col("page_id").isin(list(magic)), nested_).otherwise(html))
+    warc.write(rows, path)
+    return rows
+
+
+def digests(df):
+    return sorted((r.i, r.n, r.d) for r in df.collect())
+
+
+@pytest.mark.parametrize("second", ["134217728", "700000"])
+def test_no_record_is_lost_whatever_the_second_read_is_split_like(spark, monkeypatch, second):
+    path = scratch_path(spark, "warc folder with a space and 100%")
+    pages = large_archives(spark, path, magic=(3, 230, 479))
+    want = digests(
+        pages.select(
+            F.col("page_id").cast("string").alias("i"),
+            F.octet_length("html").cast("long").alias("n"),
+            warc.base32_sha1(F.col("html").cast("binary")).alias("d"),
+        )
+    )
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = warc._reassembled
+
+    def other_splits(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+        return whole(*args)
+
+    monkeypatch.setattr(warc, "_reassembled", other_splits)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2500000")
+    try:
+        found = warc.read(spark, path)
+        got = digests(
+            found.select(
+                warc.page_id("record_id").alias("i"),
+                F.col("payload_bytes").alias("n"),
+                F.col("payload_digest").alias("d"),
+            )
+        )
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
+
+
+def test_missing_pieces_are_an_error(spark, monkeypatch):
+    path = scratch_path(spark, "warc")
+    warc.write(spark.createDataFrame([(1, "u", nested("x") * 3)], SCHEMA), path)
+    other = scratch_path(spark, "warc")
+    warc.write(spark.createDataFrame([(1, "u", "changed")], SCHEMA), other)
+    segments, reads = warc._segments, []
+
+    def changed(spark_, path_):
+        reads.append(path_)
+        return segments(spark_, path_ if len(reads) == 1 else other)
+
+    monkeypatch.setattr(warc, "_segments", changed)
+    with pytest.raises(RuntimeError, match="changed"):
+        warc.read(spark, path).collect()
