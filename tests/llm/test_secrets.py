@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +140,77 @@ def test_query_digest(spark, sf_dir):
 def test_long_targets_are_constants():
     name = ".".join(["part"] * 60)
     assert literals(f'{name} = "q9w8e7r6t5"\nclient.password = {name}') == ["q9w8e7r6t5"]
+
+
+def programs(seed, count):
+    """Random programs with what each assignment should give: (target, value, places)."""
+    rng = random.Random(seed)
+    names, literals = ["token", "x", "api_key", "db.pwd"], ["abcd1234", "Zq9!", "", "long-er value", "漢字", 'a\\"b']
+    for _ in range(count):
+        text, want, held = "", [], {}
+        for _ in range(rng.randint(1, 8)):
+            target, sign = rng.choice(names), rng.choice([" = ", ": ", " += ", "="])
+            text += target + sign
+            value, places = "", set()
+            for k in range(rng.randint(1, 3)):
+                text += " + " if k else ""
+                known = rng.choice(names)
+                if known in held and rng.random() < 0.5:
+                    text += known
+                    value, places = value + held[known][0], places | held[known][1]
+                else:
+                    literal = rng.choice(literals)
+                    places.add((len(text) + 1, len(text) + 1 + len(literal)))
+                    text += f'"{literal}"'
+                    value += literal
+            if sign == " += " and target in held:
+                value, places = held[target][0] + value, held[target][1] | places
+            held[target] = (value, places)
+            want.append((target, value, places))
+            text += rng.choice(["\n", ";\n", "\n\n"])
+        yield text, want
+
+
+def test_assignments_of_random_programs():
+    for text, want in programs(3, 2000):
+        code, comments = secrets.lexed(text)
+        got = []
+        for target, value in secrets.assignments(code):
+            places, waiting = set(), [value]
+            while waiting:
+                at = waiting.pop()
+                if isinstance(at, secrets.Literal):
+                    places.add(tuple(at))
+                else:
+                    waiting += [at.left, at.right]
+            got.append((target, secrets.spelled(text, value), places))
+            summary = secrets.Summaries(text).of(value)
+            assert secrets.value_score(summary) == secrets.value_score(got[-1][1])
+        assert got == want, text
+        assert not len(comments)
+
+
+@pytest.mark.parametrize("value", ["x" * 70, "<" + "a1B" * 40 + ">", "%" + "q" * 99 + "%", "your-" + "ab9" * 50])
+def test_long_placeholders_score_nothing(value):
+    assert secrets.value_score(value) == 0
+    assert secrets.value_score(value[:-1] + "~!7") > 0 or value.startswith("your")
+
+
+LONG = {
+    "doubled": ('token = "abcd1234efgh"\n' + "token = token + token\n" * 40, 1),
+    "doubled beyond numbers": ('token = "abcd1234efgh"\n' + "token = token + token\n" * 3000, 1),
+    "appended": ('token = "x"\n' + 'token += "abcd1"\n' * 20_000, 20_001),
+    "one line": ("{" + ",".join(f'"a{i}": "aB3dE5fG{i}"' for i in range(60_000)) + ', "token": "aB3dE5fG9"}', 1),
+    "open quote": ('token = "' + '\\"' * 100_000, 0),
+    "open quotes": ('token = """' + '\\"""' * 50_000, None),
+    "shared": ('t = "' + "".join(chr(0x4E00 + i) for i in range(20_000)) + '"\n' + "token = t + token\n" * 5000, 1),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts_take_linear_work(name):
+    text, literals = LONG[name]
+    started = time.process_time()
+    found = [s for s in secrets.find(text) if s.kind == "literal"]
+    assert time.process_time() - started < 20
+    assert literals is None or len(found) == literals
