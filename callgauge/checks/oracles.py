@@ -141,9 +141,13 @@ FROM calls WHERE {RECENT} GROUP BY 1, 2, 3, 4"""
 
 ORACLES["rollup_sketch_ranks"] = f"""
 WITH {CALLS}
-SELECT DISTINCT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status,
-       {", ".join(f"true AS {p}_{m}_right" for m in ("latency", "ttft") for p in ("p50", "p95", "p99"))}
-FROM calls WHERE {RECENT}"""
+SELECT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status,
+       count(latency_ms) AS n_latency, count(ttft_ms) AS n_ttft,
+       {", ".join(
+           f"CASE WHEN count({m}_ms) > 0 THEN true END AS {p}_{m}_right"
+           for m in ("latency", "ttft") for p in ("p50", "p95", "p99")
+       )}
+FROM calls WHERE {RECENT} GROUP BY 1, 2, 3, 4"""
 
 # reports answered from the rollup equal those from the calls
 ORACLES["rollup_throughput"] = ORACLES["throughput"]

@@ -146,7 +146,8 @@ def rollup_sketch_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether daily percentiles from merged sketches are where their rank should be.
 
     An estimate is right if the share of values below it is at most the wanted one and the
-    share up to it at least that, give or take half a percent.
+    share up to it at least that, give or take half a percent. A group without values has
+    neither an estimate nor an answer; an estimate that is missing elsewhere is wrong.
     """
     calls = tables.calls(spark, sf_dir)
     daily = rollup_daily_sketched(spark, sf_dir)
@@ -156,11 +157,14 @@ def rollup_sketch_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = dated.join(daily, keys)
 
     def placed(p: float, estimate: Column, value: Column) -> Column:
-        n = F.count(value)
+        n = F.nullif(F.count(value), F.lit(0))
         below, upto = F.count_if(value < estimate) / n, F.count_if(value <= estimate) / n
-        return F.coalesce((below <= p + 0.005) & (upto >= p - 0.005), n == 0)
+        right = (below <= p + 0.005) & (upto >= p - 0.005) & (F.count(estimate) > 0)
+        return F.when(n > 0, right)
 
     return both.groupBy(*keys).agg(
+        F.count("latency_ms").alias("n_latency"),
+        F.count("ttft_ms").alias("n_ttft"),
         *[
             placed(p, F.col(f"{name}_{m}_ms"), F.col(f"{m}_ms")).alias(f"{name}_{m}_right")
             for m in ("latency", "ttft")
