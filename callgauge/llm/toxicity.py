@@ -13,7 +13,8 @@ toxic documents of the sample apart, cut at equal shares. Scoring reads whole te
 
 Defined results: a text without a word of the vocabulary (null, empty) has severity 0;
 documents without label are only scored; of repeated labels the largest
-counts; without labels of both kinds nothing is rejected and the severity is 0.
+counts, of labelled rows that repeat an id the one with the smallest SHA-256 of its text;
+texts of any length are read whole; without labels of both kinds nothing is rejected and the severity is 0.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.llm.common import stored
+from callgauge.llm.common import stored, utf8
 
 MAX_ROWS = 8_000
 MAX_FEATURES = 2_048
@@ -205,10 +206,14 @@ def fit(
     chosen = sample_labels(
         labels, id_col=id_col, label_col=label_col, max_rows=max_rows, docs=docs
     )
+    # one row per chosen id, so that ids which many rows repeat don't outgrow the bound
+    first = F.min(F.struct(F.sha2(utf8("text"), 256), "toxic", "text", "counted"))
     texts = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), "id")  # max_rows rows of three numbers
-        .select("toxic", "text", "counted")
+        .groupBy("id")
+        .agg(first.alias("row"))
+        .select("row.toxic", "row.text", "row.counted")
     )
     sample = stored(
         texts.mapInArrow(

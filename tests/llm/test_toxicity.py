@@ -1,7 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pytest
+import math
+
 from pyspark.sql import functions as F
 
 from callgauge.llm import toxicity
@@ -101,3 +102,46 @@ def test_rare_toxic_and_labels_without_documents(spark):
     score = toxicity.scorer(spark, toxicity.fit(docs, labels, max_rows=100))
     found = docs.select("doc_id", score("text")["rejected"].alias("r")).collect()
     assert all(r.r == (r.doc_id % 100 == 0) for r in found)
+
+
+def test_repeated_ids_stay_within_the_bound(spark, monkeypatch):
+    rows = [(i, "you idiot moron" if i % 2 else "a calm text") for i in range(40)]
+    docs = spark.createDataFrame(rows + [(1, "you idiot moron")] * 3000 + [(2, None)] * 2000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    features = toxicity._features
+
+    def counted(sample, index):
+        found = features(sample, index)
+        seen.append(len(found))
+        return found
+
+    monkeypatch.setattr(toxicity, "_features", counted)
+    model = toxicity.fit(docs, labels, max_rows=30)
+    assert seen == [30]
+    assert toxicity.predict(model, "idiot moron")[2] and not toxicity.predict(model, "calm text")[2]
+    assert toxicity.fit(docs.repartition(5), labels, max_rows=30) == model
+
+
+def test_ordinal_fit_equals_a_plain_descent():
+    """Thresholds and weights against the likelihood minimised with numeric gradients."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 2))
+    noise = np.log(1 / rng.uniform(size=150) - 1)
+    grades = np.digitize(x @ np.array([1.5, -0.8]) + noise, [-0.5, 1.2])
+
+    def loss(params):
+        w, cuts = params[:2], np.array([params[2], params[2] + math.exp(params[3])])
+        below = 1 / (1 + np.exp(-(cuts[None, :] - (x @ w)[:, None])))
+        edges = np.hstack([np.zeros((150, 1)), below, np.ones((150, 1))])
+        share = edges[np.arange(150), grades + 1] - edges[np.arange(150), grades]
+        return -np.log(share).mean() + 0.5e-4 * (w @ w)
+
+    params, step = np.zeros(4), 1e-5
+    for _ in range(6000):
+        gradient = [(loss(params + step * e) - loss(params - step * e)) / (2 * step) for e in np.eye(4)]
+        params = params - 0.5 * np.array(gradient)
+    at, columns = np.repeat(np.arange(150), 2), np.tile(np.arange(2), 150)
+    weights, thresholds = toxicity.fit_ordinal(at, columns, x.ravel(), grades, 2, 3)
+    assert weights == pytest.approx(params[:2], abs=0.02)
+    assert thresholds == pytest.approx([params[2], params[2] + math.exp(params[3])], abs=0.02)
