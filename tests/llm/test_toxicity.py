@@ -1,8 +1,9 @@
 from __future__ import annotations
 
-import numpy as np
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from callgauge.llm import toxicity
