@@ -277,6 +277,28 @@ ORACLES["load_with_entities"] = f"""
 WITH {FEED}
 SELECT origin_id, id, replace(redacted, 'Ada Park', '[PERSON]') AS input_preview FROM good"""
 
+PERSON = "replace(redacted, 'Ada Park', '[PERSON]')"
+
+ORACLES["load_isolated"] = f"""
+WITH {FEED}
+SELECT id, status, {PERSON} AS input_preview, created_at
+FROM good WHERE copy = 0 AND event_id % 101 <> 7"""
+
+ORACLES["load_isolated_dead"] = f"""
+WITH {FEED}
+SELECT origin_id, errors, 1 AS attempts FROM dead
+UNION ALL SELECT origin_id, 'input_preview:ValueError', 3 FROM good WHERE event_id % 101 = 7
+UNION ALL SELECT origin_id, 'id:duplicate', 1 FROM good WHERE copy = 1 AND event_id % 101 <> 7"""
+
+ORACLES["load_halved"] = f"""
+WITH {FEED}
+SELECT id AS place, {PERSON} AS input_preview, 0 AS attempts
+FROM good WHERE copy = 0 AND event_id NOT IN (107, 208)
+UNION ALL SELECT origin_id, 'row:failed', 3 FROM good WHERE event_id IN (107, 208)
+UNION ALL SELECT origin_id, errors, 1 FROM dead
+UNION ALL SELECT origin_id, 'id:duplicate', 1
+FROM good WHERE copy = 1 AND event_id NOT IN (107, 208)"""
+
 ORACLES["replay_attempts"] = f"""
 WITH {FEED}
 SELECT origin_id, errors, 3 AS attempts FROM dead

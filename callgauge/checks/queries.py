@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from callgauge.functions import outcome, redaction
+from callgauge.functions import outcome, plugins, redaction
 from callgauge.functions.expressions import bind
 from callgauge.functions.metadata import flag_if, member, merge_objects
 from callgauge.operators import (
@@ -293,6 +293,73 @@ def load_with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loading.to_calls(good, entities=name).select("origin_id", "id", "input_preview")
 
 
+def _poisoned_feed(events: DataFrame, poisoned: Column) -> DataFrame:
+    """The feed, some previews of which an analyzer will fail on."""
+    feed = tables.feed_of(events)
+    marked = F.replace("payload", F.lit('"input_preview":"'), F.lit('"input_preview":"POISON '))
+    return feed.withColumn("payload", F.when(poisoned, marked).otherwise(F.col("payload")))
+
+
+def _analyzer():
+    """An entity analyzer that knows one name and cannot read some texts."""
+
+    def analyze(text: str) -> list[tuple[int, int, str]]:
+        if text.startswith("POISON"):
+            raise ValueError(text)
+        at = text.find("Ada Park")
+        return [(at, at + 8, "PERSON")] if at >= 0 else []
+
+    return analyze
+
+
+def _isolated(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a streamed load whose guarded plug-in fails on every 101st number."""
+    root = scratch_path(spark, "isolated")
+    number = F.left("origin_id", F.lit(12)).cast("bigint")
+    live_load.load_stream(
+        _poisoned_feed(tables.table_stream(spark, sf_dir, "events"), number % 101 == 7),
+        f"{root}/calls",
+        f"{root}/dead",
+        f"{root}/offsets",
+        entities=plugins.guarded_span_finder(_analyzer),
+    ).awaitTermination()
+    return root
+
+
+@query
+def load_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = call_table.read(spark, f"{_isolated(spark, sf_dir)}/calls")
+    return stored.select("id", "status", "input_preview", "created_at")
+
+
+def _letters(spark: SparkSession, path: str) -> DataFrame:
+    dead = spark.read.parquet(path)
+    return dead.select("origin_id", F.array_join("errors", ",").alias("errors"), "attempts")
+
+
+@query
+def load_isolated_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _letters(spark, f"{_isolated(spark, sf_dir)}/dead")
+
+
+@query
+def load_halved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every feed row went when two of them make their task fail."""
+    root = scratch_path(spark, "halved")
+    number = F.left("origin_id", F.lit(12)).cast("bigint")
+    feed = _poisoned_feed(tables.table(spark, sf_dir, "events"), number.isin(107, 208))
+    live_load.load_batch(
+        feed, 0, f"{root}/calls", f"{root}/dead", entities=plugins.span_finder(_analyzer)
+    )
+    stored = call_table.read(spark, f"{root}/calls").select(
+        F.col("id").alias("place"), "input_preview", F.lit(0).alias("attempts")
+    )
+    dead = _letters(spark, f"{root}/dead").withColumnsRenamed(
+        {"origin_id": "place", "errors": "input_preview"}
+    )
+    return stored.unionByName(dead)
+
+
 @query
 def dedupe_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tables.calls(spark, sf_dir).where("created_at < timestamp_ntz'2024-01-08'")

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callgauge.functions.instants import month_of
 from callgauge.functions.redaction import redact, replace_spans
@@ -20,6 +21,8 @@ PREVIEWS = ("input_preview", "output_preview")
 TABLE_KEY = ("id", "created_at")
 DUPLICATE = "id:duplicate"
 NO_PARTITION = "created_at:no_partition"
+FAILED = "row:failed"
+FAILURES = "failures"
 
 
 def to_calls(
@@ -30,7 +33,9 @@ def to_calls(
     """Stored columns in table order, with renames and redacted previews.
 
     ``entities``, such as ``plugins.span_finder``, returns the entity spans of a text; it
-    sees the previews after the rules and its spans are replaced as well.
+    sees the previews after the rules and its spans are replaced as well. With one that
+    reports failures, such as ``plugins.guarded_span_finder``, rows carry ``failures``: one
+    ``<column>:<error>`` per preview it failed on; see ``failed``.
     The feed's own columns (``origin_id``, ``payload``, ``arrived_at``) stay in
     front, so a row that is refused later still carries its original payload.
     """
@@ -45,8 +50,41 @@ def to_calls(
     if entities is None:
         return rows
     spans = {f"_spans_{c}": entities(F.col(c)) for c in redact_columns}
-    masked = {c: replace_spans(F.col(c), F.col(f"_spans_{c}")) for c in redact_columns}
-    return rows.withColumns(spans).withColumns(masked).drop(*spans)
+    found = rows.withColumns(spans)
+    guarded = [c for c in redact_columns if _is_guarded(found.schema[f"_spans_{c}"].dataType)]
+    places = {c: F.col(f"_spans_{c}.spans" if c in guarded else f"_spans_{c}") for c in redact_columns}
+    masked = {c: replace_spans(F.col(c), places[c]) for c in redact_columns}
+    if guarded:
+        errors = [
+            F.when(F.col(f"_spans_{c}.error").isNotNull(), F.concat_ws(":", F.lit(c), f"_spans_{c}.error"))
+            for c in guarded
+        ]
+        masked[FAILURES] = F.array_compact(F.array(*errors))
+    return found.withColumns(masked).drop(*spans)
+
+
+def _is_guarded(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType) and {"spans", "error"} <= set(kind.names)
+
+
+def failed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, dead letters): rows a plug-in failed on are letters that are not tried again.
+
+    The plug-in has had its attempts on them, so theirs count as used up.
+    """
+    whole = rows.where(F.size(FAILURES) == 0).drop(FAILURES)
+    return whole, exhausted(rows.where(F.size(FAILURES) > 0), F.col(FAILURES))
+
+
+def exhausted(rows: DataFrame, errors: Column) -> DataFrame:
+    """Dead letters that ``retryable`` leaves alone once they are stored."""
+    return rows.select(
+        "origin_id",
+        "payload",
+        "arrived_at",
+        F.lit(MAX_LOAD_ATTEMPTS - 1).alias("attempts"),
+        errors.alias("errors"),
+    )
 
 
 def first_arrivals(rows: DataFrame, key: Sequence[str] = TABLE_KEY) -> DataFrame:

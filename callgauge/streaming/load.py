@@ -5,6 +5,10 @@ a failure replaces exactly what its first attempt wrote, so every row ends up in
 call table or the dead-letter table once. What a batch wrote is known by its stream and
 its number; a stream is named by the id its checkpoint holds, so several feeds, restarts
 with a new checkpoint, and replays can share the tables.
+
+One bad row must not hold up its batch. A plug-in that reports failures
+(``plugins.guarded_span_finder``) turns the rows it fails on into dead letters at the cost of
+a column. Rows that make a task fail otherwise are found by halving (``isolate``).
 """
 
 from __future__ import annotations
@@ -14,18 +18,23 @@ from datetime import date
 from functools import reduce
 from operator import or_
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callgauge.operators import loading, validation
+from callgauge.schema import MAX_LOAD_ATTEMPTS
+from callgauge.session import materialize
 from callgauge.sources import calls as call_table
 from callgauge.sources.calls import BATCH, MONTH, STREAM
 
 # more distinct months than this in one batch: compare with the whole table instead
 MONTHS_TO_PRUNE = 120
+# a batch with more rows that fail on their own has another cause than its rows
+MAX_ISOLATED = 32
 
 
 def _stored(
@@ -73,6 +82,7 @@ def load_batch(
     months: int = 0,
     stream: str = "direct",
     entities: Callable[[Column], Column] | None = None,
+    isolate: int = MAX_ISOLATED,
 ) -> None:
     """Validate, redact, de-duplicate and store one batch; the rest become dead letters.
 
@@ -80,14 +90,24 @@ def load_batch(
     come from ``load_stream``, replays above all, name a stream of their own.
     With ``first_month`` and ``months`` only calls of those months are accepted.
     ``entities`` finds entity spans in previews, see ``loading.to_calls``.
+    When preparing the rows fails, up to ``isolate`` rows that are to blame become dead
+    letters and the rest is loaded; 0 lets the batch fail.
     """
     if "attempts" not in feed.columns:
         feed = feed.withColumn("attempts", F.lit(0))
     checked = validation.check(feed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        good, dead = validation.split(checked)
-        rows = loading.to_calls(good, entities=entities)
-        refused = [dead]
+        try:
+            rows, refused = _prepared(checked, entities)
+        except (PySparkException, Py4JJavaError):
+            if not isolate:
+                raise
+            bad = failing(feed, lambda part: _probe(part, entities), isolate)
+            to_blame = F.col("origin_id").isin(bad)  # at most ``isolate`` ids
+            # without anyone to blame it was a passing failure
+            rows, refused = _prepared(checked.where(~to_blame), entities)
+            letters = loading.exhausted(feed.where(to_blame), F.array(F.lit(loading.FAILED)))
+            refused.append(letters)
         if first_month is not None:
             rows, outside = loading.route(rows, first_month, months)
             refused.append(outside)
@@ -100,6 +120,68 @@ def load_batch(
         checked.unpersist()
 
 
+def _prepared(
+    checked: DataFrame, entities: Callable[[Column], Column] | None
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows to store, dead letters so far).
+
+    Entity models run once per row: what they gave is kept, so that no row is a call in one
+    place and a letter in another, whatever a model does when it is asked again.
+    """
+    good, dead = validation.split(checked)
+    rows = loading.to_calls(good, entities=entities)
+    if entities is None:
+        return rows, [dead]
+    rows = materialize(rows)
+    if loading.FAILURES not in rows.columns:
+        return rows, [dead]
+    rows, letters = loading.failed(rows)
+    return rows, [dead, letters]
+
+
+def _probe(feed: DataFrame, entities: Callable[[Column], Column] | None) -> None:
+    rows = loading.to_calls(validation.good(validation.check(feed)), entities=entities)
+    rows.write.format("noop").mode("overwrite").save()
+
+
+def failing(
+    feed: DataFrame,
+    attempt: Callable[[DataFrame], None],
+    most: int = MAX_ISOLATED,
+    attempts: int = MAX_LOAD_ATTEMPTS,
+) -> list[str]:
+    """The origin ids whose rows make ``attempt`` fail even alone, each time of ``attempts``.
+
+    Parts that fail are halved by a hash of the id, so that each bad row costs about twice
+    the logarithm of the batch in runs of shrinking size. Beyond ``most`` bad rows the last
+    failure is raised: then the batch is not held up by single rows.
+    """
+    bad: list[str] = []
+    waiting = [(0, 0)]  # the bits and the value of the hash that make up a part
+    while waiting:
+        bits, value = waiting.pop()
+        part = feed.where(F.expr(f"xxhash64(origin_id) & {(1 << bits) - 1}") == value)
+        error = _failure(attempt, part)
+        if error is None:
+            continue
+        ids = [r.origin_id for r in part.select("origin_id").distinct().limit(2).collect()]
+        if len(ids) > 1:
+            waiting += [(bits + 1, value), (bits + 1, value | 1 << bits)]
+        elif all(_failure(attempt, part) for _ in range(attempts - 1)):
+            bad += ids
+            if len(bad) > most:
+                raise error
+    return bad
+
+
+def _failure(attempt: Callable[[DataFrame], None], part: DataFrame) -> Exception | None:
+    try:
+        attempt(part)
+    except (PySparkException, Py4JJavaError) as error:
+        return error
+    return None
+
+
 def write_dead(letters: DataFrame, path: str, batch: int, stream: str) -> None:
     """Store a batch's dead letters, with one more attempt on their count."""
     (

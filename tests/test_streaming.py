@@ -9,7 +9,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from callgauge.functions.plugins import span_finder
+from callgauge.functions.plugins import guarded_span_finder, span_finder
 from callgauge.operators import loading, validation
 from callgauge.plans import reports, rollup, tables
 from callgauge.schema import CHUNKS_SCHEMA, FEED_SCHEMA
@@ -277,3 +277,85 @@ def test_a_mark_closes_the_last_calls(spark, tmp_path):
     assert left == ["a"]
     closing.mark(spark, CHUNKS_SCHEMA, marks, "ts")
     assert drain() == ["a", "b"] and drain() == ["a", "b"]
+
+
+def _failing_on(*words):
+    def load():
+        def analyze(text):
+            if any(w in text for w in words):
+                raise ValueError(text)
+            return []
+
+        return analyze
+
+    return load
+
+
+def _said(i: int, log: int, text: str):
+    return (f"{i:04d}", payload(log_id=_id(log), input_preview=text), datetime(2026, 5, 1, 11, 0, i))
+
+
+def test_a_failing_row_does_not_hold_up_a_stream_nor_its_restart(spark, tmp_path):
+    source, stored, dead, offsets = (str(tmp_path / p) for p in ("feed", "calls", "dead", "offsets"))
+
+    def drain(entities):
+        feed = feeds.stream_files(spark, source, max_files=1)
+        live.load_stream(feed, stored, dead, offsets, entities=entities).awaitTermination()
+
+    _write(spark, source, [_said(i, i, "bad" if i == 3 else "fine") for i in range(8)])
+    drain(span_finder(_failing_on("bad")))
+    assert sorted(r.id for r in call_table.read(spark, stored).collect()) == [
+        _id(i) for i in range(8) if i != 3
+    ]
+    letters = spark.read.parquet(dead)
+    assert [(r.origin_id, r.errors, r.attempts) for r in letters.collect()] == [("0003", ["row:failed"], 3)]
+    assert loading.retryable(letters).count() == 0
+    _write(spark, source, [_said(9, 9, "worse"), _said(10, 10, "fine")])
+    drain(guarded_span_finder(_failing_on("worse")))
+    assert call_table.read(spark, stored).count() == 8
+    assert {r.origin_id: (r.errors, r.attempts) for r in spark.read.parquet(dead).collect()} == {
+        "0003": (["row:failed"], 3),
+        "0009": (["input_preview:ValueError"], 3),
+    }
+
+
+def test_a_batch_that_fails_as_a_whole_fails(spark, tmp_path):
+    rows = [_said(i, i, "bad") for i in range(6)]
+    feed = spark.createDataFrame(rows, FEED_SCHEMA)
+    for isolate in (0, 3):
+        with pytest.raises(Exception, match="ValueError"):
+            live.load_batch(
+                feed, 0, str(tmp_path / "calls"), str(tmp_path / "dead"),
+                entities=span_finder(_failing_on("bad")), isolate=isolate,
+            )
+    assert not (tmp_path / "calls").exists()
+
+
+def test_transient_failures_are_no_letters(spark, tmp_path):
+    """A row that fails once and then succeeds is loaded, by either way."""
+    seen = tmp_path / "seen"
+
+    def load():
+        def analyze(text):
+            if "bad" in text and not seen.exists():
+                seen.touch()
+                raise ValueError(text)
+            return []
+
+        return analyze
+
+    feed = spark.createDataFrame([_said(0, 0, "bad"), _said(1, 1, "fine")], FEED_SCHEMA)
+    live.load_batch(feed, 0, str(tmp_path / "a"), str(tmp_path / "dead"), entities=guarded_span_finder(load))
+    assert call_table.read(spark, str(tmp_path / "a")).count() == 2
+    seen.unlink()
+    live.load_batch(feed, 0, str(tmp_path / "b"), str(tmp_path / "dead"), entities=span_finder(load))
+    assert call_table.read(spark, str(tmp_path / "b")).count() == 2
+
+
+def test_guarded_spans_are_the_plain_ones(spark):
+    def load():
+        return lambda t: [(0, 3, "PERSON"), (0, 1, "OTHER")] if t == "Ada" else []
+
+    df = spark.createDataFrame([("Ada",), (None,), ("x",)], "t string")
+    both = df.select(span_finder(load)("t").alias("a"), guarded_span_finder(load)("t").alias("b"))
+    assert all(r.a == r.b.spans and r.b.error is None for r in both.collect())
