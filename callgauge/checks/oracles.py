@@ -132,6 +132,35 @@ ORACLES["rollup_refresh_removed"] = f"""
 WITH {CALLS} {HOURLY}, TIMESTAMP '2024-01-31' AS refreshed_at
 FROM calls WHERE {RECENT} AND day(created_at) % 3 <> 0 GROUP BY 1, 2, 3, 4"""
 
+# the refresh that last saw a change in the hour
+ORACLES["rollup_incremental"] = f"""
+WITH {CALLS},
+versions AS (
+  SELECT date_trunc('hour', created_at) AS hour,
+         max(CASE WHEN created_at >= TIMESTAMP '2024-01-25' THEN 2
+                  WHEN event_id % 50 = 7 THEN 3 ELSE 1 END)::INTEGER AS version
+  FROM calls GROUP BY 1
+),
+found AS ({HOURLY} FROM calls WHERE {RECENT} AND day(created_at) <> 9 GROUP BY 1, 2, 3, 4)
+SELECT found.*, version FROM found JOIN versions ON versions.hour = found.hour"""
+
+ORACLES["rollup_fresh"] = f"""
+WITH {CALLS}
+SELECT date_trunc('hour', created_at) AS hour, provider, model, status, count(*) AS n,
+       sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+       round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 9) AS total_cost
+FROM calls GROUP BY 1, 2, 3, 4"""
+
+ORACLES["late_rows"] = f"""
+WITH {CALLS},
+mark AS (
+  SELECT max(created_at) - INTERVAL 10 DAY AS watermark FROM calls WHERE event_id % 3 <> 0
+),
+told AS (SELECT *, event_id % 3 = 0 AND created_at < watermark AS late FROM calls, mark)
+SELECT id, late,
+       CASE WHEN late THEN date_diff('microsecond', created_at, watermark) END AS late_by_us
+FROM told"""
+
 ORACLES["rollup_daily"] = f"""
 WITH {CALLS}
 SELECT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status, count(*) AS n,

@@ -25,14 +25,14 @@ from callgauge.operators import (
     responses,
     validation,
 )
-from callgauge.plans import reports, rollup, tables
+from callgauge.plans import incremental, reports, rollup, tables
 from callgauge.schema import CALL_COLUMNS
 from callgauge.session import scratch_path
 from callgauge.sources import calls as call_table
-from callgauge.sources import catalogs
+from callgauge.sources import catalogs, snapshots
 from callgauge.sources import feed as feeds
 from callgauge.streaming import assembly as live_assembly
-from callgauge.streaming import closing
+from callgauge.streaming import closing, late
 from callgauge.streaming import load as live_load
 from callgauge.streaming import rollup as live_rollup
 
@@ -185,9 +185,6 @@ def rollup_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stored, *floats)
 
 
-# --- pricing and admission -----------------------------------------------------------
-
-
 @query
 def rollup_refresh_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored rollup after the calls of every third day were removed."""
@@ -201,6 +198,80 @@ def rollup_refresh_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stored, *floats)
 
 
+@query
+def rollup_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup after four refreshes by what changed, and when each row was last computed.
+
+    The first loads hold most calls before the 25th, then those from the 25th on, then a
+    fiftieth of the early ones, late; at last the calls of the 9th are removed.
+    """
+    root = scratch_path(spark, "incremental")
+    calls = tables.calls(spark, sf_dir)
+    late = F.right("id", F.lit(12)).cast("bigint") % 50 == 7
+    early = F.col("created_at") < F.lit("2024-01-25").cast("timestamp_ntz")
+
+    def refresh(rows: DataFrame) -> snapshots.Snapshot:
+        return incremental.refresh(rows, f"{root}/changes", f"{root}/rollup", tables.AS_OF, DAYS)
+
+    for batch, part in enumerate((early & ~late, ~early, early & late)):
+        call_table.append(calls.where(part), f"{root}/calls", batch, "s")
+        incremental.log(calls.where(part), f"{root}/changes", batch, "s")
+        refresh(call_table.read(spark, f"{root}/calls"))
+    stored = call_table.read(spark, f"{root}/calls")
+    gone = F.dayofmonth("created_at") == 9
+    incremental.log(stored.where(gone), f"{root}/changes", 0, "removals")
+    last = refresh(stored.where(~gone))
+    rows = incremental.read(spark, last).drop(*rollup.SKETCHES, "day")
+    floats = [c for c in rows.columns if c.startswith(("p50", "p95", "p99", "total"))]
+    return rounded(rows, *floats)
+
+
+@query
+def rollup_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup from partials: two drained runs of a stream, folded, a batch repeated."""
+    root = scratch_path(spark, "fresh")
+    calls = tables.calls(spark, sf_dir)
+    half = F.right("id", F.lit(12)).cast("bigint") % 2
+    for part in (0, 1):  # the second run's calls are as old as the first's
+        calls.where(half == part).write.mode("append").parquet(f"{root}/feed")
+        feed = feeds.stream_files(spark, f"{root}/feed", schema=calls.schema)
+        live_rollup.write_fresh(feed, f"{root}/partials", f"{root}/offsets").awaitTermination()
+    live_rollup.fold(spark, f"{root}/partials", f"{root}/folded")
+    stream = live_load.stream_id(spark, f"{root}/offsets")
+    live_rollup.store_partials(calls.where(half == 1), f"{root}/folded", 1, stream)
+    rows = live_rollup.fresh(spark, f"{root}/folded").drop(*rollup.SKETCHES)
+    return rounded(rows, "total_latency_ms", "total_cost")
+
+
+@query
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call of a stream: in time, or behind the mark and by how much.
+
+    A third of the calls comes after the others and is as old; ten days are allowed.
+    """
+    root = scratch_path(spark, "late")
+    calls = tables.calls(spark, sf_dir).select("id", "created_at")
+    third = F.right("id", F.lit(12)).cast("bigint") % 3 == 0
+
+    def keep(rows: DataFrame, batch: int, stream: str) -> None:
+        call_table.replace_batch(rows, f"{root}/timely", batch, stream)
+
+    for part in (~third, third):
+        calls.where(part).write.mode("append").parquet(f"{root}/feed")
+        feed = feeds.stream_files(spark, f"{root}/feed", schema=calls.schema)
+        late.split_stream(
+            feed, "created_at", "10 DAYS", f"{root}/split", f"{root}/offsets", keep
+        ).awaitTermination()
+    timely = spark.read.parquet(f"{root}/timely").select(
+        "id", F.lit(False).alias("late"), F.lit(None).cast("bigint").alias("late_by_us")
+    )
+    missed = late.late(spark, f"{root}/split", calls.schema)
+    return timely.unionByName(missed.select("id", F.lit(True).alias("late"), "late_by_us"))
+
+
+# --- pricing and admission -----------------------------------------------------------
+
+
 @query
 def price_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = pricing.flag_missing_cost(pricing.with_cost(tables.calls(spark, sf_dir)))

@@ -107,6 +107,18 @@ def append(calls: DataFrame, path: str, batch: int, stream: str) -> None:
     )
 
 
+def replace_batch(rows: DataFrame, path: str, batch: int, stream: str) -> None:
+    """Store rows by (stream, batch) in any table; a repeated batch replaces its own."""
+    (
+        rows.withColumn(STREAM, F.lit(stream))
+        .withColumn(BATCH, F.lit(batch).cast("bigint"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(STREAM, BATCH)
+        .parquet(path)
+    )
+
+
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Copy the table at ``path`` to the fresh folder ``target`` with few files a month.
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callgauge.operators import loading, validation
+from callgauge.plans import incremental
 from callgauge.schema import MAX_LOAD_ATTEMPTS
 from callgauge.session import materialize
 from callgauge.sources import calls as call_table
@@ -83,6 +84,7 @@ def load_batch(
     stream: str = "direct",
     entities: Callable[[Column], Column] | None = None,
     isolate: int = MAX_ISOLATED,
+    changes_path: str | None = None,
 ) -> None:
     """Validate, redact, de-duplicate and store one batch; the rest become dead letters.
 
@@ -91,7 +93,8 @@ def load_batch(
     With ``first_month`` and ``months`` only calls of those months are accepted.
     ``entities`` finds entity spans in previews, see ``loading.to_calls``.
     When preparing the rows fails, up to ``isolate`` rows that are to blame become dead
-    letters and the rest is loaded; 0 lets the batch fail.
+    letters and the rest is loaded; 0 lets the batch fail. With ``changes_path`` the hours
+    of the batch are noted for ``plans.incremental``.
     """
     if "attempts" not in feed.columns:
         feed = feed.withColumn("attempts", F.lit(0))
@@ -114,6 +117,8 @@ def load_batch(
         stored = _stored(feed.sparkSession, calls_path, rows, key, stream, batch)
         refused.append(loading.duplicates(rows, stored, key))
         call_table.append(loading.new_rows(rows, stored, key), calls_path, batch, stream)
+        if changes_path is not None:
+            incremental.log(rows, changes_path, batch, stream)
         letters = reduce(DataFrame.unionByName, refused)
         write_dead(letters, dead_path, batch, stream)
     finally:
