@@ -819,6 +819,12 @@ SELECT 'user' AS kind, id FROM users WHERE id NOT IN (SELECT id FROM doomed)
 UNION ALL SELECT 'session', id FROM kept
 UNION ALL SELECT 'message', id FROM messages WHERE session_id IN (SELECT id FROM kept)"""
 
+# the stored forms of these operators give the same rows
+ORACLES["stored_upsert_users"] = ORACLES["upsert_users"]
+ORACLES["stored_append"] = ORACLES["append_messages"]
+ORACLES["stored_purge"] = ORACLES["purge_users"]
+ORACLES["session_activity_kept"] = ORACLES["session_activity"]
+
 # --- streams -----------------------------------------------------------------------------
 
 ORACLES["stream_rollup"] = f"""

@@ -18,6 +18,7 @@ from callgauge.functions.metadata import flag_if, member, merge_objects
 from callgauge.operators import (
     assembly,
     chat,
+    chat_store,
     context,
     loading,
     pricing,
@@ -26,10 +27,11 @@ from callgauge.operators import (
     validation,
 )
 from callgauge.plans import incremental, reports, rollup, tables
+from callgauge.plans import sessions as session_shares
 from callgauge.schema import CALL_COLUMNS
 from callgauge.session import scratch_path
 from callgauge.sources import calls as call_table
-from callgauge.sources import catalogs, snapshots
+from callgauge.sources import catalogs, keyed, snapshots
 from callgauge.sources import feed as feeds
 from callgauge.streaming import assembly as live_assembly
 from callgauge.streaming import closing, late
@@ -87,6 +89,19 @@ def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.session_activity(tables.calls(spark, sf_dir)), "cost_usd")
 
 
+@query
+def session_activity_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session activity from the shares of four loads, folded, the last one repeated."""
+    root = scratch_path(spark, "sessions")
+    calls = tables.calls(spark, sf_dir)
+    fourth = F.right("id", F.lit(12)).cast("bigint") % 4
+    for batch in range(4):
+        session_shares.store_batch(calls.where(fourth == batch), f"{root}/loads", batch, "s")
+    session_shares.fold(spark, f"{root}/loads", f"{root}/folded")
+    session_shares.store_batch(calls.where(fourth == 3), f"{root}/folded", 3, "s")
+    return rounded(session_shares.activity(spark, f"{root}/folded"), "cost_usd")
+
+
 @query
 def session_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.session_calls(tables.calls_with_texts(spark, sf_dir), SESSION)
@@ -857,6 +872,53 @@ def purge_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds[0].unionAll(kinds[1]).unionAll(kinds[2])
 
 
+def _stored_chat(spark: SparkSession, sf_dir: str, sessions: DataFrame) -> chat_store.Store:
+    """A fresh conversation store that holds the sample's users and ``sessions``."""
+    kept = chat_store.store(scratch_path(spark, "chat"), buckets=8)
+    keyed.put(tables.users(spark, sf_dir), kept.users)
+    keyed.put(sessions, kept.sessions)
+    return kept
+
+
+@query
+def stored_upsert_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored users after two upserts, one of them repeated."""
+    kept = _stored_chat(spark, sf_dir, tables.sessions(spark, sf_dir))
+    seen = _seen_users(spark, sf_dir)
+    even = F.pmod(F.crc32(F.trim(F.col("username")).cast("binary")), F.lit(2)) == 0
+    for part in (even, ~even, even):
+        chat_store.upsert_users(kept, seen.where(part))
+    return keyed.read(spark, kept.users)
+
+
+@query
+def stored_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sessions after their messages were added in three steps, then compacted."""
+    created = tables.sessions(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    kept = _stored_chat(spark, sf_dir, created)
+    messages = tables.messages(spark, sf_dir)
+    turn = F.right("id", F.lit(12)).cast("bigint") % 1000
+    for part in (turn < 3, turn >= 3, turn >= 3):  # the last step is repeated
+        chat_store.append_messages(kept, messages.where(part))
+    keyed.compact(spark, kept.sessions)
+    return keyed.read(spark, kept.sessions)
+
+
+@query
+def stored_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a conversation store holds after two users were purged from it."""
+    kept = _stored_chat(spark, sf_dir, tables.sessions(spark, sf_dir))
+    keyed.put(tables.messages(spark, sf_dir), kept.messages)
+    users = tables.users(spark, sf_dir).where(F.col("username").isin("user2", "user5"))
+    chat_store.purge_users(kept, users.select(F.col("id").alias("user_id")))
+    left = {"user": kept.users, "session": kept.sessions, "message": kept.messages}
+    kinds = [
+        keyed.read(spark, place).select(F.lit(kind).alias("kind"), "id")
+        for kind, place in left.items()
+    ]
+    return kinds[0].unionAll(kinds[1]).unionAll(kinds[2])
+
+
 # --- streams -----------------------------------------------------------------------------
 
 
