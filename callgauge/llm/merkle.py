@@ -26,7 +26,7 @@ from callgauge.llm.numbering import numbered
 from callgauge.session import broadcast_if_small
 
 ARITY = 2
-STRETCH = 1 << 12  # runs of one window partition
+STRETCH = 1 << 9  # runs of one window partition
 STORE_EVERY = 6  # levels of paths that one plan goes down
 _PATH = "array<struct<left:binary,right:binary>>"
 _FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
