@@ -6,13 +6,20 @@ the counts. A host can have at most (lines per page / ratio) boilerplate lines,
 the list that pages are cleaned with short whatever the host's size; it is broadcast if its
 counted rows allow, and else joined by host, where adaptive execution splits a hot host.
 
+Markup is taken out in linear time: in pages with more than a few openings, those without an
+end are recognised by lying behind the last end in the page, and are never searched from.
+Lines are stored once and read twice.
+
 Defined results: a null or empty text has no lines and stays an empty text; a null host is
 a site of its own; repeated rows are separate pages; hosts with fewer than ``min_pages``
-pages keep all lines, and lines on fewer than ``min_seen`` pages of a host stay.
+pages keep all lines, and lines on fewer than ``min_seen`` pages of a host stay; pages of any
+length are split whole, in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +47,64 @@ def host_of(url: str | Column) -> Column:
     return F.when(host != "", host)
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FEW = 64  # searches through the rest of a page that are made without a closer look
+_HIDDEN = "\ufdd0"  # a code point that no text may hold, for a ``<`` that opens nothing
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _cut(text: Column, mark: str, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of the text up to its last ``mark`` and of the rest; A-Z of the text count as a-z."""
+    plain = F.translate(text, _UPPER, _UPPER.lower())
+    rest = F.char_length(F.substring_index(plain, mark, -1))
+    return _named(rest, lambda n: use(F.left(text, F.char_length(text) - n), F.right(text, n)))
+
+
+def _without_tags(text: Column, tag: str, instead: str) -> Column:
+    """Replace tags, each of which ends with the next ``>``; after the last one there is none."""
+
+    def replaced(t: Column) -> Column:
+        tail = F.substring_index(t, ">", -1)
+        open_ = F.char_length(tail) - F.char_length(F.replace(tail, F.lit("<"), F.lit("")))
+        linear = _cut(t, ">", lambda head, rest: F.concat(F.regexp_replace(head, tag, instead), rest))
+        return F.when(open_ <= _FEW, F.regexp_replace(t, tag, instead)).otherwise(linear)
+
+    return _named(text, replaced)
+
+
+def _without_unseen(text: Column) -> Column:
+    """Replace elements that are not shown, and comments, from their start to their end.
+
+    A start behind the last end of its kind has none. If there are many starts, such ones are
+    hidden from the pattern, which would look for their end through the rest of the page.
+    """
+    kinds = [*((rf"(?i)<(?={e}\b)", f"</{e}>") for e in UNSEEN), ("<(?=!--)", "-->")]
+    starts = rf"(?i)<(?:!--|(?:{'|'.join(UNSEEN)})\b)"
+    unseen = "|".join([*(rf"<{e}\b.*?</{e}>" for e in UNSEEN), "<!--.*?-->"])
+
+    def hide(start: str, end: str) -> Callable[[Column], Column]:
+        return lambda t: _cut(
+            t, end, lambda head, tail: F.concat(head, F.regexp_replace(tail, start, _HIDDEN))
+        )
+
+    hidden = text
+    for kind in kinds:
+        hidden = _named(hidden, hide(*kind))
+    shown = F.when(F.regexp_count(text, F.lit(starts)) <= _FEW, text).otherwise(hidden)
+    return F.translate(F.regexp_replace(shown, f"(?is){unseen}", " "), _HIDDEN, "<")
+
+
 def html_lines(html: str | Column) -> Column:
     """Visible text of a page, one line per block element."""
     column = F.col(html) if isinstance(html, str) else html
-    unseen = "|".join([*(rf"<{e}\b.*?</{e}>" for e in UNSEEN), "<!--.*?-->"])
-    text = F.regexp_replace(F.coalesce(column, F.lit("")), f"(?is){unseen}", " ")
+    text = _without_unseen(F.coalesce(column, F.lit("")))
     text = F.regexp_replace(text, r"[\r\n]", " ")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n")
-    text = F.regexp_replace(text, "<[^>]*>", "")
-    return text_lines(text)
+    text = _without_tags(text, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n")
+    return text_lines(_without_tags(text, "<[^>]*>", ""))
 
 
 def text_lines(text: str | Column) -> Column:
@@ -70,8 +126,11 @@ def drop_boilerplate(
     broadcast_lines: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row per page: id, host, n_lines, n_dropped, and the text of the lines that stay."""
-    rows = pages.select(
-        F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"), lines.alias("lines")
+    rows = stored(
+        pages.select(
+            F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"), lines.alias("lines")
+        ),
+        "page-lines",
     )
     totals = (
         rows.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)

@@ -59,6 +59,42 @@ def _leaf(n_chars: str) -> str:
     return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
 
 
+def _line_dedup(min_pages: int, min_seen: int) -> str:
+    return rf"""
+    WITH texts AS (
+        SELECT page_id,
+            coalesce(regexp_extract(lower(url),
+                '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host,
+            regexp_replace(regexp_replace(regexp_replace(
+                regexp_replace(coalesce(html, ''), '(?is){_UNSEEN}', ' ', 'g'),
+                '[\r\n]', ' ', 'g'),
+                '(?i)</?(?:{_BLOCKS})\b[^>]*>', chr(10), 'g'),
+                '<[^>]*>', '', 'g') AS text
+        FROM pages
+    ), split AS (
+        SELECT page_id, host, list_filter(
+            list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+        FROM texts
+    ), totals AS (
+        SELECT host, count(*) AS pages FROM split GROUP BY host
+    ), common AS (
+        SELECT l.host, list(l.line) AS common
+        FROM (SELECT host, line, count(*) AS n FROM
+                (SELECT host, unnest(list_distinct(lines)) AS line FROM split)
+              GROUP BY host, line) l
+        JOIN totals t ON t.host = l.host
+        WHERE t.pages >= {min_pages} AND l.n >= {min_seen} AND l.n > t.pages * {lines.MAX_RATIO}::DOUBLE
+        GROUP BY l.host
+    ), kept AS (
+        SELECT page_id, split.host, len(lines) AS n_lines, list_filter(lines,
+            lambda x: NOT list_contains(coalesce(common, []), x)) AS kept
+        FROM split LEFT JOIN common ON common.host = split.host
+    )
+    SELECT page_id, host, n_lines, n_lines - len(kept) AS n_dropped,
+        coalesce(array_to_string(kept, chr(10)), '') AS text
+    FROM kept"""
+
+
 ORACLES = {
     "op1_warc_chain": f"""
         WITH p AS (
@@ -72,39 +108,8 @@ ORACLES = {
             CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> last THEN last END AS refers_to
         FROM d""",
-    "op2_line_dedup": rf"""
-        WITH texts AS (
-            SELECT page_id,
-                coalesce(regexp_extract(lower(url),
-                    '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host,
-                regexp_replace(regexp_replace(regexp_replace(
-                    regexp_replace(coalesce(html, ''), '(?is){_UNSEEN}', ' ', 'g'),
-                    '[\r\n]', ' ', 'g'),
-                    '(?i)</?(?:{_BLOCKS})\b[^>]*>', chr(10), 'g'),
-                    '<[^>]*>', '', 'g') AS text
-            FROM pages
-        ), split AS (
-            SELECT page_id, host, list_filter(
-                list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
-            FROM texts
-        ), totals AS (
-            SELECT host, count(*) AS pages FROM split GROUP BY host
-        ), common AS (
-            SELECT l.host, list(l.line) AS common
-            FROM (SELECT host, line, count(*) AS n FROM
-                    (SELECT host, unnest(list_distinct(lines)) AS line FROM split)
-                  GROUP BY host, line) l
-            JOIN totals t ON t.host = l.host
-            WHERE t.pages >= {lines.MIN_PAGES} AND l.n > t.pages * {lines.MAX_RATIO}::DOUBLE
-            GROUP BY l.host
-        ), kept AS (
-            SELECT page_id, split.host, len(lines) AS n_lines, list_filter(lines,
-                lambda x: NOT list_contains(coalesce(common, []), x)) AS kept
-            FROM split LEFT JOIN common ON common.host = split.host
-        )
-        SELECT page_id, host, n_lines, n_lines - len(kept) AS n_dropped,
-            coalesce(array_to_string(kept, chr(10)), '') AS text
-        FROM kept""",
+    "op2_line_dedup": _line_dedup(lines.MIN_PAGES, 1),
+    "op2_line_dedup_small_hosts": _line_dedup(2, 2),
     "op6_exact_dedup": f"""
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'))

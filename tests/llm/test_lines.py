@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -106,3 +109,38 @@ def test_small_hosts_are_cleaned(spark, tmp_path):
     found = QUERIES["op2_line_dedup_small_hosts"](spark, str(tmp_path)).collect()
     dropped = {(r.host, r.n_dropped, "text" in r.text) for r in found}
     assert dropped == {("h1", 0, True), *((f"h{n}", 1, True) for n in (2, 3, 4, 5))}
+
+
+PARTS = (
+    "<script |</script>|<SCRIPT>|</Script>|<!--|-->|<div |<p>|>|<|text|\n|<style>|</style>|<template x>|"
+    "</template>|<noscript|</noscript>|İ|é|\r|<b>|</b>|<scripty>| "
+).split("|")
+
+
+def plain_lines(html):
+    """Visible lines by the plain patterns, whose work may grow with the square of a page."""
+    unseen = "|".join([*(rf"<{e}\b.*?</{e}>" for e in lines.UNSEEN), "<!--.*?-->"])
+    text = re.sub(f"(?is){unseen}", " ", html)
+    text = re.sub(r"[\r\n]", " ", text)
+    text = re.sub(rf"(?i)</?(?:{'|'.join(lines.BLOCKS)})\b[^>]*>", "\n", text)
+    text = re.sub("<[^>]*>", "", text)
+    return [x for x in (x.strip(" ") for x in text.split("\n")) if x]
+
+
+@pytest.mark.parametrize("few", [-1, 2, 64])
+def test_markup_equals_the_plain_patterns(spark, monkeypatch, few):
+    monkeypatch.setattr(lines, "_FEW", few)
+    rng = random.Random(few)
+    pages = ["".join(rng.choices(PARTS, k=rng.randint(0, 25))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i long, h string")
+    got = {r.i: r.lines for r in df.select("i", lines.html_lines("h").alias("lines")).collect()}
+    assert got == {i: plain_lines(p) for i, p in enumerate(pages)}
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<script ", "<div ", "<", "</script><script", "<style><!--"])
+def test_markup_that_never_ends_takes_linear_time(spark, piece):
+    page = spark.createDataFrame([(piece * (2_000_000 // len(piece)),)], "h string")
+    page.select(F.size(lines.html_lines("h"))).collect()
+    started = time.time()
+    page.select(F.size(lines.html_lines("h"))).collect()
+    assert time.time() - started < 15
