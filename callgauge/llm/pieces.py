@@ -11,15 +11,21 @@ is the last piece of the prefix's encoding: a piece may follow another exactly i
 their two texts into these two pieces, and one sequence only has all its neighbours so.
 
 The model file is a parameter and is sent to the executors as bytes. Words never cross a
-space mark, which is checked against the vocabulary. Defined results: a null text has null
-ids, an empty one has none; characters without a piece become byte pieces (or the unknown
-piece, if the model has no bytes).
+space mark, which is checked against the vocabulary. Long ones, as texts without spaces have,
+are cut where no piece holds both neighbours, since no piece can then lie across; what is
+still long is encoded on its own and not remembered. What a worker remembers is bounded in
+bytes.
+
+Defined results: a null text has null ids, an empty one has none; characters without a piece
+become byte pieces (or the unknown piece, if the model has no bytes); texts and words of any
+length are encoded whole, with some 16 bytes of state per character of a word.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 
@@ -33,7 +39,10 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 # piece types of the model format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_CACHE = 400_000  # words, and pairs of pieces, that a worker remembers
+_PAIRS = 400_000  # pairs of pieces that a worker remembers
+_CACHE = 96 << 20  # bytes of words and their ids that a worker remembers
+_OVERHEAD = 200  # bytes that a remembered word takes besides
+_LONG = 64  # characters from which on a word is cut where it can be, and not remembered
 _CHUNK = 1 << 22  # characters encoded together
 _UNKNOWN_PENALTY = 10.0
 
@@ -107,7 +116,7 @@ class Model:
 
     def may_follow(self, before: int | None, piece: int) -> bool:
         """Does BPE leave the two pieces as they are, side by side (or the second alone)?"""
-        if len(self.follows) > _CACHE:
+        if len(self.follows) > _PAIRS:
             self.follows.clear()
         wanted = [self.spelled(p) for p in (before, piece) if p is not None]
         found = self.follows[self.pair(before, piece)] = self.merge("".join(wanted)) == wanted
@@ -143,8 +152,24 @@ class Model:
                 best = (piece, start, total)
         return best
 
+    @cached_property
+    def neighbours(self) -> set[str]:
+        """All pairs of characters that stand side by side in a piece."""
+        return {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+
     def words(self, text: str) -> list[str]:
-        return self.word.findall(self.marked(text))
+        found = self.word.findall(self.marked(text))
+        if max(map(len, found), default=0) < _LONG:
+            return found
+        return [part for word in found for part in self.cut(word)]
+
+    def cut(self, word: str) -> list[str]:
+        """A long word in parts that are encoded as they are within it."""
+        if len(word) < _LONG:
+            return [word]
+        inside = self.neighbours
+        at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
+        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, visited in the depth-first order of their trie."""
@@ -152,6 +177,9 @@ class Model:
         states: list = [(None, 0, 0.0)]
         before, out = "", {}
         for word in sorted(words):
+            if len(word) >= _LONG:
+                out[word] = self.encode_long(word)
+                continue
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
@@ -163,26 +191,48 @@ class Model:
                 pieces.append(states[end][0])
                 end = states[end][1]
             pieces.reverse()
-            if min(pieces) < 0:
-                pieces = [i for p in pieces for i in ([p] if p >= 0 else self.bare(chr(-1 - p)))]
-            out[word] = pieces
+            out[word] = self.spelt_out(pieces)
             before = word
         return out
 
+    def spelt_out(self, pieces: list[int]) -> list[int]:
+        """Ids, once characters without a piece are given theirs."""
+        if min(pieces) >= 0:
+            return pieces
+        return [i for p in pieces for i in ([p] if p >= 0 else self.bare(chr(-1 - p)))]
+
+    def encode_long(self, word: str) -> list[int]:
+        """Ids of one word, with two numbers of state kept per character."""
+        step = self.step_bpe if self.kind == BPE else self.step_unigram
+        near: deque = deque([(None, 0, 0.0)], maxlen=self.longest + 1)  # states a step looks at
+        pieces, starts = array("i"), array("q")
+        for end in range(1, len(word) + 1):
+            first = max(0, end - self.longest)  # of the characters that the next piece may hold
+            low = end - len(near)
+            near.append(_moved(step(word[first:end], end - first, _Near(near, first - low)), first))
+            pieces.append(near[-1][0])
+            starts.append(near[-1][1])
+        found, end = [], len(word)
+        while end > 0:
+            found.append(pieces[end - 1])
+            end = starts[end - 1]
+        found.reverse()
+        return self.spelt_out(found)
+
     def bare(self, char: str) -> list[int]:
         """Ids of a character without a piece."""
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
-    def encode_batch(self, texts: list[str | None], known: dict[str, bytes]) -> list[bytes | None]:
+    def encode_batch(self, texts: list[str | None], known: Words) -> list[bytes | None]:
         """Ids of texts as 32-bit numbers; ``known`` keeps the words of earlier batches."""
         split = [None if t is None else self.words(t) for t in texts]
-        fresh = {w for ws in split if ws for w in ws if w not in known}
-        if len(known) + len(fresh) > _CACHE:
-            known.clear()
-            fresh = {w for ws in split if ws for w in ws}
-        for word, ids in self.encode_words(fresh).items():
-            known[word] = array("i", ids).tobytes()
-        return [None if ws is None else b"".join(map(known.__getitem__, ws)) for ws in split]
+        ids = known.ids
+        fresh = {w for ws in split if ws for w in ws if w not in ids}
+        for word, found in self.encode_words(fresh).items():
+            ids[word] = array("i", found).tobytes()
+        out = [None if ws is None else b"".join(map(ids.__getitem__, ws)) for ws in split]
+        known.bound(fresh)
+        return out
 
     @cached_property
     def plain(self) -> tuple[list[str], np.ndarray]:
@@ -218,12 +268,46 @@ class Model:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+class _Near:
+    """The states of a word's last characters, as if they were all there are."""
+
+    def __init__(self, states: deque, skipped: int):
+        self.states, self.skipped = states, skipped
+
+    def __getitem__(self, at: int) -> tuple:
+        return self.states[at + self.skipped]
+
+
+def _moved(state: tuple, by: int) -> tuple:
+    return state[0], state[1] + by, *state[2:]
+
+
+class Words:
+    """The ids of words seen before; bounded in bytes, without long words."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, bytes] = {}
+        self.size = 0
+
+    def bound(self, added: Iterable[str]) -> None:
+        """Forget long words of those just added, and everything when there is too much."""
+        for word in added:
+            if len(word) >= _LONG:
+                del self.ids[word]
+            else:
+                # a text of wide characters takes four bytes each
+                self.size += _OVERHEAD + 4 * len(word) + len(self.ids[word])
+        if self.size > _CACHE:
+            self.ids.clear()
+            self.size = 0
+
+
 class Shared:
     """A model as executors share it: parsed once per worker, with the words seen so far."""
 
     def __init__(self, data: bytes):
         self.data = data
-        self.known: dict[str, bytes] = {}
+        self.known = Words()
 
     @cached_property
     def model(self) -> Model:
@@ -251,15 +335,15 @@ def encoder(spark: SparkSession, model: bytes):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         here = shared.value
         for batch in batches:
-            found = []
+            # ids outweigh their text, so a batch of texts may become several of ids
             for texts in _chunks(batch):
-                found += here.model.encode_batch(texts, here.known)
-            missing = np.array([x is None for x in found], dtype=bool)
-            ends = np.cumsum([0, *(len(x or b"") // 4 for x in found)])
-            ids = pa.array(np.frombuffer(b"".join(x or b"" for x in found), dtype=np.int32))
-            yield pa.ListArray.from_arrays(
-                pa.array(ends, type=pa.int32()), ids, mask=pa.array(missing)
-            )
+                found = here.model.encode_batch(texts, here.known)
+                missing = np.array([x is None for x in found], dtype=bool)
+                ends = np.cumsum([0, *(len(x or b"") // 4 for x in found)])
+                ids = pa.array(np.frombuffer(b"".join(x or b"" for x in found), dtype=np.int32))
+                yield pa.ListArray.from_arrays(
+                    pa.array(ends, type=pa.int32()), ids, mask=pa.array(missing)
+                )
 
     return encode
 

@@ -106,7 +106,6 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_best_fit_packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # as op9
     docs = table(spark, sf_dir, "documents")
     encode = pieces.encoder(spark, pieces.read_model(spark, MODEL_PATH))
     sized = stored(
@@ -155,8 +154,6 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # ids outweigh their text, so fewer rows than usual travel in one Arrow batch
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = table(spark, sf_dir, "documents")
     model = pieces.read_model(spark, MODEL_PATH)
     encode, decode = pieces.encoder(spark, model), pieces.decoder(spark, model)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -123,3 +125,64 @@ def test_other_kinds_are_refused(data):
     proto.trainer_spec.model_type = 3
     with pytest.raises(ValueError):
         pieces.Model(proto.SerializeToString())
+
+
+LONG = [
+    "a" * 3000,
+    "internationalization" * 400,
+    "".join(chr(0x4E00 + i * 7 % 3000) for i in range(3000)),
+    "漢字かな交じり文" * 300 + "abc" * 100,
+    "x🙂" * 500 + " and words " + "y" * 70,
+    "aB3" * 30 + "▁" + "q" * 500,
+    "=" * 200 + "-" * 200 + "0123456789" * 30,
+]
+
+
+def test_long_words_equal_the_library(data):
+    model, library = pieces.Model(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    for text in LONG:
+        assert encoded(model, text) == library.encode(text)
+
+
+def test_long_words_of_unigram_models_take_the_best_segmentation(data):
+    model = pieces.Model(unigram(data))
+    for text in LONG[:2]:
+        total = sum(model.scores[model.texts[i]] for i in encoded(model, text))
+        assert total == pytest.approx(best_score(model, text))
+
+
+def test_parts_of_long_words_meet_where_no_piece_can_lie(data):
+    model = pieces.Model(data)
+    for text in LONG:
+        for word in model.word.findall(model.marked(text)):
+            parts = model.cut(word)
+            assert "".join(parts) == word
+            ends = np.cumsum([len(p) for p in parts])[:-1]
+            assert all(word[e - 1 : e + 1] not in model.neighbours for e in ends)
+
+
+def test_what_a_worker_remembers_is_bounded(data, monkeypatch):
+    monkeypatch.setattr(pieces, "_CACHE", 100_000)
+    model, known = pieces.Model(data), pieces.Words()
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = random.Random(5)
+    for _ in range(20):
+        texts = ["".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(1000)) for _ in range(5)]
+        texts += [f"word{rng.randrange(10**9)} " * 3 + "z" * 900, None, ""]
+        got = model.encode_batch(texts, known)
+        assert [None if g is None else np.frombuffer(g, np.int32).tolist() for g in got] == [
+            None if t is None else library.encode(t) for t in texts
+        ]
+        assert all(len(w) < pieces._LONG for w in known.ids)
+        assert known.size <= 100_000
+        assert known.size == sum(pieces._OVERHEAD + 4 * len(w) + len(i) for w, i in known.ids.items())
+
+
+def test_a_million_characters_without_a_space(data):
+    model, known = pieces.Model(data), pieces.Words()
+    tracemalloc.start()
+    got = model.encode_batch(["ab1" * 330_000], known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.decode(np.frombuffer(got[0], np.int32)) == "ab1" * 330_000
+    assert peak < 150 << 20 and all(len(w) < 4 for w in known.ids)
