@@ -168,6 +168,13 @@ SELECT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status,
        round(sum(latency_ms), 6) AS total_latency_ms, round(sum(total_cost), 9) AS total_cost
 FROM calls WHERE {RECENT} GROUP BY 1, 2, 3, 4"""
 
+ORACLES["rollup_daily_exact"] = f"""
+WITH {CALLS}
+SELECT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status,
+       count(latency_ms) AS n_latency_ms, count(ttft_ms) AS n_ttft_ms,
+       {_quantiles("latency_ms", "latency_ms")}, {_quantiles("ttft_ms", "ttft_ms")}
+FROM calls GROUP BY 1, 2, 3, 4"""
+
 ORACLES["rollup_sketch_ranks"] = f"""
 WITH {CALLS}
 SELECT date_trunc('day', created_at)::TIMESTAMP AS day, provider, model, status,

@@ -188,6 +188,18 @@ def rollup_sketch_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def rollup_daily_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact daily percentiles from the stored histograms of three loads."""
+    path = scratch_path(spark, "histograms")
+    calls = tables.calls(spark, sf_dir)
+    third = F.right("id", F.lit(12)).cast("bigint") % 3
+    for batch in range(3):
+        call_table.replace_batch(rollup.histograms(calls.where(third == batch)), path, batch, "s")
+    daily = rollup.exact_percentiles(spark.read.parquet(path), calls)
+    return rounded(daily, *[c for c in daily.columns if c.startswith(("p50", "p95", "p99"))])
+
+
 @query
 def rollup_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored rollup after two refreshes of the same days."""

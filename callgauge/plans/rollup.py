@@ -1,11 +1,13 @@
 """The hourly rollup: (hour, provider, model, status) with sums and percentiles.
 
 Sums can be added up to any coarser grain. Percentiles cannot, so the rollup also
-carries mergeable sketches of latency and time to first token.
+carries mergeable sketches of latency and time to first token. Exact percentiles of coarser
+grains come from stored histograms (``histograms``, ``exact_percentiles``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +15,19 @@ from pyspark.sql import functions as F
 
 from callgauge.functions.instants import truncate, utc_literal
 from callgauge.functions.joins import group_join
-from callgauge.functions.quantiles import STANDARD_PROBABILITIES, exact_quantiles
+from callgauge.functions.quantiles import (
+    STANDARD_PROBABILITIES,
+    bucket_counts,
+    exact_quantiles,
+    quantiles_of_counts,
+)
 from callgauge.plans.reports import MAX_DAYS, MAX_HOURS, MODEL_KEYS, SUCCESS
 from callgauge.sources.calls import MONTH, bounded, since
 
 KEYS = ("hour", "provider", "model", "status")
 SUMS = ("n", "input_tokens", "output_tokens", "total_latency_ms", "total_cost")
 SKETCHES = ("latency_sketch", "ttft_sketch")
+MEASURES = {"latency_ms": "latency_ms", "ttft_ms": "ttft_ms"}
 WINDOW_DAYS = 30
 # estimated percentiles are off by about 1.7 / SKETCH_SIZE of the ranks
 SKETCH_SIZE = 1600
@@ -57,8 +65,7 @@ def sums_by_hour(calls: DataFrame, with_sketches: bool = True) -> DataFrame:
 def by_hour(calls: DataFrame, with_sketches: bool = True) -> DataFrame:
     """Rollup rows of all given calls."""
     sums = sums_by_hour(calls, with_sketches)
-    measures = {"latency_ms": "latency_ms", "ttft_ms": "ttft_ms"}
-    quantiles = exact_quantiles(_with_hour(calls), KEYS, measures, null_keys=False)
+    quantiles = exact_quantiles(_with_hour(calls), KEYS, MEASURES, null_keys=False)
     quantiles = quantiles.drop("n_latency_ms", "n_ttft_ms")
     quantile_columns = [c for c in quantiles.columns if c not in KEYS]
     joined = group_join(sums, quantiles, KEYS, "left", null_keys=False)
@@ -73,6 +80,28 @@ def hourly(
     return by_hour(since(calls, as_of, 24 * days), with_sketches)
 
 
+def histograms(calls: DataFrame) -> DataFrame:
+    """Sparse histograms of latency and time to first token per rollup row, to be stored.
+
+    At most some thousand rows per hour and group however many calls it has; those of
+    several loads are simply kept side by side.
+    """
+    return bucket_counts(_with_hour(calls), KEYS, MEASURES)
+
+
+def exact_percentiles(
+    counts: DataFrame, calls: DataFrame, grain: str = "day", keys: Sequence[str] = KEYS[1:]
+) -> DataFrame:
+    """Exact percentiles at a coarser grain, from stored histograms and one scan.
+
+    ``counts`` are the histograms of exactly these calls; only values in the buckets that
+    hold a wanted rank are compared.
+    """
+    coarse = counts.withColumn(grain, truncate(grain, F.col("hour"))).drop("hour")
+    dated = calls.withColumn(grain, truncate(grain, F.col("created_at")))
+    return quantiles_of_counts(coarse, dated, (grain, *keys), MEASURES, null_keys=False)
+
+
 def reaggregate(rollup: DataFrame, grain: str = "day") -> DataFrame:
     """The rollup at a coarser grain.
 

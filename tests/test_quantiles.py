@@ -5,7 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from callgauge.functions.quantiles import approximate_quantiles, exact_quantiles
+from callgauge.functions.quantiles import (
+    approximate_quantiles,
+    bucket_counts,
+    exact_quantiles,
+    quantiles_of_counts,
+)
 from callgauge.plans import reports, rollup, tables
 
 GROUPS = {
@@ -65,3 +70,19 @@ def test_rollup_latency_estimates(spark, sf_dir):
             assert r.p50_latency == pytest.approx(exact[r.model].p50_latency, rel=0.25)
     approx = {r.model: r.n for r in reports.latency(calls, tables.AS_OF, 720, approx=True).collect()}
     assert approx == {m: r.n for m, r in exact.items()}
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_merged_histograms_give_the_same_quantiles(spark, broadcast_rows):
+    """Counts of finer groups and of parts of the rows, added up."""
+    rows = [(f"g{i % 3}", i % 7, None if i % 11 == 0 else float(i * i % 997)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, part int, x double")
+    fine = [
+        bucket_counts(df.where(f"part % 2 = {p}"), ["g", "part"], {"x": "x"}).drop("part")
+        for p in (0, 1)
+    ]
+    got = quantiles_of_counts(
+        fine[0].unionByName(fine[1]), df, ["g"], {"x": "x"}, broadcast_rows=broadcast_rows
+    )
+    want = exact_quantiles(df, ["g"], {"x": "x"})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
