@@ -340,6 +340,12 @@ WITH {FEED}
 SELECT origin_id, errors, 3 AS attempts FROM dead
 UNION ALL SELECT origin_id, 'id:duplicate', 3 FROM good WHERE copy = 1"""
 
+ORACLES["load_visible"] = f"""
+WITH {FEED}
+SELECT id AS place, 'call' AS kind FROM good WHERE copy = 0 AND event_id % 3 <> 1
+UNION ALL SELECT origin_id, errors FROM dead WHERE event_id % 3 <> 1
+UNION ALL SELECT origin_id, 'id:duplicate' FROM good WHERE copy = 1 AND event_id % 3 <> 1"""
+
 ORACLES["compacted_reload"] = f"""
 WITH {FEED}
 SELECT {STORED_ROW}, CASE WHEN event_id % 3 = 2 THEN 's' ELSE 'compacted' END AS load_stream,

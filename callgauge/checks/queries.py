@@ -971,6 +971,29 @@ def replay_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dead.select("origin_id", F.array_join("errors", ",").alias("errors"), "attempts")
 
 
+@query
+def load_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers see of calls and letters after a load that stopped between the two.
+
+    The second of three batches wrote its calls, but neither its letters nor its note.
+    """
+    root = scratch_path(spark, "visible")
+    calls, dead, noted = (f"{root}/{part}" for part in ("calls", "dead", "commits"))
+    feed = tables.feed(spark, sf_dir)
+    third = F.left("origin_id", F.lit(12)).cast("bigint") % 3
+    for batch in (0, 2, 2):  # a batch that is noted is left alone
+        live_load.load_batch(
+            feed.where(third == batch), batch, calls, dead, stream="s", commits_path=noted
+        )
+    live_load.load_batch(feed.where(third == 1), 1, calls, f"{root}/lost", stream="s")
+    done = call_table.commits(spark, noted)
+    seen = call_table.visible(call_table.read(spark, calls), done)
+    letters = call_table.visible(spark.read.parquet(dead), done)
+    return seen.select(F.col("id").alias("place"), F.lit("call").alias("kind")).unionByName(
+        letters.select(F.col("origin_id").alias("place"), F.array_join("errors", ",").alias("kind"))
+    )
+
+
 @query
 def compacted_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The call table after three batches, a copy of it, and the last batch once more."""

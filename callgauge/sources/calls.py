@@ -119,6 +119,46 @@ def replace_batch(rows: DataFrame, path: str, batch: int, stream: str) -> None:
     )
 
 
+_COMMITS = T.StructType(
+    [
+        T.StructField("committed", T.BooleanType(), True),
+        T.StructField(STREAM, T.StringType(), False),
+        T.StructField(BATCH, T.LongType(), False),
+    ]
+)
+
+
+def commit(spark: SparkSession, path: str, batch: int, stream: str) -> None:
+    """Note that all tables of a load batch are written; one row, one file."""
+    replace_batch(spark.range(1).select(F.lit(True).alias("committed")), path, batch, stream)
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """(load_stream, load_batch) of the batches that were noted."""
+    try:
+        return spark.read.schema(_COMMITS).parquet(path).where("committed").select(STREAM, BATCH)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _COMMITS).select(STREAM, BATCH)
+
+
+def is_committed(spark: SparkSession, path: str, batch: int, stream: str) -> bool:
+    own = (F.col(STREAM) == stream) & (F.col(BATCH) == batch)
+    return not commits(spark, path).where(own).isEmpty()
+
+
+def visible(rows: DataFrame, noted: DataFrame) -> DataFrame:
+    """Rows of a loaded table, calls or dead letters, whose batch is complete.
+
+    Take ``noted`` (``commits``) once for all tables of one report, so that they agree.
+    """
+    done = noted.unionByName(
+        noted.sparkSession.createDataFrame([(COMPACTED, 0)], noted.schema)
+    ).distinct()
+    return rows.join(done, [STREAM, BATCH], "left_semi").select(rows.columns)
+
+
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Copy the table at ``path`` to the fresh folder ``target`` with few files a month.
 

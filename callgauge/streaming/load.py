@@ -85,6 +85,7 @@ def load_batch(
     entities: Callable[[Column], Column] | None = None,
     isolate: int = MAX_ISOLATED,
     changes_path: str | None = None,
+    commits_path: str | None = None,
 ) -> None:
     """Validate, redact, de-duplicate and store one batch; the rest become dead letters.
 
@@ -94,8 +95,13 @@ def load_batch(
     ``entities`` finds entity spans in previews, see ``loading.to_calls``.
     When preparing the rows fails, up to ``isolate`` rows that are to blame become dead
     letters and the rest is loaded; 0 lets the batch fail. With ``changes_path`` the hours
-    of the batch are noted for ``plans.incremental``.
+    of the batch are noted for ``plans.incremental``. With ``commits_path`` a batch is noted
+    there once all its tables are written, and left alone when it comes again; readers that
+    take ``call_table.visible`` see all of a batch or nothing.
     """
+    spark = feed.sparkSession
+    if commits_path is not None and call_table.is_committed(spark, commits_path, batch, stream):
+        return
     if "attempts" not in feed.columns:
         feed = feed.withColumn("attempts", F.lit(0))
     checked = validation.check(feed).persist(StorageLevel.MEMORY_AND_DISK)
@@ -114,13 +120,15 @@ def load_batch(
         if first_month is not None:
             rows, outside = loading.route(rows, first_month, months)
             refused.append(outside)
-        stored = _stored(feed.sparkSession, calls_path, rows, key, stream, batch)
+        stored = _stored(spark, calls_path, rows, key, stream, batch)
         refused.append(loading.duplicates(rows, stored, key))
         call_table.append(loading.new_rows(rows, stored, key), calls_path, batch, stream)
         if changes_path is not None:
             incremental.log(rows, changes_path, batch, stream)
         letters = reduce(DataFrame.unionByName, refused)
         write_dead(letters, dead_path, batch, stream)
+        if commits_path is not None:
+            call_table.commit(spark, commits_path, batch, stream)
     finally:
         checked.unpersist()
 

@@ -215,3 +215,32 @@ def test_fresh_rollup_shows_open_hours_and_repeats_nothing(spark, tmp_path):
     assert sorted((r.hour, r.n) for r in again.collect()) == sorted((r.hour, r.n) for r in got.collect())
     daily = rollup.reaggregate(again).where(F.col("day") == F.lit(day)).first()
     assert (daily.n, daily.p50_latency_ms) == (2, 10.0)
+
+
+def test_readers_see_all_of_a_batch_or_nothing(spark, tmp_path, monkeypatch):
+    """A load that stops between its tables shows neither; once repeated, both."""
+    calls, dead, noted = (str(tmp_path / p) for p in ("calls", "dead", "commits"))
+    feed = tables.feed(spark, "/root/testdata/sf0.001").limit(60)
+    paths = {"stream": "s", "commits_path": noted}
+
+    def seen(path):
+        done = call_table.commits(spark, noted)
+        return call_table.visible(spark.read.parquet(path), done).count()
+
+    live.load_batch(feed.limit(20), 0, calls, dead, **paths)
+    before = seen(calls), seen(dead)
+    write = live.write_dead
+
+    def lost(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(live, "write_dead", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        live.load_batch(feed, 1, calls, dead, **paths)
+    assert (seen(calls), seen(dead)) == before
+    assert call_table.read(spark, calls).count() > before[0]
+    monkeypatch.setattr(live, "write_dead", write)
+    for _ in range(2):
+        live.load_batch(feed, 1, calls, dead, **paths)
+    assert seen(calls) == call_table.read(spark, calls).count()
+    assert seen(calls) + seen(dead) == 20 + 60
