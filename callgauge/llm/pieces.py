@@ -31,7 +31,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _PAIRS = 400_000  # pairs of pieces that a worker remembers
 _CACHE = 96 << 20  # bytes of words and their ids that a worker remembers
 _OVERHEAD = 200  # bytes that a remembered word takes besides
-_LONG = 64  # characters from which on a word is cut where it can be, and not remembered
+_LONG = 64  # characters from which on a word is cut where it can be
+_ALONE = 1024  # characters from which on a word is encoded on its own, and not remembered
 _CHUNK = 1 << 22  # characters encoded together
 _UNKNOWN_PENALTY = 10.0
 
@@ -124,19 +125,22 @@ class Model:
 
     def step_bpe(self, word: str, end: int, states: list) -> tuple[int | None, int]:
         """Last piece of the encoding of word[:end] and where it starts."""
-        ids, tails, follows, pair = self.ids, self.tails, self.follows, self.pair
-        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+        ids, tails, follows = self.ids, self.tails, self.follows
+        last = end - 1
+        for start in range(last, max(-1, last - self.longest), -1):
             text = word[start:end]
-            if text not in tails and end - start > 1:
-                break
             piece = ids.get(text)
             if piece is None:
-                if end - start > 1:
+                if start == last:
+                    piece = -1 - ord(text)
+                elif text in tails:
                     continue
-                piece = -1 - ord(text)
-            last = states[start][0]
-            fits = follows.get(pair(last, piece))
-            if fits or (fits is None and self.may_follow(last, piece)):
+                else:
+                    break
+            before = states[start][0]
+            # as ``pair``, which would take longer to call
+            fits = follows.get((0 if before is None else before + (1 << 22) << 23) + piece + (1 << 22))
+            if fits or (fits is None and self.may_follow(before, piece)):
                 return piece, start
         raise AssertionError("every prefix has an encoding")
 
@@ -177,7 +181,7 @@ class Model:
         states: list = [(None, 0, 0.0)]
         before, out = "", {}
         for word in sorted(words):
-            if len(word) >= _LONG:
+            if len(word) >= _ALONE:
                 out[word] = self.encode_long(word)
                 continue
             shared, most = 0, min(len(word), len(before))
@@ -292,7 +296,7 @@ class Words:
     def bound(self, added: Iterable[str]) -> None:
         """Forget long words of those just added, and everything when there is too much."""
         for word in added:
-            if len(word) >= _LONG:
+            if len(word) >= _ALONE:
                 del self.ids[word]
             else:
                 # a text of wide characters takes four bytes each
@@ -337,17 +341,49 @@ def encoder(spark: SparkSession, model: bytes):
         for batch in batches:
             # ids outweigh their text, so a batch of texts may become several of ids
             for texts in _chunks(batch):
-                found = here.model.encode_batch(texts, here.known)
-                missing = np.array([x is None for x in found], dtype=bool)
-                ends = np.cumsum([0, *(len(x or b"") // 4 for x in found)])
-                ids = pa.array(np.frombuffer(b"".join(x or b"" for x in found), dtype=np.int32))
-                yield pa.ListArray.from_arrays(
-                    pa.array(ends, type=pa.int32()), ids, mask=pa.array(missing)
-                )
+                yield _listed(here.model.encode_batch(texts, here.known))
 
     return encode
 
 
+def round_trips(docs: DataFrame, model: bytes, *, id_col: str, text_col: str) -> DataFrame:
+    """(id, ids, same): every text's ids, and whether they decode to it; null does to null.
+
+    Encodes and decodes where the text lies, so ids are not sent back for it, some million
+    characters at a time.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(model))
+    kind = docs.schema[id_col].dataType
+    names = ["id", "ids", "same"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = shared.value
+        for batch in batches:
+            done = 0
+            for texts in _chunks(batch.column(1)):
+                found = here.model.encode_batch(texts, here.known)
+                rows = batch.column(0).slice(done, len(texts))
+                done += len(texts)
+                same = [
+                    t is None or here.model.decode(np.frombuffer(x, np.int32)) == t
+                    for t, x in zip(texts, found, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([rows, _listed(found), pa.array(same)], names=names)
+
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return chosen.mapInArrow(run, f"id {kind.simpleString()}, ids array<int>, same boolean")
+
+
+def _listed(found: list[bytes | None]) -> pa.Array:
+    """Ids given as 32-bit numbers, as lists."""
+    ends = np.cumsum([0, *(len(x or b"") // 4 for x in found)])
+    return pa.ListArray.from_arrays(
+        pa.array(ends, type=pa.int32()),
+        pa.array(np.frombuffer(b"".join(x or b"" for x in found), dtype=np.int32)),
+        mask=pa.array(np.array([x is None for x in found], dtype=bool)),
+    )
+
+
 def decoder(spark: SparkSession, model: bytes):
     """A function from a column of piece ids to a text column."""
     shared = spark.sparkContext.broadcast(Shared(model))

@@ -156,13 +156,11 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = pieces.read_model(spark, MODEL_PATH)
-    encode, decode = pieces.encoder(spark, model), pieces.decoder(spark, model)
-    encoded = docs.select("doc_id", "text", encode("text").alias("ids"))
-    return encoded.select(
-        "doc_id",
+    return pieces.round_trips(docs, model, id_col="doc_id", text_col="text").select(
+        F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_pieces"),
         "ids",
-        decode("ids").eqNullSafe(F.col("text")).alias("round_trip"),
+        F.col("same").alias("round_trip"),
     )
 
 

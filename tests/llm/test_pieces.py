@@ -173,7 +173,7 @@ def test_what_a_worker_remembers_is_bounded(data, monkeypatch):
         assert [None if g is None else np.frombuffer(g, np.int32).tolist() for g in got] == [
             None if t is None else library.encode(t) for t in texts
         ]
-        assert all(len(w) < pieces._LONG for w in known.ids)
+        assert all(len(w) < pieces._ALONE for w in known.ids)
         assert known.size <= 100_000
         assert known.size == sum(pieces._OVERHEAD + 4 * len(w) + len(i) for w, i in known.ids.items())
 
@@ -186,3 +186,15 @@ def test_a_million_characters_without_a_space(data):
     tracemalloc.stop()
     assert model.decode(np.frombuffer(got[0], np.int32)) == "ab1" * 330_000
     assert peak < 150 << 20 and all(len(w) < 4 for w in known.ids)
+
+
+def test_round_trips_equal_encoding_and_decoding(spark, data):
+    rows = [(1, None), (None, ""), (3, "a b"), (3, "a b"), (4, "▁"), (5, "漢字 " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("x"))
+    encode, decode = pieces.encoder(spark, data), pieces.decoder(spark, data)
+    want = df.select("doc_id", encode("text").alias("i"), "text").select(
+        "doc_id", "i", decode("i").eqNullSafe(F.col("text"))
+    )
+    got = pieces.round_trips(df, data, id_col="doc_id", text_col="text")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert pieces.round_trips(df.limit(0), data, id_col="doc_id", text_col="text").collect() == []
