@@ -84,7 +84,7 @@ def _without_unseen(text: Column) -> Column:
     """
     kinds = [*((rf"(?i)<(?={e}\b)", f"</{e}>") for e in UNSEEN), ("<(?=!--)", "-->")]
     starts = rf"(?i)<(?:!--|(?:{'|'.join(UNSEEN)})\b)"
-    unseen = "|".join([*(rf"<{e}\b.*?</{e}>" for e in UNSEEN), "<!--.*?-->"])
+    unseen = "(?is)" + "|".join([*(rf"<{e}\b.*?</{e}>" for e in UNSEEN), "<!--.*?-->"])
 
     def hide(start: str, end: str) -> Callable[[Column], Column]:
         return lambda t: _cut(
@@ -94,8 +94,9 @@ def _without_unseen(text: Column) -> Column:
     hidden = text
     for kind in kinds:
         hidden = _named(hidden, hide(*kind))
-    shown = F.when(F.regexp_count(text, F.lit(starts)) <= _FEW, text).otherwise(hidden)
-    return F.translate(F.regexp_replace(shown, f"(?is){unseen}", " "), _HIDDEN, "<")
+    return F.when(
+        F.regexp_count(text, F.lit(starts)) <= _FEW, F.regexp_replace(text, unseen, " ")
+    ).otherwise(F.translate(F.regexp_replace(hidden, unseen, " "), _HIDDEN, "<"))
 
 
 def html_lines(html: str | Column) -> Column:
