@@ -352,6 +352,16 @@ SELECT {STORED_ROW}, CASE WHEN event_id % 3 = 2 THEN 's' ELSE 'compacted' END AS
        CASE WHEN event_id % 3 = 2 THEN 2 ELSE 0 END AS load_batch
 FROM good WHERE copy = 0"""
 
+ORACLES["load_indexed"] = f"""
+WITH {FEED}
+SELECT id AS place, 'call' AS kind, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS batch
+FROM good WHERE copy = 0
+UNION ALL SELECT origin_id, errors, b FROM dead, range(2) r(b) WHERE b = 1 OR event_id % 3 = 0
+UNION ALL SELECT origin_id, 'id:duplicate', b FROM good, range(2) r(b)
+WHERE CASE WHEN b = 1 THEN copy = 1 OR event_id % 3 = 0 ELSE copy = 1 AND event_id % 3 = 0 END"""
+
+ORACLES["call_lookup_indexed"] = ORACLES["call_lookup"]
+
 ORACLES["stream_dead"] = f"""
 WITH {FEED}
 SELECT origin_id, errors, 1 AS attempts FROM dead

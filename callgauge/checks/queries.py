@@ -31,7 +31,7 @@ from callgauge.plans import sessions as session_shares
 from callgauge.schema import CALL_COLUMNS
 from callgauge.session import scratch_path
 from callgauge.sources import calls as call_table
-from callgauge.sources import catalogs, keyed, snapshots
+from callgauge.sources import catalogs, id_index, keyed, snapshots
 from callgauge.sources import feed as feeds
 from callgauge.streaming import assembly as live_assembly
 from callgauge.streaming import closing, late
@@ -1013,6 +1013,44 @@ def compacted_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select(*CALL_COLUMNS, call_table.STREAM, call_table.BATCH)
 
 
+@query
+def load_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored calls, and letters by their batch, of a load that asks the id index.
+
+    The second batch is the whole feed, so it meets all of the first one's ids again; then
+    it is repeated.
+    """
+    root = scratch_path(spark, "indexed")
+    index = id_index.Index(f"{root}/index")
+    feed = tables.feed(spark, sf_dir)
+    third = F.left("origin_id", F.lit(12)).cast("bigint") % 3
+    for batch, rows in ((0, feed.where(third == 0)), (1, feed), (1, feed)):
+        live_load.load_batch(
+            rows, batch, f"{root}/calls", f"{root}/dead", ("id",), stream="s", index=index
+        )
+    number = F.col(call_table.BATCH).cast("bigint").alias("batch")
+    stored = call_table.read(spark, f"{root}/calls").select(
+        F.col("id").alias("place"), F.lit("call").alias("kind"), number
+    )
+    letters = spark.read.parquet(f"{root}/dead")
+    return stored.union(letters.select("origin_id", F.array_join("errors", ","), number))
+
+
+@query
+def call_lookup_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``call_lookup`` on a stored table, by way of an index built afterwards and compacted."""
+    root = scratch_path(spark, "lookup")
+    calls = tables.calls(spark, sf_dir)
+    for batch in range(2):
+        half = F.pmod(F.xxhash64("id"), F.lit(2)) == batch
+        call_table.append(calls.where(half), f"{root}/calls", batch, "s")
+    built = id_index.Index(f"{root}/built", buckets=16)
+    id_index.build(spark, f"{root}/calls", built)
+    compacted = id_index.compact(spark, built, f"{root}/compacted")
+    found = id_index.lookup(spark, f"{root}/calls", compacted, CALL)
+    return call_table.project(found, "id", "provider", "model", "status", "created_at")
+
+
 @query
 def stream_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dead-letter table after the feed was loaded as a stream."""

@@ -30,6 +30,7 @@ from callgauge.plans import incremental
 from callgauge.schema import MAX_LOAD_ATTEMPTS
 from callgauge.session import materialize
 from callgauge.sources import calls as call_table
+from callgauge.sources import id_index
 from callgauge.sources.calls import BATCH, MONTH, STREAM
 
 # more distinct months than this in one batch: compare with the whole table instead
@@ -86,6 +87,7 @@ def load_batch(
     isolate: int = MAX_ISOLATED,
     changes_path: str | None = None,
     commits_path: str | None = None,
+    index: id_index.Index | None = None,
 ) -> None:
     """Validate, redact, de-duplicate and store one batch; the rest become dead letters.
 
@@ -97,7 +99,9 @@ def load_batch(
     letters and the rest is loaded; 0 lets the batch fail. With ``changes_path`` the hours
     of the batch are noted for ``plans.incremental``. With ``commits_path`` a batch is noted
     there once all its tables are written, and left alone when it comes again; readers that
-    take ``call_table.visible`` see all of a batch or nothing.
+    take ``call_table.visible`` see all of a batch or nothing. With ``index`` the ids the batch
+    stores are added to it, and a key without the instant is compared with the index instead
+    of all months of the table; an index that starts later is made by ``id_index.build``.
     """
     spark = feed.sparkSession
     if commits_path is not None and call_table.is_committed(spark, commits_path, batch, stream):
@@ -120,9 +124,15 @@ def load_batch(
         if first_month is not None:
             rows, outside = loading.route(rows, first_month, months)
             refused.append(outside)
-        stored = _stored(spark, calls_path, rows, key, stream, batch)
+        if index is not None and "created_at" not in key:
+            stored = id_index.stored(rows, index, batch, stream)
+        else:
+            stored = _stored(spark, calls_path, rows, key, stream, batch)
         refused.append(loading.duplicates(rows, stored, key))
-        call_table.append(loading.new_rows(rows, stored, key), calls_path, batch, stream)
+        fresh = loading.new_rows(rows, stored, key)
+        if index is not None:
+            id_index.add(fresh, index, batch, stream)
+        call_table.append(fresh, calls_path, batch, stream)
         if changes_path is not None:
             incremental.log(rows, changes_path, batch, stream)
         letters = reduce(DataFrame.unionByName, refused)
