@@ -3,12 +3,13 @@
 Vectors are quantised to integers. The index cuts them into blocks of neighbouring ids and
 keeps, per block, a forward index (its vectors) and the largest and smallest value of every
 component. A query's products with those extremes add up to a bound that no vector of the
-block exceeds. A task takes one run of blocks and one group of queries: each query visits
-its blocks in the order of their bounds and stops where the bound falls below its k-th best
-score so far, so skipped blocks cannot change the result.
+block exceeds. A task holds one run of blocks and lets the queries stream past it in groups:
+each query visits the run's blocks in the order of their bounds and stops where the bound falls
+below its k-th best score so far, so skipped blocks cannot change the result.
 
-Runs and groups have a fixed size, and every run meets every group once; that is the stated
-query set against all rows, in blocks.
+Every block moves once, every query once per run: that is the stated query set against all
+rows, in blocks. Runs and groups have a greatest size, which bounds the memory of a task;
+components move in the narrowest integer type that holds them.
 
 Defined results: vectors that are null or hold nulls, NaN or infinities take no part, nor do
 rows without an id; of rows that repeat an id the largest vector (by its components) stands
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgauge.llm.common import stored
+from callgauge.session import broadcast_if_small
 
 SCALE = 64
 K = 20
 BLOCK = 512
-RUN = 16  # blocks per task
-GROUP = 1024  # queries per task
+RUN = 64  # most blocks held at a time
+GROUP = 1024  # queries searched at a time
+TASKS = 10_000  # most tasks; with more runs a task takes several in turn
 
 
 def quantised(vector: str | Column, scale: int = SCALE) -> Column:
@@ -45,13 +48,20 @@ _PACK = pa.schema(
     [
         ("dim", pa.int32()),
         ("n", pa.int32()),
+        ("width", pa.int32()),
         ("ids", pa.binary()),
         ("vectors", pa.binary()),
         ("high", pa.binary()),
         ("low", pa.binary()),
     ]
 )
-_PACK_SQL = "dim int, n int, ids binary, vectors binary, high binary, low binary"
+_PACK_SQL = "dim int, n int, width int, ids binary, vectors binary, high binary, low binary"
+
+
+def _width(values: np.ndarray) -> int:
+    """Bytes of the narrowest integer type that holds all values."""
+    low, high = values.min(initial=0), values.max(initial=0)
+    return next(w for w in (2, 4, 8) if np.iinfo(f"i{w}").min <= low and high <= np.iinfo(f"i{w}").max)
 
 
 def _pack(rows: int):
@@ -66,14 +76,16 @@ def _pack(rows: int):
             vectors = np.concatenate([v for _, _, v in held]).reshape(len(ids), dim)
             high = vectors.max(axis=0) if dim else vectors[0]
             low = vectors.min(axis=0) if dim else vectors[0]
+            width = _width(vectors)
             return pa.RecordBatch.from_pydict(
                 {
                     "dim": [dim],
                     "n": [len(ids)],
+                    "width": [width],
                     "ids": [ids.astype("<i8").tobytes()],
-                    "vectors": [vectors.astype("<i8").tobytes()],
-                    "high": [high.astype("<i8").tobytes()],
-                    "low": [low.astype("<i8").tobytes()],
+                    "vectors": [vectors.astype(f"<i{width}").tobytes()],
+                    "high": [high.astype(f"<i{width}").tobytes()],
+                    "low": [low.astype(f"<i{width}").tobytes()],
                 },
                 schema=_PACK,
             )
@@ -99,9 +111,7 @@ def _pack(rows: int):
     return run
 
 
-def _packed(vectors: DataFrame, rows: int, per_part: int, label: str) -> DataFrame:
-    n = vectors.count()
-    parts = max(1, -(-n // per_part))
+def _packed(vectors: DataFrame, rows: int, parts: int, label: str) -> DataFrame:
     return stored(
         vectors.repartitionByRange(parts, "dim", "id")
         .sortWithinPartitions("dim", "id")
@@ -112,10 +122,6 @@ def _packed(vectors: DataFrame, rows: int, per_part: int, label: str) -> DataFra
     )
 
 
-def _ints(data: bytes, columns: int) -> np.ndarray:
-    return np.frombuffer(data, "<i8").reshape(-1, columns)
-
-
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products of the rows of two matrices."""
     peak = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
@@ -184,31 +190,35 @@ def search_run(
     return who, score, ids, scored
 
 
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _unpacked(pack: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    kind = f"<i{pack['width']}"
+    vectors, high, low = (
+        np.frombuffer(pack[c], kind).astype(np.int64) for c in ("vectors", "high", "low")
+    )
+    return np.frombuffer(pack["ids"], "<i8"), vectors.reshape(pack["n"], pack["dim"]), high, low
+
+
 def _search(k: int):
-    def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = {"query_id": [], "vec_id": [], "score": []}
-        parts = []
-        if blocks.num_rows and queries.num_rows:
-            dim = blocks["dim"][0].as_py()
-            index = [
-                (
-                    np.frombuffer(r["ids"], "<i8"),
-                    np.frombuffer(r["vectors"], "<i8").reshape(r["n"], dim),
-                    np.frombuffer(r["high"], "<i8"),
-                    np.frombuffer(r["low"], "<i8"),
-                )
-                for r in blocks.to_pylist()
-            ]
-            for r in queries.to_pylist():
-                query_ids = np.frombuffer(r["ids"], "<i8")
-                vectors = np.frombuffer(r["vectors"], "<i8").reshape(r["n"], dim)
-                who, score, ids, _ = search_run(index, query_ids, vectors, k)
-                parts.append({"query_id": query_ids[who], "vec_id": ids, "score": score})
-        joined = {
-            c: np.concatenate([p[c] for p in parts]) if parts else np.empty(0, np.int64)
-            for c in empty
-        }
-        return pa.table({c: pa.array(v, type=pa.int64()) for c, v in joined.items()})
+    """Packs sorted by (part, dim, asks): a run's blocks, then the queries that pass it."""
+
+    def run(batches):
+        place, blocks = None, []
+        for batch in batches:
+            for n in range(batch.num_rows):
+                pack = batch.slice(n, 1).to_pylist()[0]
+                if (pack["part"], pack["dim"]) != place:
+                    place, blocks = (pack["part"], pack["dim"]), []
+                if not pack["asks"]:
+                    blocks.append(_unpacked(pack))
+                elif blocks:
+                    query_ids, vectors, _, _ = _unpacked(pack)
+                    who, score, ids, _ = search_run(blocks, query_ids, vectors, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v) for v in (query_ids[who], ids, score)], schema=_FOUND
+                    )
 
     return run
 
@@ -238,21 +248,25 @@ def search(
         .withColumn("dim", F.size("vec"))
     )
     rows = stored(rows, "vectors")
-    index = _packed(rows, block, block * run, "blocks")
-    asked = _packed(rows.filter("asks"), group, group, "queries")
-    runs, groups = (
-        x.agg(F.coalesce(F.max("part"), F.lit(-1)).alias("n")).first()["n"] + 1
-        for x in (index, asked)
-    )
-    left = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max(groups - 1, 0)))))
-    right = asked.withColumnRenamed("part", "turn").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(max(runs - 1, 0))))
-    )
-    found = (
-        left.groupBy("dim", "part", "turn")
-        .cogroup(right.groupBy("dim", "part", "turn"))
-        .applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    n = rows.count()
+    # as many runs as cores where there are blocks enough
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    runs = max(1, -(-n // (block * run)), min(-(-n // block), cores))
+    index = _packed(rows, block, runs, "blocks")
+    queries = rows.filter("asks")
+    asked = _packed(queries, group, max(1, -(-queries.count() // group)), "queries")
+    # ranges of (dim, id): the runs that hold a dimension are neighbours
+    held = index.groupBy("dim").agg(F.min("part").alias("first"), F.max("part").alias("last"))
+    passing = asked.drop("part").join(broadcast_if_small(held), "dim")
+    passing = passing.withColumn("part", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    tasks = min(runs, TASKS)
+    packs = (
+        index.withColumn("asks", F.lit(False))
+        .unionByName(passing.withColumn("asks", F.lit(True)))
+        .repartitionById(tasks, F.pmod("part", F.lit(tasks)))
+        .sortWithinPartitions("part", "dim", "asks")
     )
+    found = packs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))

@@ -75,6 +75,30 @@ def test_odd_rows(spark):
     assert found(spark, [(1, [1.0])], k=4) == []
 
 
+@pytest.mark.parametrize(("size", "peak"), [(2.0**7, 1.0), (2.0**20, 1.0), (2.0**7, 2.0**34)])
+def test_widths(spark, size, peak):
+    """Components of two, four and eight bytes, several lengths side by side."""
+    rows = [(i, [x * size for x in v]) for i, v in vectors(50, 4)]
+    rows += [(100 + i, v[: 1 + i % 3]) for i, v in vectors(60, 4, 5)] + [(201, [peak, 0.0, 0.0, 0.0])]
+    assert found(spark, rows, k=3, block=4, run=2, group=3) == brute(rows, 3)
+
+
+def test_narrowest_width():
+    limits = {2: (-(2**15), 2**15 - 1), 4: (-(2**15) - 1, 2**15), 8: (-(2**31) - 1, 2**31)}
+    for width, values in limits.items():
+        assert all(topk._width(np.array([0, v])) == width for v in values)
+
+
+def test_blocks_move_once(spark, monkeypatch):
+    """Of a plan with many groups and runs, only the query packs are copied."""
+    monkeypatch.setattr(topk, "TASKS", 3)
+    rows = vectors(400, 4)
+    assert found(spark, rows, k=3, block=8, run=1, group=2) == brute(rows, 3)
+    df = topk.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=3, block=8)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "CoGroup" not in plan
+
+
 def test_fewer_than_k(spark):
     rows = vectors(5, 2)
     assert found(spark, rows) == brute(rows, 20)
