@@ -253,6 +253,10 @@ def search(
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     runs = max(1, -(-n // (block * run)), min(-(-n // block), cores))
     index = _packed(rows, block, runs, "blocks")
+    # a run gives k rows per query, so their number follows the rows, not the partitions
+    parts = index.agg(F.coalesce(F.max("part"), F.lit(0)).alias("last")).first()["last"] + 1
+    if parts > runs:
+        index = index.withColumn("part", F.expr(f"int(part * {runs}L div {parts})"))
     queries = rows.filter("asks")
     asked = _packed(queries, group, max(1, -(-queries.count() // group)), "queries")
     # ranges of (dim, id): the runs that hold a dimension are neighbours
