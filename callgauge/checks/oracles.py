@@ -352,6 +352,13 @@ SELECT {STORED_ROW}, CASE WHEN event_id % 3 = 2 THEN 's' ELSE 'compacted' END AS
        CASE WHEN event_id % 3 = 2 THEN 2 ELSE 0 END AS load_batch
 FROM good WHERE copy = 0"""
 
+ORACLES["compacted_clustered"] = f"""
+WITH {CALLS}
+SELECT id, session_id, model, created_at, status, latency_ms,
+       CASE WHEN event_id % 3 = 2 THEN 's' ELSE 'compacted' END AS load_stream,
+       CASE WHEN event_id % 3 = 2 THEN 2 ELSE 0 END AS load_batch
+FROM calls"""
+
 ORACLES["load_indexed"] = f"""
 WITH {FEED}
 SELECT id AS place, 'call' AS kind, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS batch

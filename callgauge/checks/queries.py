@@ -1013,6 +1013,20 @@ def compacted_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select(*CALL_COLUMNS, call_table.STREAM, call_table.BATCH)
 
 
+@query
+def compacted_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table copied in Z-order, with whose rows they are."""
+    root = scratch_path(spark, "clustered")
+    calls = tables.calls(spark, sf_dir)
+    number = F.right("id", F.lit(12)).cast("bigint")
+    for batch in range(3):
+        call_table.append(calls.where(number % 3 == batch), f"{root}/calls", batch, "s")
+    call_table.compact(spark, f"{root}/calls", f"{root}/copy", call_table.CLUSTER_BY)
+    copy = call_table.read(spark, f"{root}/copy")
+    columns = ("id", "session_id", "model", "created_at", "status", "latency_ms")
+    return copy.select(*columns, call_table.STREAM, call_table.BATCH)
+
+
 @query
 def load_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored calls, and letters by their batch, of a load that asks the id index.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime
 from functools import reduce
 
@@ -12,12 +13,15 @@ from pyspark.sql import types as T
 
 from callgauge.functions.instants import date_literal, month_of, utc_literal
 from callgauge.schema import CALL_COLUMNS, CALLS_SCHEMA
+from callgauge.sources.layout import z_key
 
 MONTH = "created_month"
 STREAM = "load_stream"
 BATCH = "load_batch"
 # the stream that settled batches belong to after ``compact``
 COMPACTED = "compacted"
+# what reports filter by: time, model, session
+CLUSTER_BY = ("created_at", "model", "session_id")
 STORED_SCHEMA = T.StructType(
     [
         *CALLS_SCHEMA.fields,
@@ -159,7 +163,9 @@ def visible(rows: DataFrame, noted: DataFrame) -> DataFrame:
     return rows.join(done, [STREAM, BATCH], "left_semi").select(rows.columns)
 
 
-def compact(spark: SparkSession, path: str, target: str) -> None:
+def compact(
+    spark: SparkSession, path: str, target: str, cluster_by: Sequence[str] = (), **options: str
+) -> None:
     """Copy the table at ``path`` to the fresh folder ``target`` with few files a month.
 
     Adaptive execution sizes the files (``advisoryPartitionSizeInBytes``) and splits
@@ -169,6 +175,11 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     still repeat it; older ones are settled and become one. Streams then go on with
     ``target`` under their old checkpoints. The source stays as it is, so a copy that
     fails is thrown away and made again.
+
+    Files are sorted by (provider, model, created_at). With ``cluster_by``, such as
+    ``CLUSTER_BY``, months are cut into files by a Z-order key of these columns instead, so
+    that a filter on any of them skips files and row groups. ``options`` go to the Parquet
+    writer, for instance ``parquet.block.size`` for smaller row groups.
     """
     stored = read(spark, path)
     newest = stored.groupBy(STREAM).agg(F.max(BATCH).alias("_newest"))
@@ -179,10 +190,17 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
         F.when(settled, F.lit(COMPACTED)).otherwise(F.col(STREAM)).alias(STREAM),
         F.when(settled, F.lit(0)).otherwise(F.col(BATCH)).cast("bigint").alias(BATCH),
     )
+    if cluster_by:
+        keyed = named.withColumn("_z", z_key(stored, cluster_by))
+        order = [MONTH, STREAM, BATCH, "_z"]
+        dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_z")
+    else:
+        dealt = named.hint("rebalance", MONTH, STREAM, BATCH).sortWithinPartitions(
+            MONTH, STREAM, BATCH, "provider", "model", "created_at"
+        )
     (
-        named.hint("rebalance", MONTH, STREAM, BATCH)
-        .sortWithinPartitions(MONTH, STREAM, BATCH, "provider", "model", "created_at")
-        .write.mode("errorifexists")
+        dealt.write.mode("errorifexists")
+        .options(**options)
         .option("parquet.bloom.filter.enabled#id", "true")
         .partitionBy(MONTH, STREAM, BATCH)
         .parquet(target)
