@@ -22,6 +22,7 @@ from callgauge.functions.quantiles import (
     quantiles_of_counts,
 )
 from callgauge.plans.reports import MAX_DAYS, MAX_HOURS, MODEL_KEYS, SUCCESS
+from callgauge.session import materialize
 from callgauge.sources.calls import MONTH, bounded, since
 
 KEYS = ("hour", "provider", "model", "status")
@@ -139,6 +140,7 @@ def save(
         "day", F.col("hour").cast("date")
     )
     if first is not None:
+        rows = materialize(rows)  # its days are asked for, then it is written
         span = F.sequence(first.cast("date"), utc_literal(as_of).cast("date"))
         days = rollup.sparkSession.range(1).select(F.explode(span).alias("day"))
         empty = days.join(rows.select("day").distinct(), "day", "left_anti")
