@@ -135,6 +135,7 @@ def add(rows: DataFrame, index: Index, batch: int, stream: str) -> None:
         F.lit(stream).alias(STREAM),
         F.lit(batch).cast("bigint").alias(BATCH),
     )
+    owned = materialize(owned)  # finding new rows is the dear part; both writes use them
     _store(_filter_of(index, owned), index.path(FILTER), WORD)
     _store(owned, index.path(IDS), "id")
 
