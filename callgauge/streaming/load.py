@@ -208,7 +208,9 @@ def _failure(attempt: Callable[[DataFrame], None], part: DataFrame) -> Exception
 def write_dead(letters: DataFrame, path: str, batch: int, stream: str) -> None:
     """Store a batch's dead letters, with one more attempt on their count."""
     (
-        letters.withColumn("attempts", F.col("attempts") + 1)
+        # few files, however many tasks the letters come from
+        letters.hint("rebalance")
+        .withColumn("attempts", F.col("attempts") + 1)
         .withColumn(STREAM, F.lit(stream))
         .withColumn(BATCH, F.lit(batch).cast("bigint"))
         .write.mode("overwrite")

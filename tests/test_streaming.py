@@ -331,6 +331,23 @@ def test_a_batch_that_fails_as_a_whole_fails(spark, tmp_path):
     assert not (tmp_path / "calls").exists()
 
 
+def test_the_feed_of_one_file_is_dealt_to_several_tasks(spark, sf_dir):
+    """Reading it is little work, checking it is not; the letters are few files all the same."""
+    feed = tables.feed(spark, sf_dir)
+    assert feed.select(F.spark_partition_id()).distinct().count() > 4
+    streamed = tables.feed_of(tables.table_stream(spark, sf_dir, "events"))
+    assert "RepartitionByExpression" in streamed._jdf.queryExecution().analyzed().toString()
+
+
+def test_letters_of_many_tasks_are_few_files(spark, tmp_path):
+    letters = validation.dead(validation.check(spark.createDataFrame(
+        [_row(i, None) for i in range(40)], FEED_SCHEMA
+    ).repartition(20).withColumn("attempts", F.lit(0))))
+    live.write_dead(letters, str(tmp_path / "dead"), 0, "s")
+    assert len(list((tmp_path / "dead").rglob("*.parquet"))) <= 4
+    assert spark.read.parquet(str(tmp_path / "dead")).count() == 40
+
+
 def test_transient_failures_are_no_letters(spark, tmp_path):
     """A row that fails once and then succeeds is loaded, by either way."""
     seen = tmp_path / "seen"
