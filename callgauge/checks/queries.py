@@ -998,11 +998,11 @@ def load_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compacted_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The call table after three batches, a copy of it, and the last batch once more."""
     root = scratch_path(spark, "compact")
-    feed = tables.feed(spark, sf_dir)
-    third = F.left("origin_id", F.lit(12)).cast("bigint") % 3
+    events = tables.table(spark, sf_dir, "events")
 
     def load(batch: int, path: str) -> None:
-        rows = feed.where(third == batch)
+        # the number an origin id starts with is its event's
+        rows = tables.feed_of(events.where(F.col("event_id") % 3 == batch))
         live_load.load_batch(rows, batch, path, f"{root}/dead", stream="s")
 
     for batch in range(3):

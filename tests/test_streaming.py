@@ -348,6 +348,14 @@ def test_letters_of_many_tasks_are_few_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "dead")).count() == 40
 
 
+def test_parts_of_the_events_give_parts_of_the_feed(spark, sf_dir):
+    events = tables.table(spark, sf_dir, "events")
+    third = F.left("origin_id", F.lit(12)).cast("bigint") % 3
+    part = tables.feed_of(events.where(F.col("event_id") % 3 == 1))
+    whole = tables.feed(spark, sf_dir).where(third == 1)
+    assert part.count() == whole.count() > 0 and part.exceptAll(whole).isEmpty()
+
+
 def test_transient_failures_are_no_letters(spark, tmp_path):
     """A row that fails once and then succeeds is loaded, by either way."""
     seen = tmp_path / "seen"
