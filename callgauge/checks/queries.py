@@ -1036,9 +1036,11 @@ def load_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     root = scratch_path(spark, "indexed")
     index = id_index.Index(f"{root}/index")
-    feed = tables.feed(spark, sf_dir)
-    third = F.left("origin_id", F.lit(12)).cast("bigint") % 3
-    for batch, rows in ((0, feed.where(third == 0)), (1, feed), (1, feed)):
+    events = tables.table(spark, sf_dir, "events")
+    feed = tables.feed_of(events)
+    # the number an origin id starts with is its event's
+    third = tables.feed_of(events.where(F.col("event_id") % 3 == 0))
+    for batch, rows in ((0, third), (1, feed), (1, feed)):
         live_load.load_batch(
             rows, batch, f"{root}/calls", f"{root}/dead", ("id",), stream="s", index=index
         )
