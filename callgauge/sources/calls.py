@@ -163,6 +163,18 @@ def visible(rows: DataFrame, noted: DataFrame) -> DataFrame:
     return rows.join(done, [STREAM, BATCH], "left_semi").select(rows.columns)
 
 
+def settled(stored: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and the owner of stored rows; all but a stream's newest batch become one."""
+    newest = stored.groupBy(STREAM).agg(F.max(BATCH).alias("_newest"))
+    older = F.col(BATCH) < F.col("_newest")
+    # one row a stream; joined by shuffle, all rows of a stream would meet in one task
+    return stored.join(F.broadcast(newest), STREAM).select(
+        *columns,
+        F.when(older, F.lit(COMPACTED)).otherwise(F.col(STREAM)).alias(STREAM),
+        F.when(older, F.lit(0)).otherwise(F.col(BATCH)).cast("bigint").alias(BATCH),
+    )
+
+
 def compact(
     spark: SparkSession, path: str, target: str, cluster_by: Sequence[str] = (), **options: str
 ) -> None:
@@ -182,17 +194,11 @@ def compact(
     writer, for instance ``parquet.block.size`` for smaller row groups.
     """
     stored = read(spark, path)
-    newest = stored.groupBy(STREAM).agg(F.max(BATCH).alias("_newest"))
-    settled = F.col(BATCH) < F.col("_newest")
-    named = stored.join(newest, STREAM).select(
-        *CALL_COLUMNS,
-        MONTH,
-        F.when(settled, F.lit(COMPACTED)).otherwise(F.col(STREAM)).alias(STREAM),
-        F.when(settled, F.lit(0)).otherwise(F.col(BATCH)).cast("bigint").alias(BATCH),
-    )
+    named = settled(stored, *CALL_COLUMNS, MONTH)
     if cluster_by:
         keyed = named.withColumn("_z", z_key(stored, cluster_by))
-        order = [MONTH, STREAM, BATCH, "_z"]
+        # the id cuts places that hold many rows
+        order = [MONTH, STREAM, BATCH, "_z", "id"]
         dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_z")
     else:
         dealt = named.hint("rebalance", MONTH, STREAM, BATCH).sortWithinPartitions(

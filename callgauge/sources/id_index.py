@@ -221,15 +221,7 @@ def compact(spark: SparkSession, index: Index, target: str) -> Index:
     held = _read(spark, index, IDS, None)
     if held is None:
         return copy
-    newest = held.groupBy(STREAM).agg(F.max(BATCH).alias("_newest"))
-    settled = F.col(BATCH) < F.col("_newest")
-    owned = held.join(newest, STREAM).select(
-        "id",
-        "created_at",
-        BUCKET,
-        F.when(settled, F.lit(call_table.COMPACTED)).otherwise(F.col(STREAM)).alias(STREAM),
-        F.when(settled, F.lit(0)).otherwise(F.col(BATCH)).cast("bigint").alias(BATCH),
-    )
+    owned = call_table.settled(held, "id", "created_at", BUCKET)
     _store(_filter_of(copy, owned), copy.path(FILTER), WORD, "errorifexists")
     _store(owned, copy.path(IDS), "id", "errorifexists")
     return copy

@@ -95,3 +95,34 @@ def test_key_takes_bits_in_turn(spark):
     keys = df.select("x", "y", layout.z_key(df, ["x", "y"], bits=2).alias("z")).collect()
     want = {(x, y): (x & 1) | (y & 1) << 1 | (x & 2) << 1 | (y & 2) << 2 for x in range(4) for y in range(4)}
     assert {(r.x, r.y): r.z for r in keys} == want
+
+
+def test_rows_of_a_stream_do_not_meet_in_one_task(spark, copies):
+    """Whatever the size of the tables: which batch is a stream's newest is broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = call_table.settled(call_table.read(spark, copies[0]), "id")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_rows_of_one_place_are_dealt_to_several_tasks(spark, tmp_path):
+    """Calls of one instant, model and session are one place in Z-order, but not one file."""
+    rows = spark.range(2000).select(
+        F.concat(F.lit("id-"), "id").alias("id"),
+        F.lit("s").alias("session_id"),
+        F.lit("m").alias("model"),
+        F.lit(START).cast("timestamp_ntz").alias("created_at"),
+    )
+    fields = [f for f in call_table.CALLS_SCHEMA if f.name not in rows.columns]
+    rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in fields})
+    call_table.append(rows, f"{tmp_path}/calls", 0, "s")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        call_table.compact(spark, f"{tmp_path}/calls", f"{tmp_path}/z", call_table.CLUSTER_BY)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    counts = [pq.ParquetFile(f).metadata.num_rows for f in (tmp_path / "z").rglob("*.parquet")]
+    assert sum(counts) == 2000 and max(counts) < 1500
