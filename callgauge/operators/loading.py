@@ -47,8 +47,15 @@ def to_calls(
         columns[field.stored] = value.cast(CALLS_SCHEMA[field.stored].dataType)
     feed = [c for c in good.columns if c not in ("record", "errors")]
     rows = good.select(*feed, *[columns[c].alias(c) for c in CALL_COLUMNS])
-    if entities is None:
-        return rows
+    return rows if entities is None else mask_entities(rows, entities, redact_columns)
+
+
+def mask_entities(
+    rows: DataFrame,
+    entities: Callable[[Column], Column],
+    redact_columns: Sequence[str] = PREVIEWS,
+) -> DataFrame:
+    """The entity step of ``to_calls``, on rows the rules have been applied to."""
     spans = {f"_spans_{c}": entities(F.col(c)) for c in redact_columns}
     found = rows.withColumns(spans)
     guarded = [c for c in redact_columns if _is_guarded(found.schema[f"_spans_{c}"].dataType)]

@@ -14,12 +14,13 @@ a column. Rows that make a task fail otherwise are found by halving (``isolate``
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import reduce
 from operator import or_
 
 from py4j.protocol import Py4JJavaError
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 from callgauge.operators import loading, validation
 from callgauge.plans import incremental
 from callgauge.schema import MAX_LOAD_ATTEMPTS
-from callgauge.session import materialize
+from callgauge.session import materialize, scratch_path
 from callgauge.sources import calls as call_table
 from callgauge.sources import id_index
 from callgauge.sources.calls import BATCH, MONTH, STREAM
@@ -37,6 +38,10 @@ from callgauge.sources.calls import BATCH, MONTH, STREAM
 MONTHS_TO_PRUNE = 120
 # a batch with more rows that fail on their own has another cause than its rows
 MAX_ISOLATED = 32
+# a part that fails is halved so often at once, and so many parts run side by side
+HALVINGS = 4
+PROBES = 16
+_PART = "_part"
 
 
 def _stored(
@@ -115,7 +120,7 @@ def load_batch(
         except (PySparkException, Py4JJavaError):
             if not isolate:
                 raise
-            bad = failing(feed, lambda part: _probe(part, entities), isolate)
+            bad = _to_blame(feed, checked, entities, isolate)
             to_blame = F.col("origin_id").isin(bad)  # at most ``isolate`` ids
             # without anyone to blame it was a passing failure
             rows, refused = _prepared(checked.where(~to_blame), entities)
@@ -164,9 +169,34 @@ def _prepared(
 
 def _probe(feed: DataFrame, entities: Callable[[Column], Column] | None) -> None:
     rows = loading.to_calls(validation.good(validation.check(feed)), entities=entities)
+    _run(rows)
+
+
+def _run(rows: DataFrame) -> None:
     rows.write.format("noop").mode("overwrite").save()
 
 
+def _to_blame(
+    feed: DataFrame,
+    checked: DataFrame,
+    entities: Callable[[Column], Column] | None,
+    isolate: int,
+) -> list[str]:
+    """The origin ids of the rows that make preparing the batch fail.
+
+    Checking and the rules are done once; where they pass, only the entity step is asked
+    again, on the previews the rules left.
+    """
+    try:
+        if entities is None:
+            raise ValueError("the entity step is not to blame")
+        ruled = loading.to_calls(validation.good(checked))
+        previews = materialize(ruled.select("origin_id", *loading.PREVIEWS))
+    except (PySparkException, Py4JJavaError, ValueError):
+        return failing(feed, lambda part: _probe(part, entities), isolate)
+    return failing(previews, lambda part: _run(loading.mask_entities(part, entities)), isolate)
+
+
 def failing(
     feed: DataFrame,
     attempt: Callable[[DataFrame], None],
@@ -175,22 +205,46 @@ def failing(
 ) -> list[str]:
     """The origin ids whose rows make ``attempt`` fail even alone, each time of ``attempts``.
 
-    Parts that fail are halved by a hash of the id, so that each bad row costs about twice
-    the logarithm of the batch in runs of shrinking size. Beyond ``most`` bad rows the last
-    failure is raised: then the batch is not held up by single rows.
+    Parts that fail are halved by a hash of the id, ``HALVINGS`` times at once, and stored by
+    what came of it, so that a run reads its own part only; ``PROBES`` parts run side by side.
+    Each bad row costs about ``2 ** HALVINGS`` runs of shrinking size for every ``HALVINGS``
+    bits of the batch's count. The parts met last go first: beyond ``most`` bad rows the last
+    failure is raised soon, then the batch is not held up by single rows.
     """
-    bad: list[str] = []
-    waiting = [(0, 0)]  # the bits and the value of the hash that make up a part
-    while waiting:
-        bits, value = waiting.pop()
-        part = feed.where(F.expr(f"xxhash64(origin_id) & {(1 << bits) - 1}") == value)
+    spark = feed.sparkSession
+    root = scratch_path(spark, "halves")
+
+    def halved(part: DataFrame, bits: int, name: str) -> list[tuple[DataFrame, int, str]]:
+        hashed = F.shiftright(F.xxhash64("origin_id"), bits).bitwiseAND((1 << HALVINGS) - 1)
+        dealt = part.withColumn(_PART, hashed.cast("int")).hint("rebalance", _PART)
+        dealt.write.partitionBy(_PART).parquet(f"{root}/{name}")
+        stored = spark.read.parquet(f"{root}/{name}")
+        values = sorted(r[_PART] for r in stored.select(_PART).distinct().collect())
+        return [
+            (stored.where(F.col(_PART) == v).drop(_PART), bits + HALVINGS, f"{name}-{v}")
+            for v in values
+        ]
+
+    def probe(found: tuple[DataFrame, int, str]) -> tuple[list, list[str], Exception | None]:
+        """(parts of a part that fails, its id if it has but one, the failure)"""
+        part, bits, name = found
         error = _failure(attempt, part)
         if error is None:
-            continue
+            return [], [], None
         ids = [r.origin_id for r in part.select("origin_id").distinct().limit(2).collect()]
         if len(ids) > 1:
-            waiting += [(bits + 1, value), (bits + 1, value | 1 << bits)]
-        elif all(_failure(attempt, part) for _ in range(attempts - 1)):
+            return halved(part, bits, name), [], error
+        again = all(_failure(attempt, part) for _ in range(attempts - 1))
+        return [], ids if again else [], error
+
+    bad: list[str] = []
+    waiting = halved(feed, 0, "all")
+    while waiting:
+        asked, waiting = waiting[-PROBES:], waiting[:-PROBES]
+        with ThreadPoolExecutor(PROBES) as pool:
+            answers = list(pool.map(inheritable_thread_target(spark)(probe), asked))
+        for parts, ids, error in answers:
+            waiting += parts
             bad += ids
             if len(bad) > most:
                 raise error

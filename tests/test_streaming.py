@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 from types import SimpleNamespace
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from callgauge.functions.plugins import guarded_span_finder, span_finder
@@ -331,6 +332,37 @@ def test_a_batch_that_fails_as_a_whole_fails(spark, tmp_path):
     assert not (tmp_path / "calls").exists()
 
 
+def test_halving_reads_less_each_time(spark):
+    """Two bad rows of 400 are found without the whole batch being tried time and again."""
+    feed = spark.range(400).select(F.format_string("%04d", "id").alias("origin_id"))
+    asked = []
+
+    def attempt(part):
+        ids = {r.origin_id for r in part.select("origin_id").collect()}
+        asked.append(len(ids))
+        if ids & {"0007", "0208"}:
+            raise PySparkException("bad row")
+
+    assert sorted(live.failing(feed, attempt)) == ["0007", "0208"]
+    assert max(asked) < 100 and sum(asked) < 2 * 400
+
+
+def test_only_the_step_that_fails_is_tried_again(spark, tmp_path, monkeypatch):
+    """Payloads are checked for the load, for the whole batch, and not for each part of it."""
+    checks = []
+    check = validation.check
+    monkeypatch.setattr(live.validation, "check", lambda feed: checks.append(1) or check(feed))
+    rows = [_said(i, i, "bad" if i == 5 else "fine") for i in range(12)]
+    stored, dead = str(tmp_path / "calls"), str(tmp_path / "dead")
+    live.load_batch(
+        spark.createDataFrame(rows, FEED_SCHEMA), 0, stored, dead,
+        entities=span_finder(_failing_on("bad")),
+    )
+    assert len(checks) == 1
+    assert call_table.read(spark, stored).count() == 11
+    assert [r.origin_id for r in spark.read.parquet(dead).collect()] == ["0005"]
+
+
 def test_the_feed_of_one_file_is_dealt_to_several_tasks(spark, sf_dir):
     """Reading it is little work, checking it is not; the letters are few files all the same."""
     feed = tables.feed(spark, sf_dir)
