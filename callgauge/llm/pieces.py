@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding over a shared prefix trie.
 
-Per batch the distinct marked words (a run of the space mark and what follows) are sorted,
-which lays their trie out depth-first. A forward pass walks down each branch and keeps one
-state per character on a stack; the next word goes on from the prefix it shares with the one
-before, so common prefixes are scored once.
+Marked texts (spaces are marks) are cut into words where no piece holds both neighbours, since
+no piece can then lie across; a batch is cut at once, on arrays. Its distinct words that are
+new are sorted, which lays their trie out depth-first. A forward pass walks down each branch
+and keeps one state per character on a stack; the next word goes on from the prefix it shares
+with the one before, so common prefixes are scored once.
 
 The state depends on the model's kind. For unigram models it is Viterbi's: the best score of
 the prefix and the piece that ends it. For BPE models, whose result is no sum of scores, it
@@ -11,10 +12,8 @@ is the last piece of the prefix's encoding: a piece may follow another exactly i
 their two texts into these two pieces, and one sequence only has all its neighbours so.
 
 The model file is a parameter and is sent to the executors as bytes. Words never cross a
-space mark, which is checked against the vocabulary. Long ones, as texts without spaces have,
-are cut where no piece holds both neighbours, since no piece can then lie across; what is
-still long is encoded on its own and not remembered. What a worker remembers is bounded in
-bytes.
+space mark, which is checked against the vocabulary. Long ones are encoded on their own and
+not remembered. What a worker remembers is bounded in bytes.
 
 Defined results: a null text has null ids, an empty one has none; characters without a piece
 become byte pieces (or the unknown piece, if the model has no bytes); texts and words of any
@@ -28,6 +27,7 @@ from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +42,11 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _PAIRS = 400_000  # pairs of pieces that a worker remembers
 _CACHE = 96 << 20  # bytes of words and their ids that a worker remembers
 _OVERHEAD = 200  # bytes that a remembered word takes besides
-_LONG = 64  # characters from which on a word is cut where it can be
 _ALONE = 1024  # characters from which on a word is encoded on its own, and not remembered
 _CHUNK = 1 << 22  # characters encoded together
 _UNKNOWN_PENALTY = 10.0
+_SLOTS = 64  # slots for each pair of neighbours
+_TAKEN = 1 << 16  # words whose ids are laid end to end at once
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
@@ -77,14 +78,17 @@ class Model:
         self.bytes = {int(t[3:5], 16): i for i, t in enumerate(self.texts) if self.types[i] == BYTE}
         self.longest = max(map(len, self.ids))
         self.floor = min(self.scores.values()) - _UNKNOWN_PENALTY
-        across = any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
-        self.word = re.compile("(?s).+" if across else f"(?s){MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.across = any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
+        # words as marks alone bound them
+        self.word = re.compile("(?s).+" if self.across else f"(?s){MARK}+[^{MARK}]*|[^{MARK}]+")
         self.follows: dict[int, bool] = {}
+        # the state before a word: no piece, no start, and what its kind needs besides
+        self.root = (None, 0, self.base(None) if self.kind == BPE else 0.0)
 
     @cached_property
-    def tails(self) -> set[str]:
-        """All ends of pieces; a text that is none of them ends no piece."""
-        return {t[i:] for t in self.ids for i in range(len(t))}
+    def tails(self) -> dict[str, int | None]:
+        """All ends of pieces, and which of them are pieces; another text ends no piece."""
+        return dict.fromkeys(t[i:] for t in self.ids for i in range(len(t))) | self.ids
 
     def marked(self, text: str) -> str:
         if self.squeeze:
@@ -111,38 +115,34 @@ class Model:
         return self.texts[piece] if piece >= 0 else chr(-1 - piece)
 
     @staticmethod
-    def pair(before: int | None, piece: int) -> int:
-        """One number for two neighbours; pieces and characters stay below 2**21."""
-        return ((0 if before is None else before + (1 << 22)) << 23) + piece + (1 << 22)
+    def base(before: int | None) -> int:
+        """With the next piece added, one number for the two; each is within 2**21 of zero."""
+        return ((0 if before is None else before + (1 << 22)) << 23) + (1 << 22)
 
     def may_follow(self, before: int | None, piece: int) -> bool:
         """Does BPE leave the two pieces as they are, side by side (or the second alone)?"""
         if len(self.follows) > _PAIRS:
             self.follows.clear()
         wanted = [self.spelled(p) for p in (before, piece) if p is not None]
-        found = self.follows[self.pair(before, piece)] = self.merge("".join(wanted)) == wanted
+        found = self.follows[self.base(before) + piece] = self.merge("".join(wanted)) == wanted
         return found
 
-    def step_bpe(self, word: str, end: int, states: list) -> tuple[int | None, int]:
-        """Last piece of the encoding of word[:end] and where it starts."""
-        ids, tails, follows = self.ids, self.tails, self.follows
-        last = end - 1
-        for start in range(last, max(-1, last - self.longest), -1):
-            text = word[start:end]
-            piece = ids.get(text)
-            if piece is None:
-                if start == last:
-                    piece = -1 - ord(text)
-                elif text in tails:
-                    continue
-                else:
-                    break
-            before = states[start][0]
-            # as ``pair``, which would take longer to call
-            fits = follows.get((0 if before is None else before + (1 << 22) << 23) + piece + (1 << 22))
-            if fits or (fits is None and self.may_follow(before, piece)):
-                return piece, start
-        raise AssertionError("every prefix has an encoding")
+    def step_bpe(self, word: str, end: int, states: list) -> tuple[int, int, int]:
+        """Last piece of the encoding of word[:end], where it starts, the piece's base."""
+        tails, follows = self.tails, self.follows
+        start = end - 1
+        piece = self.ids.get(word[start])
+        if piece is None:
+            piece = -1 - ord(word[start])
+        while True:
+            if piece is not None:
+                state = states[start]
+                fits = follows.get(state[2] + piece)
+                if fits or (fits is None and self.may_follow(state[0], piece)):
+                    # as ``base``, which would take longer to call
+                    return piece, start, (piece + (1 << 22) << 23) + (1 << 22)
+            start -= 1  # every prefix has an encoding, so this ends, at an end of a piece
+            piece = tails[word[start:end]]
 
     def step_unigram(self, word: str, end: int, states: list) -> tuple[int, int, float]:
         """Last piece of the best segmentation of word[:end], where it starts, the score."""
@@ -161,24 +161,37 @@ class Model:
         """All pairs of characters that stand side by side in a piece."""
         return {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
 
+    @cached_property
+    def beside(self) -> np.ndarray:
+        """Neighbours by slot; the few other pairs that share one are not cut, though they could."""
+        bits = (_SLOTS * len(self.neighbours)).bit_length()
+        found = np.zeros(1 << bits, dtype=bool)
+        pairs = np.frombuffer("".join(self.neighbours).encode("utf-32-le"), np.uint32)
+        found[_slots(pairs[0::2], pairs[1::2], bits)] = True
+        return found
+
+    def cut_at(self, points: np.ndarray) -> np.ndarray:
+        """Where a text, given as code points, falls into words that are encoded as within it."""
+        beside = self.beside
+        bits = len(beside).bit_length() - 1
+        apart = np.ones(len(points), dtype=bool)
+        np.logical_not(beside[_slots(points[:-1], points[1:], bits)], out=apart[1:])
+        if not self.across:  # words end at marks, whatever slots these pairs share
+            marks = points == ord(MARK)
+            apart[1:] |= marks[1:] & ~marks[:-1]
+        return apart
+
     def words(self, text: str) -> list[str]:
-        found = self.word.findall(self.marked(text))
-        if max(map(len, found), default=0) < _LONG:
-            return found
-        return [part for word in found for part in self.cut(word)]
-
-    def cut(self, word: str) -> list[str]:
-        """A long word in parts that are encoded as they are within it."""
-        if len(word) < _LONG:
-            return [word]
-        inside = self.neighbours
-        at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
-        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)]
+        return self.cut(self.marked(text))
+
+    def cut(self, marked: str) -> list[str]:
+        at = np.flatnonzero(self.cut_at(np.frombuffer(marked.encode("utf-32-le"), np.uint32)))
+        return [marked[a:b] for a, b in pairwise([*at.tolist(), len(marked)])]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, visited in the depth-first order of their trie."""
         step = self.step_bpe if self.kind == BPE else self.step_unigram
-        states: list = [(None, 0, 0.0)]
+        states: list = [self.root]
         before, out = "", {}
         for word in sorted(words):
             if len(word) >= _ALONE:
@@ -208,7 +221,7 @@ class Model:
     def encode_long(self, word: str) -> list[int]:
         """Ids of one word, with two numbers of state kept per character."""
         step = self.step_bpe if self.kind == BPE else self.step_unigram
-        near: deque = deque([(None, 0, 0.0)], maxlen=self.longest + 1)  # states a step looks at
+        near: deque = deque([self.root], maxlen=self.longest + 1)  # states a step looks at
         pieces, starts = array("i"), array("q")
         for end in range(1, len(word) + 1):
             first = max(0, end - self.longest)  # of the characters that the next piece may hold
@@ -229,12 +242,30 @@ class Model:
 
     def encode_batch(self, texts: list[str | None], known: Words) -> list[bytes | None]:
         """Ids of texts as 32-bit numbers; ``known`` keeps the words of earlier batches."""
-        split = [None if t is None else self.words(t) for t in texts]
+        marked = ["" if t is None else self.marked(t) for t in texts]
+        starts = np.cumsum([0, *map(len, marked)])
+        text = "".join(marked)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        cut = self.cut_at(points)
+        cut[starts[starts < len(points)]] = True
+        at = np.flatnonzero(cut)
+        words = _slices(text, points, at).dictionary_encode()
+        places = words.indices.to_numpy()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids, ends = _spread(self.known_ids(distinct, known), places)
+        bounds = (4 * ends[np.searchsorted(at, starts)]).tolist()
+        return [
+            None if t is None else ids[a:b]
+            for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)
+        ]
+
+    def known_ids(self, words: list[str], known: Words) -> list[bytes]:
+        """The ids of distinct words; those of new ones are remembered."""
         ids = known.ids
-        fresh = {w for ws in split if ws for w in ws if w not in ids}
+        fresh = [w for w in words if w not in ids]
         for word, found in self.encode_words(fresh).items():
             ids[word] = array("i", found).tobytes()
-        out = [None if ws is None else b"".join(map(ids.__getitem__, ws)) for ws in split]
+        out = list(map(ids.__getitem__, words))
         known.bound(fresh)
         return out
 
@@ -272,6 +303,38 @@ class Model:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def _slots(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """A slot of so many bits for each pair of code points."""
+    mixed = left * np.uint32(0x9E3779B1)
+    mixed ^= right * np.uint32(0x85EBCA6B)
+    mixed >>= np.uint32(32 - bits)
+    return mixed
+
+
+def _slices(text: str, points: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A text, whose code points are given, as strings that start at some of them."""
+    sizes = np.ones(len(points), dtype=np.int8)
+    for more in (0x7F, 0x7FF, 0xFFFF):
+        sizes += points > more
+    offsets = np.append(0, np.cumsum(np.add.reduceat(sizes, at, dtype=np.int64)))
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(text.encode())]
+    return pa.Array.from_buffers(pa.large_string(), len(at), buffers)
+
+
+def _spread(found: list[bytes], places: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids at some places of a list, end to end, and where each place's begin and all end."""
+    flat = np.frombuffer(b"".join(found), np.int32)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for low in range(0, len(places), _TAKEN):
+        some = places[low : low + _TAKEN]
+        ends = np.cumsum(sizes[some])
+        shifts = starts[some] + sizes[some] - ends
+        out.append(flat[np.repeat(shifts, sizes[some]) + np.arange(ends[-1])].tobytes())
+    return b"".join(out), np.append(0, np.cumsum(sizes[places]))
+
+
 class _Near:
     """The states of a word's last characters, as if they were all there are."""
 

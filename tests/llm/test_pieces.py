@@ -198,3 +198,51 @@ def test_round_trips_equal_encoding_and_decoding(spark, data):
     got = pieces.round_trips(df, data, id_col="doc_id", text_col="text")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert pieces.round_trips(df.limit(0), data, id_col="doc_id", text_col="text").collect() == []
+
+
+def test_what_lies_between_cuts_is_walked_once(data, library, monkeypatch):
+    model = pieces.Model(data)
+    steps = []
+    step = model.step_bpe
+    monkeypatch.setattr(model, "step_bpe", lambda *a: (steps.append(a[:2]), step(*a))[1])
+    assert "e\n" not in model.neighbours and "\nb" not in model.neighbours
+    rng = random.Random(7)
+    some = ["".join(rng.choices("aeinorst", k=8)) + "e" for _ in range(30)]
+    other = ["b" + "".join(rng.choices("aeinorst", k=8)) for _ in range(30)]
+    texts = [f"{a}\n{b} {b}" for a in some for b in other]
+    got = model.encode_batch(texts, pieces.Words())
+    assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library.encode(t) for t in texts]
+    # prefixes of 30 words each; as whole words the texts would have 30 x 30 x 9 more
+    assert len(steps) <= 30 * 10 + 30 * 9 + 30 * 10 + 2
+
+
+def test_batches_of_any_shape_equal_the_library(data, library, monkeypatch):
+    monkeypatch.setattr(pieces, "_TAKEN", 3)
+    model, known = pieces.Model(data), pieces.Words()
+    mixed = ["", "a b", "", "🙂中\n", "a b", None]
+    for texts in ([], [None], [""], ["", None, ""], ["x"], mixed, TEXTS + LONG):
+        got = model.encode_batch(texts, known)
+        assert [None if g is None else np.frombuffer(g, np.int32).tolist() for g in got] == [
+            None if t is None else library.encode(t) for t in texts
+        ]
+
+
+def test_pieces_across_marks_keep_their_neighbours_together(data):
+    proto = pb.ModelProto()
+    proto.ParseFromString(data)
+    piece = proto.pieces.add()
+    piece.piece, piece.score, piece.type = "s▁o", 0.0, pieces.NORMAL
+    changed = unigram(proto.SerializeToString())
+    model, known = pieces.Model(changed), pieces.Words()
+    library = sentencepiece.SentencePieceProcessor(model_proto=changed)
+    for text in ["gusts of wind", "pass on, as one"]:
+        assert np.frombuffer(model.encode_batch([text], known)[0], np.int32).tolist() == library.encode(text)
+
+
+def test_pairs_that_share_a_slot_with_neighbours_change_nothing(data, library):
+    model = pieces.Model(data)
+    model.beside = np.ones(2, dtype=bool)  # every pair shares one, so only marks cut
+    assert model.words("a-b, c\n d") == ["▁a-b,", "▁c\n", "▁d"]
+    for text in TEXTS + LONG[:2]:
+        got = model.encode_batch([text, text], pieces.Words())
+        assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library.encode(text)] * 2
