@@ -20,7 +20,7 @@ from functools import reduce
 from operator import or_
 
 from py4j.protocol import Py4JJavaError
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 from callgauge.operators import loading, validation
 from callgauge.plans import incremental
 from callgauge.schema import MAX_LOAD_ATTEMPTS
-from callgauge.session import materialize, scratch_path
+from callgauge.session import discard, materialize, scratch_path
 from callgauge.sources import calls as call_table
 from callgauge.sources import id_index
 from callgauge.sources.calls import BATCH, MONTH, STREAM
@@ -41,6 +41,8 @@ MAX_ISOLATED = 32
 # a part that fails is halved so often at once, and so many parts run side by side
 HALVINGS = 4
 PROBES = 16
+# a task that writes or reads checked rows holds one row group of them
+STAGED_BLOCK = 16 << 20
 _PART = "_part"
 
 
@@ -113,16 +115,20 @@ def load_batch(
         return
     if "attempts" not in feed.columns:
         feed = feed.withColumn("attempts", F.lit(0))
-    checked = validation.check(feed).persist(StorageLevel.MEMORY_AND_DISK)
+    checked = unstaged = validation.check(feed)
+    place = scratch_path(spark, "checked")
     try:
         try:
+            checked = _staged(unstaged, place)
             rows, refused = _prepared(checked, entities)
         except (PySparkException, Py4JJavaError):
-            if not isolate:
+            if not isolate or entities is None:
                 raise
             bad = _to_blame(feed, checked, entities, isolate)
             to_blame = F.col("origin_id").isin(bad)  # at most ``isolate`` ids
             # without anyone to blame it was a passing failure
+            if checked is unstaged:
+                checked = _staged(unstaged, place)
             rows, refused = _prepared(checked.where(~to_blame), entities)
             letters = loading.exhausted(feed.where(to_blame), F.array(F.lit(loading.FAILED)))
             refused.append(letters)
@@ -145,7 +151,17 @@ def load_batch(
         if commits_path is not None:
             call_table.commit(spark, commits_path, batch, stream)
     finally:
-        checked.unpersist()
+        discard(spark, place)
+
+
+def _staged(checked: DataFrame, path: str) -> DataFrame:
+    """The checked rows in files, so that payloads are checked once, whatever a task has of them.
+
+    The object stream of a cache remembers a task's batches until it is reset, beside the
+    memory Spark accounts for, and gives out whole partitions with all columns.
+    """
+    checked.write.mode("overwrite").option("parquet.block.size", STAGED_BLOCK).parquet(path)
+    return checked.sparkSession.read.schema(checked.schema).parquet(path)
 
 
 def _prepared(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import date, datetime, timedelta
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -416,3 +417,47 @@ def test_guarded_spans_are_the_plain_ones(spark):
     df = spark.createDataFrame([("Ada",), (None,), ("x",)], "t string")
     both = df.select(span_finder(load)("t").alias("a"), guarded_span_finder(load)("t").alias("b"))
     assert all(r.a == r.b.spans and r.b.error is None for r in both.collect())
+
+
+def test_one_large_partition_goes_on_in_pieces(spark, tmp_path, monkeypatch):
+    """What a task holds of checked rows does not grow with the partition they were checked in."""
+    tasks, pieces = [], "spark.sql.files.maxPartitionBytes"
+    new_rows = loading.new_rows
+
+    def asked(rows, *rest):
+        tasks.append(rows.select(F.spark_partition_id()).distinct().count())
+        return new_rows(rows, *rest)
+
+    monkeypatch.setattr(live.loading, "new_rows", asked)
+    monkeypatch.setattr(live, "STAGED_BLOCK", 32 << 10, raising=False)
+    before = spark.conf.get(pieces)
+    spark.conf.set(pieces, "32k")
+    try:
+        rows = [_said(i % 60, i, f"said {i}") for i in range(2000)]
+        feed = spark.createDataFrame(rows, FEED_SCHEMA).coalesce(1)
+        live.load_batch(feed, 0, str(tmp_path / "calls"), str(tmp_path / "dead"))
+    finally:
+        spark.conf.set(pieces, before)
+    assert tasks[0] > 2
+    assert call_table.read(spark, str(tmp_path / "calls")).select("id").distinct().count() == 2000
+
+
+def test_checked_rows_are_put_away_after_their_batch(spark, tmp_path, monkeypatch):
+    """They are read from files while it runs, and gone whether it ends or fails."""
+    places, seen = [], []
+    scratch, new_rows = live.scratch_path, loading.new_rows
+    monkeypatch.setattr(live, "scratch_path", lambda *a: places.append(scratch(*a)) or places[-1])
+    monkeypatch.setattr(
+        live.loading, "new_rows", lambda rows, *a: seen.append(rows.inputFiles()) or new_rows(rows, *a)
+    )
+    feed = spark.createDataFrame([_row(0, 1), _row(1, None), _row(2, 1)], FEED_SCHEMA)
+    stored, dead = str(tmp_path / "calls"), str(tmp_path / "dead")
+    live.load_batch(feed, 0, stored, dead)
+    assert seen[0] and all(places[0].removeprefix("file:") in name for name in seen[0])
+    with pytest.raises(Exception, match="scheme"):
+        live.load_batch(feed, 1, "nosuchfs://host/calls", dead)
+    assert len(places) == 2 and not any(Path(p.removeprefix("file://")).exists() for p in places)
+    assert call_table.read(spark, stored).count() == 1
+    assert sorted(r.errors[0] for r in spark.read.parquet(dead).collect()) == [
+        "id:duplicate", "payload:malformed",
+    ]
